@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import mixing, packing, pii, sharding
+from spanforge.llm import mixing, ngram_join, packing, pii, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +26,14 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", pii.pseudonymise_column("text").alias("text"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(_table(spark, sf_dir, "documents"))
+
+
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pack": op1_pack, "op2_mix": op2_mix, "op4_pii": op4_pii, "op10_shard": op10_shard}
+QUERIES = {"op1_pack": op1_pack, "op2_mix": op2_mix, "op4_pii": op4_pii, "op5_jaccard": op5_jaccard, "op10_shard": op10_shard}
 
 ORACLE_SQL: dict[str, str] = {}
