@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import mixing, ngram_join, packing, pii, sharding
+from spanforge.llm import mixing, ngram_join, packing, pii, quality, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +30,19 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_components(_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.assess(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pack": op1_pack, "op2_mix": op2_mix, "op4_pii": op4_pii, "op5_jaccard": op5_jaccard, "op10_shard": op10_shard}
+QUERIES = {"op1_pack": op1_pack, "op2_mix": op2_mix, "op4_pii": op4_pii, "op5_jaccard": op5_jaccard, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_shard": op10_shard}
 
 ORACLE_SQL: dict[str, str] = {}
