@@ -100,3 +100,68 @@ def sequence_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     for k in range(width):
         total += mix64(hashes[k : k + n] + _wrap((k + 1) * int(_MULT))) * _wrap((2 * k + 1) * int(_BASE))
     return mix64(total)
+
+
+class Counts:
+    """Running totals of 64-bit keys, merged whenever the pending ones outgrow the merged."""
+
+    def __init__(self) -> None:
+        self.keys, self.totals = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.pending: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, keys: np.ndarray, totals: np.ndarray) -> None:
+        self.pending.append((keys, totals))
+        self.waiting += len(keys)
+        if self.waiting > (1 << 20) + len(self.keys):
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.concatenate([self.keys, *(k for k, _ in self.pending)])
+        totals = np.concatenate([self.totals, *(t for _, t in self.pending)])
+        order = np.argsort(keys, kind="stable")
+        keys, totals = keys[order], totals[order]
+        heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        self.keys = keys[heads]
+        self.totals = np.add.reduceat(totals, heads) if len(heads) else totals
+        self.pending, self.waiting = [], 0
+        return self.keys, self.totals
+
+
+class Lookup:
+    """Values of 64-bit keys by open addressing, looked up a whole array at a time."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        bits = max(4, int(2 * len(keys) + 1).bit_length())
+        self.shift, self.mask = U(64 - bits), (1 << bits) - 1
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.full = np.zeros(1 << bits, bool)
+        self.values = np.zeros(1 << bits, values.dtype)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = ~self.full[slot]
+            # Of those that want the same free slot, the first gets it.
+            _, winners = np.unique(slot[free], return_index=True)
+            won = np.flatnonzero(free)[winners]
+            self.keys[slot[won]], self.values[slot[won]], self.full[slot[won]] = keys[left[won]], values[left[won]], True
+            rest = np.ones(len(left), bool)
+            rest[won] = False
+            left, slot = left[rest], (slot[rest] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _MULT) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray, default: float) -> tuple[np.ndarray, np.ndarray]:
+        """(values, found)."""
+        slot = self._slot(keys)
+        found = self.full[slot] & (self.keys[slot] == keys)
+        out = np.where(found, self.values[slot], default)
+        open_ = np.flatnonzero(~found & self.full[slot])
+        at = slot[open_]
+        while len(open_):
+            at = (at + 1) & self.mask
+            hit = self.full[at] & (self.keys[at] == keys[open_])
+            out[open_[hit]], found[open_[hit]] = self.values[at[hit]], True
+            more = ~hit & self.full[at]
+            open_, at = open_[more], at[more]
+        return out, found
