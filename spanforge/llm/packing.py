@@ -11,6 +11,7 @@ are fewer.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -23,19 +24,25 @@ from spanforge.llm.stage import materialize
 
 CAPACITY = 1024
 END_ID = 2
+END = END_ID.to_bytes(4, "little")
 #: Pieces packed together; a partition's memory and its share of the rounding loss follow from it.
 PIECES_PER_PARTITION = 8192
 ROUNDS = 3
 #: Remembered pre-tokens per worker; beyond that the memory is dropped and refilled.
-MEMO_ENTRIES = 1 << 19
+MEMO_ENTRIES = 1 << 20
+#: Pre-tokens encoded, and texts split, at once.
+LEARN_AT_ONCE = 4096
+TEXTS_AT_ONCE = 128
 
 _PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class _Encoder:
-    """Token ids of whole texts through the ``tokenizers`` file, pre-token by pre-token.
+    """Token ids of whole texts through the ``tokenizers`` file, as little-endian 32-bit bytes.
 
-    The vocabulary merges only inside a pre-token, so each distinct one is encoded once.
+    The vocabulary merges only inside a pre-token.  So each distinct pre-token is encoded
+    once, each distinct stretch between single blanks is put together once, and both are
+    remembered for the life of the worker.
     """
 
     def __init__(self, path: str):
@@ -46,21 +53,52 @@ class _Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.memo: dict[str, tuple[int, ...]] = {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        words = self.split(text)
-        memo = self.memo
-        fresh = list({w for w in words if w not in memo})
-        if fresh:
-            if len(memo) + len(fresh) > MEMO_ENTRIES:
-                memo.clear()
-                fresh = list(set(words))
-            for word, enc in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False)):
-                memo[word] = tuple(enc.ids)
-        ids = [i for w in words for i in memo[w]]
-        ids.append(END_ID)
-        return np.array(ids, dtype="<u4")
+        self.blank_run = regex.compile(r"\s\s").search
+        self.pretokens: dict[str, bytes] = {}
+        self.stretches: dict[str, bytes] = {}
+
+    def _encode_pretokens(self, fresh: list[str]) -> None:
+        # A pre-token that starts with its only blank is cut off again by the next one's
+        # blank, so many of them can be encoded as one text and told apart by word number.
+        joint = [w for w in fresh if w[0] == " " and len(w) > 1 and not w[1].isspace()]
+        enc = self.tokenizer.encode("".join(joint), add_special_tokens=False) if joint else None
+        if enc is not None and enc.word_ids[-1] == len(joint) - 1:
+            ids, last = np.array(enc.ids, "<u4"), np.searchsorted(enc.word_ids, np.arange(len(joint) + 1)).tolist()
+            for word, lo, hi in zip(joint, last, last[1:]):
+                self.pretokens[word] = ids[lo:hi].tobytes()
+            fresh = [w for w in fresh if w not in self.pretokens]
+        for word, one in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False)):
+            self.pretokens[word] = np.array(one.ids, "<u4").tobytes()
+
+    def _join(self, parts: list[list[str]]) -> list[bytes]:
+        """Ids of texts given as pre-tokens."""
+        known = self.pretokens
+        fresh = list(set().union(*parts).difference(known))
+        if len(known) + len(fresh) > MEMO_ENTRIES:
+            known.clear()
+            fresh = list(set().union(*parts))
+        for k in range(0, len(fresh), LEARN_AT_ONCE):
+            self._encode_pretokens(fresh[k : k + LEARN_AT_ONCE])
+        return [b"".join(map(known.__getitem__, words)) for words in parts]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        # A single blank before anything but a blank always starts a pre-token; texts with
+        # runs of blanks are split by the tokenizer's own pattern instead.
+        plain = [None if self.blank_run(text) else text.replace(" ", "\0 ").split("\0") if "\0" not in text else None for text in texts]
+        known = self.stretches
+        wanted = set().union(*(p for p in plain if p is not None))
+        fresh = list(wanted.difference(known))
+        if len(known) + len(fresh) > MEMO_ENTRIES // 2:
+            known.clear()
+            fresh = list(wanted)
+        known.update(zip(fresh, self._join([self.split(w) for w in fresh])))
+        whole = iter(self._join([self.split(text) for text, p in zip(texts, plain) if p is None]))
+        return [(next(whole) if p is None else b"".join(map(known.__getitem__, p))) + END for p in plain]
+
+
+@functools.lru_cache(maxsize=2)
+def _encoder(path: str) -> _Encoder:
+    return _Encoder(path)
 
 
 def cut(n_ids: int, capacity: int) -> list[tuple[int, int]]:
@@ -82,28 +120,22 @@ def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: i
 
     path = tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _Encoder(path)
-        for batch in batches:
-            out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
-            for doc_id, text in zip(batch["doc_id"].array, batch["text"].array):
-                ids = encoder(text or "")
-                for k, (start, length) in enumerate(cut(len(ids), capacity)):
-                    out["doc_id"].append(None if doc_id is pd.NA else doc_id)
-                    out["piece"].append(k)
-                    out["start"].append(start)
-                    out["length"].append(length)
-                    out["ids_crc32"].append(zlib.crc32(ids[start : start + length].tobytes()))
-            out["doc_id"] = pd.array(out["doc_id"], dtype="Int64")
-            yield pd.DataFrame(out)
-
     # Ids travel as text so that a null among them does not turn a batch into floats.
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-    def encode_text_ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from encode(b.assign(doc_id=pd.array([None if v is None else int(v) for v in b["doc_id"]], dtype="Int64")) for b in batches)
-
-    return rows.mapInPandas(encode_text_ids, _PIECE_SCHEMA)
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = _encoder(path)
+        for batch in batches:
+            out: list[tuple] = []
+            doc_ids, texts = batch["doc_id"].tolist(), batch["text"].tolist()
+            for k in range(0, len(texts), TEXTS_AT_ONCE):
+                for doc_id, ids in zip(doc_ids[k : k + TEXTS_AT_ONCE], encoder(texts[k : k + TEXTS_AT_ONCE])):
+                    for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
+                        out.append((doc_id, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
+            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    pieces = rows.mapInPandas(encode, _PIECE_SCHEMA.replace("doc_id long", "doc_id string"))
+    return pieces.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import language_model, mixing, ngram_join, packing, pii, quality, sharding, suffix_dedup, toxicity
+from spanforge.llm import embedding_dedup, language_model, mixing, ngram_join, packing, pii, quality, sharding, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op3_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select("doc_id", pii.pseudonymise_column("text").alias("text"))
@@ -51,6 +55,6 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pack": op1_pack, "op2_mix": op2_mix, "op4_pii": op4_pii, "op5_jaccard": op5_jaccard, "op6_suffix_dedup": op6_suffix_dedup, "op7_lm": op7_lm, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_shard": op10_shard}
+QUERIES = {"op1_pack": op1_pack, "op2_mix": op2_mix, "op3_embedding": op3_embedding, "op4_pii": op4_pii, "op5_jaccard": op5_jaccard, "op6_suffix_dedup": op6_suffix_dedup, "op7_lm": op7_lm, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_shard": op10_shard}
 
 ORACLE_SQL: dict[str, str] = {}
