@@ -32,8 +32,8 @@ class Spec:
     bayes_scaled: bool
     bits: int = 22
     #: Documented bounds of the fit.
-    max_rows: int = 20_000
-    max_features: int = 1 << 15
+    max_rows: int = 8_000
+    max_features: int = 1 << 13
     min_docs: int = 5
     l2: float = 1.0
     steps: int = 150
@@ -161,7 +161,8 @@ def fit(sample: DataFrame, spec: Spec, calibrate: bool = False) -> Model:
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     column = lists.flatten().to_numpy()
     length = np.diff(lists.offsets.to_numpy())
-    row = np.repeat(np.arange(len(label)), length)
+    del rows, lists
+    row = np.repeat(np.arange(len(label), dtype=np.int32), length)
     held = (np.arange(len(label)) % 5 == 0) if calibrate else np.zeros(len(label), bool)
     weights, intercept = _logistic(row, column, scale, label, ~held, spec)
     slope, shift = 1.0, 0.0
