@@ -1,0 +1 @@
+"""The batch operators have no streaming counterpart: every input is a finite file set."""
