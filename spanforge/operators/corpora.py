@@ -16,15 +16,16 @@ def mix_targets(pools: DataFrame, percents: list[int]) -> DataFrame:
     total = int(min(synth / (s/100), real / (r/100))); each side is rounded half to even.
     0 takes all synthetic and no real, 100 all real and no synthetic.
     """
-    r = F.col("percent") / F.lit(100.0)
-    s = 1.0 - r
-    mixed = F.least(F.col("synth_pool") / s, F.col("real_pool") / r).cast("long")
+    # The double arithmetic keeps its order: the rounding of published totals hangs on it.
+    r = F.col("percent").cast("double")
+    s = 100.0 - r
+    mixed = F.least(F.col("synth_pool") / F.nullif(s / 100.0, F.lit(0.0)), F.col("real_pool") / F.nullif(r / 100.0, F.lit(0.0))).cast("long")
     rows = pools.withColumn("percent", F.explode(F.array(*[F.lit(p) for p in percents])))
     none, full = F.col("percent") == 0, F.col("percent") == 100
     total = F.when(none, F.col("synth_pool")).when(full, F.col("real_pool")).otherwise(mixed)
     rows = rows.withColumn("total", total)
-    real = F.when(none, F.lit(0)).when(full, F.col("real_pool")).otherwise(F.least(half_even(F.col("total") * r), F.col("real_pool")))
-    synth = F.when(full, F.lit(0)).when(none, F.col("synth_pool")).otherwise(F.least(half_even(F.col("total") * s), F.col("synth_pool")))
+    real = F.when(none, F.lit(0)).when(full, F.col("real_pool")).otherwise(F.least(half_even(F.col("total") * r / 100.0), F.col("real_pool")))
+    synth = F.when(full, F.lit(0)).when(none, F.col("synth_pool")).otherwise(F.least(half_even(F.col("total") * s / 100.0), F.col("synth_pool")))
     return rows.withColumn("train_real", real.cast("long")).withColumn("train_synth", synth.cast("long"))
 
 

@@ -336,10 +336,10 @@ roles AS (SELECT graph_id, corpus, label, 'test' AS role FROM h2 WHERE role0 = '
   SELECT graph_id, corpus, label, CASE WHEN rk <= CAST(floor(n * 0.9::DOUBLE) AS BIGINT) THEN 'train' ELSE 'val' END FROM h3)
 """
 MIX_SQL = f""", pools AS (SELECT count(*) FILTER (corpus = 'B') AS sp, count(*) FILTER (corpus = 'A') AS rp FROM roles WHERE role = 'train'),
-tot AS (SELECT percent, sp, rp, percent / 100.0::DOUBLE AS r, CASE WHEN percent = 0 THEN sp WHEN percent = 100 THEN rp
-  ELSE CAST(floor(least(sp / (1 - percent / 100.0::DOUBLE), rp / (percent / 100.0::DOUBLE))) AS BIGINT) END AS total FROM pools, (SELECT unnest({PERCENTS}) AS percent)),
-targets AS (SELECT percent, total, CASE WHEN percent = 0 THEN 0 WHEN percent = 100 THEN rp ELSE least(CAST(round_even(total * r, 0) AS BIGINT), rp) END AS train_real,
-  CASE WHEN percent = 100 THEN 0 WHEN percent = 0 THEN sp ELSE least(CAST(round_even(total * (1 - r), 0) AS BIGINT), sp) END AS train_synth FROM tot),
+tot AS (SELECT percent, sp, rp, percent::DOUBLE AS r, CASE WHEN percent = 0 THEN sp WHEN percent = 100 THEN rp
+  ELSE CAST(floor(least(sp / ((100.0::DOUBLE - percent) / 100.0::DOUBLE), rp / (percent / 100.0::DOUBLE))) AS BIGINT) END AS total FROM pools, (SELECT unnest({PERCENTS}) AS percent)),
+targets AS (SELECT percent, total, CASE WHEN percent = 0 THEN 0 WHEN percent = 100 THEN rp ELSE least(CAST(round_even(total * r / 100.0::DOUBLE, 0) AS BIGINT), rp) END AS train_real,
+  CASE WHEN percent = 100 THEN 0 WHEN percent = 0 THEN sp ELSE least(CAST(round_even(total * (100.0::DOUBLE - r) / 100.0::DOUBLE, 0) AS BIGINT), sp) END AS train_synth FROM tot),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY {draw_sql('mix', 'graph_id')}, graph_id) AS rk FROM roles WHERE role = 'train'),
 mix AS (SELECT percent, graph_id, corpus, label FROM ranked, targets WHERE rk <= CASE WHEN corpus = 'A' THEN train_real ELSE train_synth END)
 """
