@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A table is broadcast by hint only if it was counted and has at most this many rows.
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 400_000
 
 #: Word separators of every contract here: space and the ASCII control blanks.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
