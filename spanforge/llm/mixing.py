@@ -94,10 +94,28 @@ def copies_by_source(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return placed.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), *[F.col(f"kept_{c}") for c in keep])
 
 
-def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """The mixed corpus itself: each row of ``docs`` as often as it was drawn, columns unchanged."""
-    drawn = copies_by_source(docs, seed=seed, keep=tuple(docs.columns))
-    return drawn.select(
-        *[F.col(f"kept_{c}").alias(c) for c in docs.columns],
-        F.explode(F.expr("if(copies > 0, sequence(1, copies), array())")).alias("copy_number"),
-    ).select(*docs.columns)
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
+    """The mixed corpus itself: each row of ``docs`` as often as it was drawn, columns unchanged.
+
+    Rows that agree in id, text and source are drawn together: one of them stands for
+    the copies of all.
+    """
+    text_key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    keyed = docs.select(id_col, text_col, source_col, text_key.alias("text_key"))
+    drawn = copies_by_source(keyed, id_col, text_col, source_col, seed, keep=("text_key",))
+    totals = materialize(
+        drawn.groupBy("doc_id", "source", "kept_text_key").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).filter("copies > 0"),
+        "mix-copies",
+    )
+    size = totals.count()
+
+    def with_copies(part: DataFrame) -> DataFrame:
+        part = sized_broadcast(part.toDF("m_id", "m_source", "m_key", "m_copies", "m_rows"), size)
+        on = (text_key == F.col("m_key")) & docs[id_col].eqNullSafe(F.col("m_id")) & docs[source_col].eqNullSafe(F.col("m_source"))
+        return docs.join(part, on)
+
+    single = with_copies(totals.filter("rows = 1"))
+    several = with_copies(totals.filter("rows > 1")).dropDuplicates(["m_id", "m_source", "m_key"])
+    return (
+        single.unionByName(several).withColumn("m_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    )
