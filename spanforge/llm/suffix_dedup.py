@@ -147,16 +147,17 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _PIECES = "grp long, salt long, alone boolean, dealt boolean, tid long, pos int, lo int, bytes binary"
-_WINDOWS = "grp long, window long, tid long, start int, n int"
+_WINDOWS = "grp long, window long, tid long, start int, stop int, n int"
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (grp, salt): every window of every row, counted inside (grp, salt).
 
-    Gives covered windows of rows that are not settled yet (n = 0), and for groups dealt
-    over several places the distinct windows found here with their count (n > 0).
+    Gives runs of covered windows [start, stop) of rows that are not settled yet (n = 0),
+    and for groups dealt over several places the distinct windows found here with their
+    count (n > 0).
     """
-    empty = pa.RecordBatch.from_pylist([], pa.schema([("grp", pa.int64()), ("window", pa.int64()), ("tid", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]))
+    empty = pa.RecordBatch.from_pylist([], pa.schema([("grp", pa.int64()), ("window", pa.int64()), ("tid", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("n", pa.int32())]))
 
     def settle(table: pa.Table) -> pa.RecordBatch:
         if table.num_rows == 0:
@@ -180,15 +181,18 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local = tk.mix64(window ^ tk.mix64(grp.view(np.uint64)[row] + tk.mix64(salt.astype(np.uint64)[row])))
         _, head, back, n = np.unique(local, return_index=True, return_inverse=True, return_counts=True)
         alone, dealt = table["alone"].to_numpy(), table["dealt"].to_numpy()
-        covered = np.flatnonzero((n[back] > 1) & alone[row])
+        covered = (n[back] > 1) & alone[row]
+        joined = covered[1:] & covered[:-1] & (row[1:] == row[:-1])
+        begins = np.flatnonzero(covered & ~np.append(False, joined))
+        ends = np.flatnonzero(covered & ~np.append(joined, False))
         told = np.zeros(len(row), np.int32)
         told[head] = n
         open_ = np.flatnonzero(dealt[row] & (told > 0))
-        pick = np.concatenate([covered, open_])
-        times = np.concatenate([np.zeros(len(covered), np.int32), told[open_]])
+        pick, last = np.concatenate([begins, open_]), np.concatenate([ends, open_])
+        times = np.concatenate([np.zeros(len(begins), np.int32), told[open_]])
         return pa.record_batch(
-            [pa.array(grp[row[pick]]), pa.array(window[pick].view(np.int64)), pa.array(tid[row[pick]]), pa.array(start[pick].astype(np.int32)), pa.array(times)],
-            ["grp", "window", "tid", "start", "n"],
+            [pa.array(grp[row[pick]]), pa.array(window[pick].view(np.int64)), pa.array(tid[row[pick]]), pa.array(start[pick].astype(np.int32)), pa.array((start[last] + 1).astype(np.int32)), pa.array(times)],
+            ["grp", "window", "tid", "start", "stop", "n"],
         )
 
     held: pa.Table | None = None
@@ -276,7 +280,7 @@ def covered_spans(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = materialize(
         pieces.repartition("grp", "salt").sortWithinPartitions("grp", "salt", "tid", "pos").mapInArrow(_windows, _WINDOWS), "suffix-windows"
     )
-    here = found.filter("n = 0").select("tid", F.col("start").alias("lo"), (F.col("start") + LENGTH).alias("hi"))
+    here = found.filter("n = 0").select("tid", F.col("start").alias("lo"), (F.col("stop") - 1 + LENGTH).alias("hi"))
     # Groups dealt over several places: a window is covered if its counts add up to two.
     dealt = found.filter("n > 0")
     twice = dealt.groupBy("grp", "window").agg(F.sum("n").alias("n")).filter("n > 1").select("grp", "window")

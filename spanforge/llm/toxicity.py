@@ -23,25 +23,29 @@ def train(docs: DataFrame, labels: DataFrame, spec: linear.Spec = SPEC) -> linea
     return linear.fit(linear.labelled_sample(docs, labels, "toxic", spec, lambda c: crc_fold(c, FOLDS) != 0), spec)
 
 
-def score(docs: DataFrame, model: linear.Model, keep: tuple[str, ...] = (), text_col: str = "text") -> DataFrame:
-    """``keep`` columns of every row plus score (0 to 1).
-
-    A null or empty text scores as a text without n-grams.  Repeated rows score alike;
-    a very long text is scored whole.  Nothing but the text enters the score.
-    """
+def _scored(docs: DataFrame, model: linear.Model, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
+    """``keep`` columns of every row as kept_<name>, plus text_score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*[F.col(c).alias(f"kept_{c}") for c in keep], F.coalesce(F.col(text_col), F.lit("")).alias("scored_text"))
-    schema = rows.drop("scored_text").schema.add("score", "double")
+    schema = rows.drop("scored_text").schema.add("text_score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = linear.Scorer(shared.value)
         for batch in batches:
             parts = [scorer(data, bounds) for _, _, data, bounds in tk.slices(batch.column("scored_text"))]
             column = pa.array(np.concatenate(parts) if parts else np.zeros(0))
-            yield pa.record_batch([*batch.columns[:-1], column], [*batch.schema.names[:-1], "score"])
+            yield pa.record_batch([*batch.columns[:-1], column], [*batch.schema.names[:-1], "text_score"])
+
+    return rows.mapInArrow(run, schema)
 
-    scored = rows.mapInArrow(run, schema)
-    return scored.select(*[F.col(f"kept_{c}").alias(c) for c in keep], "score")
+
+def score(docs: DataFrame, model: linear.Model, keep: tuple[str, ...] = (), text_col: str = "text") -> DataFrame:
+    """``keep`` columns of every row plus score (0 to 1).
+
+    A null or empty text scores as a text without n-grams.  Repeated rows score alike;
+    a very long text is scored whole.  Nothing but the text enters the score.
+    """
+    return _scored(docs, model, keep, text_col).select(*[F.col(f"kept_{c}").alias(c) for c in keep], F.col("text_score").alias("score"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -58,4 +62,5 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows predicted toxic; columns unchanged."""
     columns = tuple(docs.columns)
-    return score(docs, train(docs, labels), keep=columns).filter(F.col("score") < THRESHOLD).select(*columns)
+    kept = _scored(docs, train(docs, labels), columns).filter(F.col("text_score") < THRESHOLD)
+    return kept.select(*[F.col(f"kept_{c}").alias(c) for c in columns])
