@@ -129,7 +129,7 @@ _CONTEXT = "side byte, grp long, ctx long, tid long, pos int, lo int, hi int"
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(tid, text, at[] of struct) -> the bytes each undecided sample's windows can see."""
-    for batch in batches:
+    for batch in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
         tids, lists, texts = batch.column("tid").to_numpy(), batch.column("at"), batch.column("text")
         out: dict[str, list] = {k: [] for k in ("grp", "salt", "alone", "dealt", "tid", "pos", "lo", "bytes")}
         for i in range(batch.num_rows):
@@ -235,13 +235,15 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _read_again(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(tid, text, at) for one document of every text in ``wanted`` (tid, rep, at)."""
+    """(tid, text, at) for one document of every text in ``wanted`` (tid, rep, at).
+
+    The keys alone, counted, may be broadcast to drop other documents before the shuffle
+    that brings the lists to their texts.
+    """
     wanted = materialize(wanted, "suffix-wanted")
-    return (
-        texts.alias("t")
-        .join(sized_broadcast(wanted, wanted.count()).alias("w"), (F.col("t.tid") == F.col("w.tid")) & F.col("t.doc_id").eqNullSafe(F.col("w.rep")))
-        .select("t.tid", "t.text", "w.at")
-    )
+    keys = sized_broadcast(wanted.select(F.col("tid").alias("w_tid"), "rep"), wanted.count())
+    needed = texts.join(keys, (F.col("tid") == F.col("w_tid")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    return needed.join(wanted.hint("shuffle_merge"), "tid").select("tid", "text", "at")
 
 
 def _differ(a: Column) -> tuple[Column, Column]:
@@ -298,11 +300,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = _texts(docs, id_col, text_col)
     spans, known = covered_spans(texts)
     single = spans.groupBy("tid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    info = materialize(
-        known.select("tid", "copies").join(single, "tid", "left").filter("copies > 1 or spans is not null")
-        .withColumn("spans", F.when(F.col("copies") == 1, F.col("spans"))),
-        "suffix-info",
-    )
-    joined = texts.join(sized_broadcast(info, info.count()), "tid", "left").select("doc_id", "text", "copies", "spans")
+    once = known.filter("copies = 1").select("tid")
+    info = materialize(single.join(once, "tid"), "suffix-info")
+    twice = materialize(known.filter("copies > 1").select("tid"), "suffix-copies")
+    part = sized_broadcast(info.select("tid"), info.count())
+    whole = sized_broadcast(twice, twice.count())
+
+    none = F.lit(None).cast(info.schema["spans"].dataType).alias("spans")
+    cut = texts.join(part, "tid", "left_semi").join(info.hint("shuffle_merge"), "tid").select("doc_id", "text", F.lit(1).alias("copies"), "spans")
+    gone = texts.join(whole, "tid", "left_semi").select("doc_id", "text", F.lit(2).alias("copies"), none)
+    rest = texts.join(part, "tid", "left_anti").join(whole, "tid", "left_anti").select("doc_id", "text", F.lit(1).alias("copies"), none)
+    joined = cut.unionByName(gone).unionByName(rest)
     id_type = texts.schema["doc_id"].dataType.simpleString()
     return joined.mapInArrow(_kept, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes handled at once; arrays of eight bytes a position follow from it.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
