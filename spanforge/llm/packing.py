@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pandas as pd
@@ -26,10 +27,10 @@ CAPACITY = 1024
 END_ID = 2
 END = END_ID.to_bytes(4, "little")
 #: Pieces packed together; a partition's memory and its share of the rounding loss follow from it.
-PIECES_PER_PARTITION = 8192
+PIECES_PER_PARTITION = 32768
 ROUNDS = 3
-#: Remembered pre-tokens per worker; beyond that the memory is dropped and refilled.
-MEMO_ENTRIES = 1 << 20
+#: Remembered pre-tokens, and stretches, per task; beyond that they are dropped and learnt again.
+MEMO_ENTRIES = 1 << 19
 #: Pre-tokens encoded, and texts split, at once.
 LEARN_AT_ONCE = 4096
 TEXTS_AT_ONCE = 128
@@ -42,7 +43,7 @@ class _Encoder:
 
     The vocabulary merges only inside a pre-token.  So each distinct pre-token is encoded
     once, each distinct stretch between single blanks is put together once, and both are
-    remembered for the life of the worker.
+    remembered until the task ends (the worker's memory is needed by later stages).
     """
 
     def __init__(self, path: str):
@@ -73,24 +74,27 @@ class _Encoder:
     def _join(self, parts: list[list[str]]) -> list[bytes]:
         """Ids of texts given as pre-tokens."""
         known = self.pretokens
-        fresh = list(set().union(*parts).difference(known))
+        fresh = list(set(filterfalse(known.__contains__, chain.from_iterable(parts))))
         if len(known) + len(fresh) > MEMO_ENTRIES:
             known.clear()
-            fresh = list(set().union(*parts))
+            fresh = list(set(chain.from_iterable(parts)))
         for k in range(0, len(fresh), LEARN_AT_ONCE):
             self._encode_pretokens(fresh[k : k + LEARN_AT_ONCE])
         return [b"".join(map(known.__getitem__, words)) for words in parts]
 
+    def forget(self) -> None:
+        self.pretokens.clear()
+        self.stretches.clear()
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         # A single blank before anything but a blank always starts a pre-token; texts with
         # runs of blanks are split by the tokenizer's own pattern instead.
         plain = [None if self.blank_run(text) else text.replace(" ", "\0 ").split("\0") if "\0" not in text else None for text in texts]
         known = self.stretches
-        wanted = set().union(*(p for p in plain if p is not None))
-        fresh = list(wanted.difference(known))
-        if len(known) + len(fresh) > MEMO_ENTRIES // 2:
+        fresh = list(set(filterfalse(known.__contains__, chain.from_iterable(p for p in plain if p is not None))))
+        if len(known) + len(fresh) > MEMO_ENTRIES:
             known.clear()
-            fresh = list(wanted)
+            fresh = list(set(chain.from_iterable(p for p in plain if p is not None)))
         known.update(zip(fresh, self._join([self.split(w) for w in fresh])))
         whole = iter(self._join([self.split(text) for text, p in zip(texts, plain) if p is None]))
         return [(next(whole) if p is None else b"".join(map(known.__getitem__, p))) + END for p in plain]
@@ -133,6 +137,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: i
                     for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                         out.append((doc_id, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+        encoder.forget()
 
     pieces = rows.mapInPandas(encode, _PIECE_SCHEMA.replace("doc_id long", "doc_id string"))
     return pieces.withColumn("doc_id", F.col("doc_id").cast("long"))
