@@ -44,6 +44,9 @@ class _Encoder:
     The vocabulary merges only inside a pre-token.  So each distinct pre-token is encoded
     once, each distinct stretch between single blanks is put together once, and both are
     remembered until the task ends (the worker's memory is needed by later stages).
+
+    A call takes its texts as ordinary text throughout; ``documents`` gives what the file
+    gives by default, where an added token in a text is one id.
     """
 
     def __init__(self, path: str):
@@ -55,6 +58,12 @@ class _Encoder:
         self.tokenizer.encode_special_tokens = True
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.blank_run = regex.compile(r"\s\s").search
+        tokens = self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word for t in tokens.values()):
+            raise ValueError(f"{path}: added tokens that look at their neighbours are not supported")
+        self.added = {t.content: np.array(i, "<u4").tobytes() for i, t in tokens.items()}
+        # Leftmost, then longest, as the library matches them; odd places of a split hold the tokens.
+        self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split
         self.pretokens: dict[str, bytes] = {}
         self.stretches: dict[str, bytes] = {}
 
@@ -99,6 +108,15 @@ class _Encoder:
         whole = iter(self._join([self.split(text) for text, p in zip(texts, plain) if p is None]))
         return [(next(whole) if p is None else b"".join(map(known.__getitem__, p))) + END for p in plain]
 
+    def documents(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts cut at the added tokens; the stretches between are ordinary text."""
+        parts = [self.split_added(text) if any(map(text.__contains__, self.added)) else [text] for text in texts]
+        between = iter(self(list(chain.from_iterable(p[::2] for p in parts))))
+        return [
+            next(between) if len(p) == 1 else b"".join(self.added[x] if k % 2 else next(between)[: -len(END)] for k, x in enumerate(p)) + END
+            for p in parts
+        ]
+
 
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str) -> _Encoder:
@@ -133,7 +151,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: i
             out: list[tuple] = []
             doc_ids, texts = batch["doc_id"].tolist(), batch["text"].tolist()
             for k in range(0, len(texts), TEXTS_AT_ONCE):
-                for doc_id, ids in zip(doc_ids[k : k + TEXTS_AT_ONCE], encoder(texts[k : k + TEXTS_AT_ONCE])):
+                for doc_id, ids in zip(doc_ids[k : k + TEXTS_AT_ONCE], encoder.documents(texts[k : k + TEXTS_AT_ONCE])):
                     for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                         out.append((doc_id, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])

@@ -96,6 +96,24 @@ def test_encoder_splits_like_the_tokenizer():
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids + [2], text
 
 
+def test_added_tokens_are_one_id_as_in_the_file(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    e = "<|endoftext|>"
+    texts = [f"a {e} b", e, e + e, f"{e} q", f"q  {e}", f"a \n{e}\n\n b", f"<|{e}|>", "<|endoftext|", f"x\x00 y{e} it's  we're", "plain text", "", f"é {e}" * 700]
+    assert t.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    for text, ids in zip(texts, packing._encoder(path).documents(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids + [2], text
+    want = []
+    for r, text in enumerate(texts):
+        ids = np.array(t.encode(text, add_special_tokens=False).ids + [2], "<u4")
+        want += [(r, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(packing.cut(len(ids), 1024))]
+    same_rows([tuple(x) for x in packing.token_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()], want)
+
+
 def test_bounds_hold_and_rounds_help(spark):
     rng = np.random.default_rng(1)
     for _ in range(30):
