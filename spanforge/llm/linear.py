@@ -1,8 +1,8 @@
 """Hashed n-gram linear models: fitted on a bounded labelled sample, scored in Arrow batches.
 
 The sample (``Spec.max_rows`` labelled rows, lowest id hash first) is the only data that
-reaches the driver, as sparse rows over at most ``Spec.max_features`` features.  Class
-counts over the sample are grouped in Spark; scoring covers every row and its whole text.
+reaches the driver, as sparse rows of two-byte columns over at most ``Spec.max_features``
+features, summed in blocks.  Class counts over the sample are grouped in Spark; scoring covers every row and its whole text.
 """
 
 from __future__ import annotations
@@ -19,6 +19,9 @@ from spanforge.llm import textkernel as tk
 from spanforge.llm.stage import hash32, materialize
 
 U = np.uint64
+#: Entries of the sparse rows that a step of the fit looks at together, and tasks that count the sample.
+BLOCK_ENTRIES = 1 << 18
+COUNT_TASKS = 12
 
 
 @dataclass(frozen=True)
@@ -32,8 +35,8 @@ class Spec:
     bayes_scaled: bool
     bits: int = 22
     #: Documented bounds of the fit.
-    max_rows: int = 8_000
-    max_features: int = 1 << 13
+    max_rows: int = 20_000
+    max_features: int = 1 << 15
     min_docs: int = 5
     l2: float = 1.0
     steps: int = 150
@@ -128,7 +131,7 @@ def fit(sample: DataFrame, spec: Spec, calibrate: bool = False) -> Model:
         rate = (n_pos + 0.5) / (n_neg + n_pos + 1.0)
         return Model(spec, np.zeros(0, np.int64), np.zeros(0), float(np.log(rate / (1 - rate))))
     counts = (
-        sample.select("label", "text").mapInArrow(count, "bucket long, neg int, pos int")
+        sample.select("label", "text").repartition(COUNT_TASKS).mapInArrow(count, "bucket long, neg int, pos int")
         .groupBy("bucket").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
         .filter(F.col("neg") + F.col("pos") >= spec.min_docs)
     )
@@ -143,6 +146,7 @@ def fit(sample: DataFrame, spec: Spec, calibrate: bool = False) -> Model:
     scale = chosen["ratio"].to_numpy()[order] if spec.bayes_scaled else np.ones(len(buckets))
     wanted = np.zeros(1 << spec.bits, bool)
     wanted[buckets] = True
+    kind = np.dtype("<u2" if len(buckets) <= 1 << 16 else "<u4")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,39 +154,53 @@ def fit(sample: DataFrame, spec: Spec, calibrate: bool = False) -> Model:
             for first, end, data, bounds in tk.slices(batch.column("text")):
                 row, bucket = features(data, bounds, spec, wanted)
                 at = np.searchsorted(row, np.arange(end - first + 1))
-                column = pa.array(np.searchsorted(buckets, bucket).astype(np.int32))
+                column = pa.py_buffer(np.searchsorted(buckets, bucket).astype(kind).tobytes())
+                ends = pa.py_buffer((at * kind.itemsize).astype(np.int32).tobytes())
                 yield pa.record_batch(
-                    [pa.array(label[first:end]), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), column)], ["label", "columns"]
+                    [pa.array(label[first:end]), pa.Array.from_buffers(pa.binary(), end - first, [None, ends, column])], ["label", "columns"]
                 )
 
-    rows = sample.select("label", "text").mapInArrow(sparse, "label int, columns array<int>").toArrow()
+    rows = sample.select("label", "text").mapInArrow(sparse, "label int, columns binary").toArrow()
     label = rows["label"].to_numpy().astype(float)
-    lists = rows["columns"].combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    column = lists.flatten().to_numpy()
-    length = np.diff(lists.offsets.to_numpy())
-    del rows, lists
-    row = np.repeat(np.arange(len(label), dtype=np.int32), length)
+    blocks = [b for chunk in rows["columns"].chunks for b in _blocks(chunk, kind)]
+    del rows
     held = (np.arange(len(label)) % 5 == 0) if calibrate else np.zeros(len(label), bool)
-    weights, intercept = _logistic(row, column, scale, label, ~held, spec)
+    weights, intercept = _logistic(blocks, scale, label, ~held, spec)
     slope, shift = 1.0, 0.0
     if calibrate and len(np.unique(label[held])) == 2:
-        margin = np.bincount(row, weights=weights[column], minlength=len(label))[held] + intercept
+        margin = _margins(blocks, weights)[held] + intercept
         slope, shift = _platt(margin, label[held])
     return Model(spec, buckets, weights, intercept, slope, shift)
 
 
-def _logistic(row, column, scale, label, used, spec: Spec) -> tuple[np.ndarray, float]:
+def _blocks(lists: pa.BinaryArray, kind: np.dtype) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(columns, entries of each row) of runs of rows with about ``BLOCK_ENTRIES`` entries; columns are not copied."""
+    _, at, data = lists.buffers()
+    at = np.frombuffer(at, np.int32)[lists.offset : lists.offset + len(lists) + 1].astype(np.int64) // kind.itemsize
+    columns = np.frombuffer(data, kind, at[-1]) if at[-1] else np.zeros(0, kind)
+    cuts = np.unique(np.append(np.searchsorted(at, np.arange(at[0], at[-1], BLOCK_ENTRIES)), [0, len(lists)]))
+    return [(columns[at[lo] : at[hi]], np.diff(at[lo : hi + 1])) for lo, hi in zip(cuts, cuts[1:])]
+
+
+def _margins(blocks: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray) -> np.ndarray:
+    """Sum of the weights of every row's columns."""
+    return np.concatenate([np.bincount(np.repeat(np.arange(len(n)), n), weights=weights[column], minlength=len(n)) for column, n in blocks])
+
+
+def _logistic(blocks, scale, label, used, spec: Spec) -> tuple[np.ndarray, float]:
     """L2-penalised logistic regression by Adam on all rows; returns weights on unscaled features."""
     n, k = len(label), len(scale)
     live = used.astype(float) / max(1, used.sum())
-    value = scale[column]
     w, b = np.zeros(k), float(np.log((label[used].mean() + 1e-6) / (1 - label[used].mean() + 1e-6)))
     m, v = np.zeros(k + 1), np.zeros(k + 1)
     for t in range(1, spec.steps + 1):
-        margin = np.bincount(row, weights=value * w[column], minlength=n) + b
+        margin = _margins(blocks, scale * w) + b
         off = (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - label) * live
-        grad = np.append(np.bincount(column, weights=value * off[row], minlength=k) + spec.l2 * w / n, off.sum())
+        pull, first = np.zeros(k), 0
+        for column, entries in blocks:
+            pull += np.bincount(column, weights=np.repeat(off[first : first + len(entries)], entries), minlength=k)
+            first += len(entries)
+        grad = np.append(scale * pull + spec.l2 * w / n, off.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         step = 0.03 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w, b = w - step[:k], b - step[k]

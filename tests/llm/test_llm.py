@@ -410,6 +410,36 @@ def test_toxicity(labelled):
     assert toxicity.classify(docs.limit(0), labels).count() == 0
 
 
+def test_rare_markers_past_the_first_thousands_of_features_weigh(spark):
+    """Toxic documents marked by one of 800 rare words each, whose n-grams fill more than 8,192 features."""
+    rng = random.Random(4)
+    marks = ["".join(rng.choice("bcdfghjkmpqvwxz") for _ in range(14)) for _ in range(800)]
+    vocab = ["".join(rng.choice("aeioulnrst") for _ in range(5)) for _ in range(60)]
+    texts = [" ".join(rng.choice(vocab) for _ in range(8)) + (f" {marks[i // 2 % 800]}" if i % 2 else "") for i in range(10800)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert len(model.buckets) > 1 << 13
+    data = np.frombuffer("".join(marks).encode(), np.uint8)
+    marked = linear.features(data, np.arange(801) * 14, toxicity.SPEC, linear.Scorer(model).wanted)[0]
+    assert np.bincount(marked, minlength=800).min() > 0
+    assert linear.Spec((3,), (), True, True).max_rows == 20_000
+
+
+def test_blocks_sum_like_whole_rows():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    rows = [np.sort(rng.choice(500, rng.integers(0, 90), replace=False)).astype("<u2") for _ in range(200)] + [np.zeros(0, "<u2")]
+    lists = pa.array([r.tobytes() for r in [rows[0], *rows]], pa.binary())[1:]
+    weights = rng.normal(size=500)
+    linear.BLOCK_ENTRIES, old = 100, linear.BLOCK_ENTRIES
+    blocks = linear._blocks(lists, np.dtype("<u2"))
+    linear.BLOCK_ENTRIES = old
+    assert len(blocks) > 50 and np.concatenate([n for _, n in blocks]).tolist() == [len(r) for r in rows]
+    assert np.allclose(linear._margins(blocks, weights), [weights[r].sum() for r in rows])
+
+
 def test_quality(labelled, docs):
     own, labels = labelled
     model = quality.train(own, labels)
