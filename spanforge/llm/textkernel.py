@@ -129,24 +129,28 @@ class Counts:
 
 
 class Lookup:
-    """Values of 64-bit keys by open addressing, looked up a whole array at a time."""
+    """Values of 64-bit keys by open addressing, added and looked up a whole array at a time.
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        bits = max(4, int(2 * len(keys) + 1).bit_length())
+    ``room`` is how many keys it will hold in all, if more than the first ones.
+    """
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, room: int = 0) -> None:
+        bits = max(4, int(2 * max(len(keys), room) + 1).bit_length())
         self.shift, self.mask = U(64 - bits), (1 << bits) - 1
         self.keys = np.zeros(1 << bits, np.uint64)
         self.full = np.zeros(1 << bits, bool)
         self.values = np.zeros(1 << bits, values.dtype)
+        self.add(keys, values)
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Add distinct keys that are not in yet."""
         left, slot = np.arange(len(keys)), self._slot(keys)
         while len(left):
-            free = ~self.full[slot]
-            # Of those that want the same free slot, the first gets it.
-            _, winners = np.unique(slot[free], return_index=True)
-            won = np.flatnonzero(free)[winners]
-            self.keys[slot[won]], self.values[slot[won]], self.full[slot[won]] = keys[left[won]], values[left[won]], True
-            rest = np.ones(len(left), bool)
-            rest[won] = False
-            left, slot = left[rest], (slot[rest] + 1) & self.mask
+            free = np.flatnonzero(~self.full[slot])
+            # Of those that want the same free slot, the last written gets it.
+            self.values[slot[free]], self.keys[slot[free]], self.full[slot[free]] = values[left[free]], keys[left[free]], True
+            won = self.keys[slot] == keys[left]
+            left, slot = left[~won], (slot[~won] + 1) & self.mask
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * _MULT) >> self.shift).astype(np.int64)

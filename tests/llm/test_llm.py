@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,53 +66,59 @@ def same_rows(got, want):
 # 1 packing
 
 
-def test_pieces_and_packing(docs, empty):
+def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    got = packing.pack_documents(docs).toPandas()
-    want = []
-    for r in ROWS:
-        ids = np.array(t.encode(r[1] or "", add_special_tokens=False).ids + [2], "<u4")
-        for k, (s, n) in enumerate(packing.cut(len(ids), 1024)):
-            want.append((r[0], k, s, n, zlib.crc32(ids[s : s + n].tobytes())))
-    same_rows([(None if np.isnan(x.doc_id) else int(x.doc_id), x.piece, x.start, x.length, x.ids_crc32) for x in got.itertuples()], want)
-    for _, g in got.sort_values("offset").groupby("sequence_id"):
-        assert g.length.sum() <= 1024 and (g.offset.to_numpy() == np.append(0, g.length.cumsum()[:-1])).all()
-    assert got.sequence_id.nunique() <= math.ceil(got.length.sum() / 1024) + 3
-    assert packing.pack_documents(empty).count() == 0
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return path, Tokenizer.from_file(path)
 
 
-def test_encoder_splits_like_the_tokenizer():
-    import public_tokenizers
-    from tokenizers import Tokenizer
+def brute_pieces(rows):
+    t, out = tokenizer()[1], []
+    for doc_id, text in rows:
+        ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
+        starts = [0] if len(ids) <= 1024 else sorted({0, *range(len(ids) % 1024, len(ids), 1024)})
+        for k, (s, e) in enumerate(zip(starts, [*starts[1:], len(ids)])):
+            out.append((doc_id, k, s, e - s, zlib.crc32(ids[s:e].tobytes())))
+    return out
 
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    odd = ["", " ", "  a", "a  b", "a \tb", "a\n b", " a b ", "it's  we're 's", "a  b", "x\x00 y", "<|endoftext|> q", "12 3.4,5 !! ?!", "é́ ​ z", "end \n\n"]
-    for text, ids in zip(odd, packing._encoder(path)(odd)):
-        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids + [2], text
 
+def test_pieces_and_packing(docs, empty):
+    got = packing.pack_documents(docs).collect()
+    same_rows([tuple(r)[:5] for r in got], brute_pieces([(r[0], r[1]) for r in ROWS]))
+    places = defaultdict(list)
+    for r in got:
+        places[r.sequence_id].append((r.offset, r.length))
+    for held in places.values():
+        held.sort()
+        assert [o for o, _ in held] == [sum(n for _, n in held[:k]) for k in range(len(held))] and sum(n for _, n in held) <= 1024
+    assert len(places) <= math.ceil(sum(r.length for r in got) / 1024) + 3
+    assert packing.pack_documents(empty).count() == 0
 
-def test_added_tokens_are_one_id_as_in_the_file(spark):
-    import public_tokenizers
-    from tokenizers import Tokenizer
 
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    t = Tokenizer.from_file(path)
-    e = "<|endoftext|>"
-    texts = [f"a {e} b", e, e + e, f"{e} q", f"q  {e}", f"a \n{e}\n\n b", f"<|{e}|>", "<|endoftext|", f"x\x00 y{e} it's  we're", "plain text", "", f"é {e}" * 700]
-    assert t.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
-    for text, ids in zip(texts, packing._encoder(path).documents(texts)):
-        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids + [2], text
-    want = []
-    for r, text in enumerate(texts):
-        ids = np.array(t.encode(text, add_special_tokens=False).ids + [2], "<u4")
-        want += [(r, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(packing.cut(len(ids), 1024))]
-    same_rows([tuple(x) for x in packing.token_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()], want)
+def test_encoder_agrees_with_the_tokenizer():
+    path, t = tokenizer()
+    e, rng = "<|endoftext|>", random.Random(1)
+    texts = ["", " ", "  a", "a  b", "a \tb", "a\n b", " a b ", "it's  we're 's", "x\x00 y", "12 3.4,5 !! ?!", "é\u0301 \u200b z", "end \n\n", "a.\n\nb", "a.\nb", "é's é. \u00d7. \u00f7, ñ,b"]
+    texts += [f"a {e} b", e, e + e, f"{e} {e}", f"{e} q", f"q  {e}", f"a \n{e}\n\n b", f"<|{e}|>", "<|endo", "ftext|> x", "a" * 5000, "\u3000a\u3000b \u3000x", "x \u00a0y", f"é {e}" * 700]
+    signs = ["a", "b", "é", "'", "s", ".", " ", " ", "\n", "\t", "1", e, "\u00a0", "\u3000", "ß", "!", "中", "\r", "\x1c", "\u0301", "ll", "re", "\u00d7"]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    assert t.encode(f"a {e} b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    encoder = packing._Encoder(path)
+    for entries in (packing.MEMO_ENTRIES, 50):  # the second memo overflows again and again
+        encoder.memo = packing._Memo(entries)
+        for first, end, data, bounds in tk.slices(pa.array(texts), 3000):
+            ids, at = encoder(data, bounds)
+            for text, lo, hi in zip(texts[first:end], at, at[1:]):
+                assert ids[lo:hi].tolist() == t.encode(text, add_special_tokens=False).ids + [2], text
+
+
+def test_pieces_keep_ids_of_any_kind(spark):
+    texts = ["plain text", "", None, "w " * 3000]
+    rows = [(f"d{k}", t, k) for k, t in enumerate(texts)] + [(None, "no id", 9)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id string, text string, offset int"))
+    same_rows([tuple(r)[:5] for r in got.collect()], brute_pieces([(r[0], r[1]) for r in rows]))
 
 
 def test_bounds_hold_and_rounds_help(spark):
