@@ -1,8 +1,11 @@
-"""Hashed n-gram linear models: fitted on a bounded labelled sample, scored in Arrow batches.
-
-The sample (``Spec.max_rows`` labelled rows, lowest id hash first) is the only data that
-reaches the driver, as sparse rows of two-byte columns over at most ``Spec.max_features``
-features, summed in blocks.  Class counts over the sample are grouped in Spark; scoring covers every row and its whole text.
+"""Hashed n-gram linear models: fitted by gradients summed over partitions, scored in Arrow batches.
+
+A feature is the presence of an n-gram in a text, hashed into ``2 ** Spec.bits`` buckets,
+and every bucket has its weight: none is selected or left out.  The fit reads a bounded
+labelled sample (``Spec.max_rows`` rows, lowest id hash first), which stays on the
+executors as blocks of bucket numbers; each step of the optimiser broadcasts the weights
+and adds up the partitions' gradients.  What reaches the driver is bounded by the number
+of buckets.  Scoring covers every row and its whole text.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +23,11 @@ from spanforge.llm import textkernel as tk
 from spanforge.llm.stage import hash32, materialize
 
 U = np.uint64
-#: Entries of the sparse rows that a step of the fit looks at together, and tasks that count the sample.
-BLOCK_ENTRIES = 1 << 18
-COUNT_TASKS = 12
+_STEP, _SPREAD = U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95)
+#: Partitions the sample is dealt to for counting and for every gradient.
+FIT_TASKS = 12
+#: Pairs of steps the optimiser remembers.
+MEMORY = 5
 
 
 @dataclass(frozen=True)
@@ -31,23 +37,20 @@ class Spec:
     char_ngrams: tuple[int, ...]
     word_ngrams: tuple[int, ...]
     lower: bool
-    #: Scale each feature by its naive Bayes log-count ratio (presence features), or not.
+    #: Scale each feature by its naive Bayes log-count ratio, or not.
     bayes_scaled: bool
-    bits: int = 22
-    #: Documented bounds of the fit.
+    bits: int = 20
+    #: Documented bound of the labelled sample.
     max_rows: int = 20_000
-    max_features: int = 1 << 15
-    min_docs: int = 5
-    l2: float = 1.0
-    steps: int = 150
+    l2: float = 4.0
+    steps: int = 12
 
 
 @dataclass(frozen=True)
 class Model:
-    """Selected feature buckets (sorted), their weights, the intercept, and the calibration."""
+    """A weight for every bucket, the intercept, and the calibration."""
 
     spec: Spec
-    buckets: np.ndarray
     weights: np.ndarray
     intercept: float
     slope: float = 1.0
@@ -57,154 +60,236 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * (margin + self.intercept) + self.shift, -500, 500)))
 
 
-def features(data: np.ndarray, bounds: np.ndarray, spec: Spec, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, bucket) pairs, rows ascending.  ``wanted`` keeps only buckets marked in it.
-
-    Character n-grams are taken over bytes inside the row, words as in the contracts.
-    """
-    if spec.lower:
-        data = tk.lower(data)
-    shift = U(64 - spec.bits)
-    n_rows = len(bounds) - 1
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def keep(row_of: Callable[[np.ndarray], np.ndarray], bucket: np.ndarray, at: np.ndarray | None) -> None:
-        good = np.ones(len(bucket), bool) if at is None else at
-        if wanted is not None:
-            good = good & wanted[bucket]
-        where = np.flatnonzero(good)
-        found.append((row_of(where), bucket[where]))
-
-    code = np.zeros(len(data), np.uint64)
-    left = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(data))  # bytes to the row's end
-    for n in range(1, max(spec.char_ngrams, default=0) + 1):
-        code = code[: max(0, len(data) - n + 1)] << U(8) | data[n - 1 :]
-        if n in spec.char_ngrams and len(code):
-            bucket = (tk.mix64(code * U(2 * n + 1)) >> shift).astype(np.int64)
-            keep(lambda where: np.searchsorted(bounds, where, "right") - 1, bucket, left[: len(code)] >= n)
-    if spec.word_ngrams:
-        starts, ends, first = tk.words(data, bounds)
-        hashes = tk.span_hashes(data, starts, ends)
-        word_row = np.repeat(np.arange(n_rows), np.diff(first))
-        for n in spec.word_ngrams:
-            if len(hashes) >= n:
-                bucket = (tk.sequence_hashes(hashes, n) >> shift).astype(np.int64)
-                keep(lambda where: word_row[where], bucket, word_row[: len(bucket)] == word_row[n - 1 :])
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    row = np.concatenate([f[0] for f in found])
-    pairs = np.unique(row << np.int64(spec.bits) | np.concatenate([f[1] for f in found]))
-    return pairs >> np.int64(spec.bits), pairs & np.int64((1 << spec.bits) - 1)
+class Features:
+    """Distinct buckets of texts.  Characters are code points, words as in the contracts."""
+
+    def __init__(self, spec: Spec):
+        self.spec = spec
+        self.last = np.zeros(1 << spec.bits, np.int32)
+
+    def __call__(self, data: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
+        """The buckets of each row in turn."""
+        spec = self.spec
+        if spec.lower:
+            data = tk.lower(data)
+        shift = U(64 - spec.bits)
+        parts: list[tuple[np.ndarray, np.ndarray, int]] = []  # buckets by position, row bounds, n
+        if spec.char_ngrams:
+            points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4").astype(np.uint64)
+            upto = np.append(0, np.cumsum((data & 0xC0) != 0x80))
+            code = np.zeros(len(points), np.uint64)
+            for n in range(1, max(spec.char_ngrams) + 1):
+                code = code[: max(0, len(points) - n + 1)] * _STEP + points[n - 1 :] + U(1)
+                if n in spec.char_ngrams:
+                    parts.append(((code * _SPREAD >> shift).astype(np.int32), upto[bounds], n))
+        if spec.word_ngrams:
+            starts, ends, first = tk.words(data, bounds)
+            hashes = tk.span_hashes(data, starts, ends)
+            for n in spec.word_ngrams:
+                parts.append(((tk.sequence_hashes(hashes, n) >> shift).astype(np.int32), first, n))
+        ends = [bound.tolist() for _, bound, _ in parts]
+        for r in range(len(bounds) - 1):
+            all_ = np.concatenate([bucket[e[r] : max(e[r], e[r + 1] - n + 1)] for (bucket, _, n), e in zip(parts, ends)])
+            # Of equal buckets the last written keeps its place.
+            place = np.arange(len(all_), dtype=np.int32)
+            self.last[all_] = place
+            yield all_[self.last[all_] == place]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, spec: Spec, fold_filter) -> DataFrame:
-    """(label, text) of at most ``spec.max_rows`` labelled rows outside the held-out fold."""
+    """(doc_id, label, held, text) of at most ``spec.max_rows`` labelled ids outside the held-out fold.
+
+    Of several texts under one id, or labels of one id, one is taken.  ``held`` marks a
+    fifth of the rows, by id, for calibration.
+    """
+    by_hash = hash32(F.col("doc_id").cast("string"))
     chosen = (
         labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & fold_filter(F.col("doc_id")))
-        .select("doc_id", F.col(label).cast("int").alias("label"))
-        .dropDuplicates(["doc_id"])
-        .orderBy(hash32(F.col("doc_id").cast("string")), "doc_id")
-        .limit(spec.max_rows)
+        .groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("label"))
+        .orderBy(by_hash, "doc_id").limit(spec.max_rows)
     )
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").orderBy("doc_id", F.xxhash64("text"))
-    return materialize(rows.limit(2 * spec.max_rows), "linear-sample")
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    held = hash32(F.concat(F.lit("held|"), F.col("doc_id").cast("string"))) % 5 == 0
+    return materialize(rows.select("doc_id", "label", held.alias("held"), "text").repartition(FIT_TASKS, by_hash), "linear-sample")
 
 
-def fit(sample: DataFrame, spec: Spec, calibrate: bool = False) -> Model:
-    """Fit on (label, text) rows; without both labels the model is the rate of the one there is."""
+def _counts(sample: DataFrame, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
+    """How many negative and positive texts have each bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((2, 1 << spec.bits), np.int32)
+        features, totals = Features(spec), np.zeros((2, 1 << spec.bits), np.int32)
         for batch in batches:
             label = batch.column("label").to_numpy()
             for first, _, data, bounds in tk.slices(batch.column("text")):
-                row, bucket = features(data, bounds, spec)
-                for k in (0, 1):
-                    totals[k] += np.bincount(bucket[label[first + row] == k], minlength=1 << spec.bits).astype(np.int32)
+                for k, buckets in enumerate(features(data, bounds)):
+                    totals[label[first + k], buckets] += 1
         seen = np.flatnonzero(totals.any(axis=0))
-        yield pa.record_batch([pa.array(seen), pa.array(totals[0, seen]), pa.array(totals[1, seen])], ["bucket", "neg", "pos"])
+        yield pa.record_batch([pa.array(seen.astype(np.int32)), pa.array(totals[0, seen]), pa.array(totals[1, seen])], ["bucket", "neg", "pos"])
 
-    sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_neg, n_pos = sizes.get(0, 0), sizes.get(1, 0)
-    if not n_neg or not n_pos:
-        rate = (n_pos + 0.5) / (n_neg + n_pos + 1.0)
-        return Model(spec, np.zeros(0, np.int64), np.zeros(0), float(np.log(rate / (1 - rate))))
-    counts = (
-        sample.select("label", "text").repartition(COUNT_TASKS).mapInArrow(count, "bucket long, neg int, pos int")
-        .groupBy("bucket").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-        .filter(F.col("neg") + F.col("pos") >= spec.min_docs)
-    )
-    ratio = F.log((F.col("pos") + 1.0) / (n_pos + 2.0)) - F.log((F.col("neg") + 1.0) / (n_neg + 2.0))
-    # Features worth a weight: large ratios that rest on many documents.
-    chosen = (
-        counts.withColumn("ratio", ratio).withColumn("worth", F.abs("ratio") * F.sqrt(F.least(F.col("pos") + F.col("neg"), n_pos + n_neg - F.col("pos") - F.col("neg"))))
-        .orderBy(F.desc("worth"), "bucket").limit(spec.max_features).toArrow()
-    )
-    order = np.argsort(chosen["bucket"].to_numpy())
-    buckets = chosen["bucket"].to_numpy()[order]
-    scale = chosen["ratio"].to_numpy()[order] if spec.bayes_scaled else np.ones(len(buckets))
-    wanted = np.zeros(1 << spec.bits, bool)
-    wanted[buckets] = True
-    kind = np.dtype("<u2" if len(buckets) <= 1 << 16 else "<u4")
-
-    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sample.select("label", "text").mapInArrow(count, "bucket int, neg int, pos int")
+    got = rows.groupBy("bucket").agg(F.sum("neg").cast("int").alias("neg"), F.sum("pos").cast("int").alias("pos")).toArrow()
+    both = np.zeros((2, 1 << spec.bits), np.int32)
+    for k, name in enumerate(("neg", "pos")):
+        both[k, got["bucket"].to_numpy()] = got[name].to_numpy()
+    return both[0], both[1]
+
+
+def _blocks(sample: DataFrame, spec: Spec) -> DataFrame:
+    """The sample as blocks of rows: label and held flag of each, its number of buckets, and the buckets."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features(spec)
         for batch in batches:
-            label = batch.column("label").to_numpy()
+            label, held = batch.column("label").to_numpy(), batch.column("held").to_numpy(zero_copy_only=False)
             for first, end, data, bounds in tk.slices(batch.column("text")):
-                row, bucket = features(data, bounds, spec, wanted)
-                at = np.searchsorted(row, np.arange(end - first + 1))
-                column = pa.py_buffer(np.searchsorted(buckets, bucket).astype(kind).tobytes())
-                ends = pa.py_buffer((at * kind.itemsize).astype(np.int32).tobytes())
-                yield pa.record_batch(
-                    [pa.array(label[first:end]), pa.Array.from_buffers(pa.binary(), end - first, [None, ends, column])], ["label", "columns"]
-                )
-
-    rows = sample.select("label", "text").mapInArrow(sparse, "label int, columns binary").toArrow()
-    label = rows["label"].to_numpy().astype(float)
-    blocks = [b for chunk in rows["columns"].chunks for b in _blocks(chunk, kind)]
-    del rows
-    held = (np.arange(len(label)) % 5 == 0) if calibrate else np.zeros(len(label), bool)
-    weights, intercept = _logistic(blocks, scale, label, ~held, spec)
+                rows = list(features(data, bounds))
+                block = (label[first:end].astype("u1"), held[first:end].astype("u1"), np.array([len(x) for x in rows], "<i4"), np.concatenate(rows).astype("<i4"))
+                yield pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in block], ["label", "held", "sizes", "buckets"])
+
+    return sample.select("label", "held", "text").mapInArrow(pack, "label binary, held binary, sizes binary, buckets binary")
+
+
+def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            label, held, sizes, buckets = (batch.column(c)[i].as_buffer() for c in ("label", "held", "sizes", "buckets"))
+            yield np.frombuffer(label, "u1"), np.frombuffer(held, "u1") > 0, np.frombuffer(sizes, "<i4"), np.frombuffer(buckets, "<i4")
+
+
+def _row_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(sizes))
+    full = sizes > 0
+    if full.any():
+        out[full] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[full], dtype=np.float64)
+    return out
+
+
+def _slope(margin: np.ndarray, label: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(margin, -500, 500))) - label
+
+
+def _gradient(blocks: DataFrame, weights: np.ndarray, intercept: float, skip_held: bool) -> tuple[float, float, np.ndarray]:
+    """Log loss, and its slope in the intercept and in every weight, over the rows used."""
+    size = len(weights)
+    shared = blocks.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, loss, first, pull = shared.value, 0.0, 0.0, np.zeros(size)
+        for label, held, sizes, buckets in _read_blocks(batches):
+            margin = _row_sums(w[buckets], sizes) + intercept
+            used = ~held if skip_held else np.ones(len(label), bool)
+            off = _slope(margin, label) * used
+            loss += float((np.logaddexp(0, np.where(label > 0, -margin, margin)) * used).sum())
+            first += float(off.sum())
+            pull += np.bincount(buckets, weights=np.repeat(off, sizes), minlength=size)
+        at = np.flatnonzero(pull)
+        yield pa.record_batch(
+            [pa.array([loss]), pa.array([first]), pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([pull[at].astype("<f4").tobytes()], pa.binary())],
+            ["loss", "first", "at", "pull"],
+        )
+
+    got = blocks.mapInArrow(run, "loss double, first double, at binary, pull binary").toArrow()
+    shared.destroy()
+    pull = np.zeros(size)
+    for at, part in zip(got["at"], got["pull"]):
+        pull[np.frombuffer(at.as_buffer(), "<i4")] += np.frombuffer(part.as_buffer(), "<f4")
+    return float(np.sum(got["loss"].to_numpy())), float(np.sum(got["first"].to_numpy())), pull
+
+
+def minimise(evaluate: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, steps: int, bend: float | None = None, enough: float = 1e-4) -> np.ndarray:
+    """Limited-memory quasi-Newton descent with backtracking, at most ``steps`` evaluations; ``bend`` bounds the curvature, if known."""
+    x, (loss, slope) = start, evaluate(start)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    spent = 1
+    while spent < steps:
+        way, taken = slope.copy(), []
+        for s, y, sy in reversed(past):
+            taken.append(float(s @ way) / sy)
+            way -= taken[-1] * y
+        way *= past[-1][2] / float(past[-1][1] @ past[-1][1]) if past else 1 / (bend or max(1.0, float(np.linalg.norm(slope))))
+        for (s, y, sy), a in zip(past, reversed(taken)):
+            way += (a - float(y @ way) / sy) * s
+        reach, fall = 1.0, float(slope @ way)
+        while True:
+            there = x - np.float32(reach) * way
+            new_loss, new_slope = evaluate(there)
+            spent += 1
+            if new_loss <= loss - 1e-4 * reach * fall or spent >= steps:
+                break
+            reach *= 0.3
+        if new_loss >= loss:
+            break
+        s, y = there - x, new_slope - slope
+        if float(s @ y) > 1e-12:
+            past = [*past, (s, y, float(s @ y))][-MEMORY:]
+        gain = loss - new_loss
+        x, loss, slope = there, new_loss, new_slope
+        if gain < enough * loss:
+            break
+    return x
+
+
+def fit(sample: DataFrame, spec: Spec, calibrate: bool = False) -> Model:
+    """Fit on (label, held, text) rows; without both labels the model is the rate of the one there is.
+
+    L2-penalised logistic regression.  With ``calibrate`` the held rows stay out of the fit
+    and set the slope and shift of the probability.
+    """
+    sizes = {(r["label"], r["held"]): r["n"] for r in sample.groupBy("label", "held").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_neg, n_pos = (sum(n for (label, _), n in sizes.items() if label == k) for k in (0, 1))
+    used = [sum(n for (label, held), n in sizes.items() if label == k and not (calibrate and held)) for k in (0, 1)]
+    if not all(used):
+        rate = (n_pos + 0.5) / (n_neg + n_pos + 1.0)
+        return Model(spec, np.zeros(1 << spec.bits, np.float32), float(np.log(rate / (1 - rate))))
+    neg, pos = _counts(sample, spec)
+    live = np.flatnonzero(neg + pos)
+    ratio = np.log((pos[live] + 1.0) / (n_pos + 2.0)) - np.log((neg[live] + 1.0) / (n_neg + 2.0))
+    scale = (ratio if spec.bayes_scaled else np.ones(len(live))).astype(np.float32)
+    blocks, n = _blocks(sample, spec).persist(StorageLevel.MEMORY_AND_DISK), sum(used)
+    # The optimiser's variables are the weights over ``pace``: features bend the loss by how often
+    # they occur, all of them together no more than ``bend``.  Log-count ratios even that out.
+    often = (neg[live] + pos[live]) / (n_neg + n_pos)
+    pace, bend = np.ones(len(live), np.float32), None
+    if not spec.bayes_scaled:
+        pace, bend = (1 / np.sqrt(often + spec.l2 / n)).astype(np.float32), 0.25 * float(often.sum()) + 1
+    del neg, pos, ratio, often
+
+    def full(x: np.ndarray) -> np.ndarray:
+        weights = np.zeros(1 << spec.bits, np.float32)
+        weights[live] = scale * pace * x[:-1]
+        return weights
+
+    def evaluate(x: np.ndarray) -> tuple[float, np.ndarray]:
+        loss, first, pull = _gradient(blocks, full(x), float(x[-1]), calibrate)
+        w = pace * x[:-1]
+        slope = np.append(pace * (scale * (pull[live] / n).astype(np.float32) + np.float32(spec.l2 / n) * w), np.float32(first / n))
+        return loss / n + 0.5 * spec.l2 / n * float(w @ w), slope
+
+    start = np.zeros(len(live) + 1, np.float32)
+    start[-1] = np.log(used[1] / used[0])
+    best = minimise(evaluate, start, spec.steps, bend)
+    weights, intercept = full(best), float(best[-1])
     slope, shift = 1.0, 0.0
-    if calibrate and len(np.unique(label[held])) == 2:
-        margin = _margins(blocks, weights)[held] + intercept
-        slope, shift = _platt(margin, label[held])
-    return Model(spec, buckets, weights, intercept, slope, shift)
-
-
-def _blocks(lists: pa.BinaryArray, kind: np.dtype) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(columns, entries of each row) of runs of rows with about ``BLOCK_ENTRIES`` entries; columns are not copied."""
-    _, at, data = lists.buffers()
-    at = np.frombuffer(at, np.int32)[lists.offset : lists.offset + len(lists) + 1].astype(np.int64) // kind.itemsize
-    columns = np.frombuffer(data, kind, at[-1]) if at[-1] else np.zeros(0, kind)
-    cuts = np.unique(np.append(np.searchsorted(at, np.arange(at[0], at[-1], BLOCK_ENTRIES)), [0, len(lists)]))
-    return [(columns[at[lo] : at[hi]], np.diff(at[lo : hi + 1])) for lo, hi in zip(cuts, cuts[1:])]
-
-
-def _margins(blocks: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray) -> np.ndarray:
-    """Sum of the weights of every row's columns."""
-    return np.concatenate([np.bincount(np.repeat(np.arange(len(n)), n), weights=weights[column], minlength=len(n)) for column, n in blocks])
-
-
-def _logistic(blocks, scale, label, used, spec: Spec) -> tuple[np.ndarray, float]:
-    """L2-penalised logistic regression by Adam on all rows; returns weights on unscaled features."""
-    n, k = len(label), len(scale)
-    live = used.astype(float) / max(1, used.sum())
-    w, b = np.zeros(k), float(np.log((label[used].mean() + 1e-6) / (1 - label[used].mean() + 1e-6)))
-    m, v = np.zeros(k + 1), np.zeros(k + 1)
-    for t in range(1, spec.steps + 1):
-        margin = _margins(blocks, scale * w) + b
-        off = (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - label) * live
-        pull, first = np.zeros(k), 0
-        for column, entries in blocks:
-            pull += np.bincount(column, weights=np.repeat(off[first : first + len(entries)], entries), minlength=k)
-            first += len(entries)
-        grad = np.append(scale * pull + spec.l2 * w / n, off.sum())
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-        step = 0.03 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        w, b = w - step[:k], b - step[k]
-    return w * scale, float(b)
+    if calibrate:
+        margin, label = _held_margins(blocks, weights)
+        if len(np.unique(label)) == 2:
+            slope, shift = _platt(margin + intercept, label)
+    blocks.unpersist()
+    return Model(spec, weights, intercept, slope, shift)
+
+
+def _held_margins(blocks: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(margin, label) of the held rows: two numbers for each of a fifth of the sample."""
+    shared = blocks.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for label, held, sizes, buckets in _read_blocks(batches):
+            margin = _row_sums(shared.value[buckets], sizes)
+            yield pa.record_batch([pa.array(margin[held]), pa.array(label[held].astype(float))], ["margin", "label"])
+
+    got = blocks.mapInArrow(run, "margin double, label double").toArrow()
+    return got["margin"].to_numpy(), got["label"].to_numpy()
 
 
 def _platt(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
@@ -227,11 +312,8 @@ class Scorer:
     """A model laid out for scoring batches."""
 
     def __init__(self, model: Model):
-        self.model = model
-        self.wanted = np.zeros(1 << model.spec.bits, bool)
-        self.wanted[model.buckets] = True
+        self.model, self.features = model, Features(model.spec)
 
     def __call__(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        row, bucket = features(data, bounds, self.model.spec, self.wanted)
-        weights = self.model.weights[np.searchsorted(self.model.buckets, bucket)] if len(bucket) else np.zeros(0)
-        return self.model.probability(np.bincount(row, weights=weights, minlength=len(bounds) - 1))
+        weights = self.model.weights
+        return self.model.probability(np.array([weights[x].sum(dtype=np.float64) for x in self.features(data, bounds)]))

@@ -417,8 +417,13 @@ def test_toxicity(labelled):
     assert toxicity.classify(docs.limit(0), labels).count() == 0
 
 
-def test_rare_markers_past_the_first_thousands_of_features_weigh(spark):
-    """Toxic documents marked by one of 800 rare words each, whose n-grams fill more than 8,192 features."""
+def laid(texts):
+    raws = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raws), np.uint8), np.append(0, np.cumsum([len(b) for b in raws]))
+
+
+def test_every_ngram_weighs(spark):
+    """Toxic documents marked by one of 800 rare words each: all their n-grams have weights."""
     rng = random.Random(4)
     marks = ["".join(rng.choice("bcdfghjkmpqvwxz") for _ in range(14)) for _ in range(800)]
     vocab = ["".join(rng.choice("aeioulnrst") for _ in range(5)) for _ in range(60)]
@@ -426,25 +431,36 @@ def test_rare_markers_past_the_first_thousands_of_features_weigh(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
-    assert len(model.buckets) > 1 << 13
-    data = np.frombuffer("".join(marks).encode(), np.uint8)
-    marked = linear.features(data, np.arange(801) * 14, toxicity.SPEC, linear.Scorer(model).wanted)[0]
-    assert np.bincount(marked, minlength=800).min() > 0
+    features = linear.Features(toxicity.SPEC)
+    assert all((model.weights[x] != 0).all() for x in features(*laid(marks)))
+    called = linear.Scorer(model)(*laid(texts)) > 0.5
+    assert (called != np.arange(len(texts)) % 2).sum() <= 3
     assert linear.Spec((3,), (), True, True).max_rows == 20_000
 
 
-def test_blocks_sum_like_whole_rows():
-    import pyarrow as pa
-
-    rng = np.random.default_rng(3)
-    rows = [np.sort(rng.choice(500, rng.integers(0, 90), replace=False)).astype("<u2") for _ in range(200)] + [np.zeros(0, "<u2")]
-    lists = pa.array([r.tobytes() for r in [rows[0], *rows]], pa.binary())[1:]
-    weights = rng.normal(size=500)
-    linear.BLOCK_ENTRIES, old = 100, linear.BLOCK_ENTRIES
-    blocks = linear._blocks(lists, np.dtype("<u2"))
-    linear.BLOCK_ENTRIES = old
-    assert len(blocks) > 50 and np.concatenate([n for _, n in blocks]).tolist() == [len(r) for r in rows]
-    assert np.allclose(linear._margins(blocks, weights), [weights[r].sum() for r in rows])
+def test_fit_is_the_penalised_logistic_regression(spark):
+    """Scores against dense gradient descent on features counted in Python."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["alpha", "bêta", "gamma", "délta", "zeta", "中文字"]) for _ in range(rng.randint(1, 9))) + (" Bad" if i % 3 == 0 and i % 7 else "") for i in range(160)]
+    label = np.array([int(i % 3 == 0) for i in range(160)])
+    sample = spark.createDataFrame([(i, int(y), False, t) for i, (t, y) in enumerate(zip(texts, label))], "doc_id long, label int, held boolean, text string").repartition(3)
+    for scaled in (True, False):
+        spec = linear.Spec((2, 3), (1,), True, scaled, steps=300)
+        grams = [{(n, low[k : k + n]) for n in (2, 3) for k in range(len(low) - n + 1)} | set(words(low)) for low in (t.translate(LOWER) for t in texts)]
+        names = {g: k for k, g in enumerate(sorted(set().union(*grams), key=repr))}
+        x = np.zeros((160, len(names)))
+        for i, g in enumerate(grams):
+            x[i, [names[k] for k in g]] = 1
+        pos, neg = x[label == 1].sum(0), x[label == 0].sum(0)
+        if scaled:
+            x = x * (np.log((pos + 1) / (label.sum() + 2)) - np.log((neg + 1) / ((1 - label).sum() + 2)))
+        w, b = np.zeros(x.shape[1]), 0.0
+        rate = 160 / (0.25 * np.linalg.norm(np.c_[x, np.ones(160)], 2) ** 2 + 1)
+        for _ in range(60_000):
+            off = 1 / (1 + np.exp(-(x @ w + b))) - label
+            w, b = w - rate * (x.T @ off + w) / 160, b - rate * off.sum() / 160
+        got = linear.Scorer(linear.fit(sample, spec))(*laid(texts))
+        assert np.abs(got - 1 / (1 + np.exp(-(x @ w + b)))).max() < 0.02
 
 
 def test_quality(labelled, docs):
@@ -472,13 +488,15 @@ def test_quality(labelled, docs):
     assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in stats.items()}
 
 
-def test_features_stay_inside_rows():
-    spec = linear.Spec((3,), (1, 2), True, True)
-    data = np.frombuffer(b"abcd" + b"" + b"cdAB x", np.uint8)
-    bounds = np.array([0, 4, 4, 10])
-    row, bucket = linear.features(data, bounds, spec)
-    one = set(linear.features(data[:4], np.array([0, 4]), spec)[1])
-    assert set(bucket[row == 0]) == one and not (row == 1).any() and len(set(bucket[row == 2])) == 4 + 2 + 1
+def test_features_are_the_distinct_ngrams_of_each_row():
+    spec = linear.Spec((2, 3), (1, 2), True, True)
+    texts = ["abcd", "", "cdAB x", "éñ 中文 éñ é", "a", "  ", "a b a b a b", "cdab X"]
+    found = list(linear.Features(spec)(*laid(texts)))
+    for text, buckets in zip(texts, found):
+        low, w = text.translate(LOWER), words(text)
+        want = len({low[k : k + n] for n in (2, 3) for k in range(len(low) - n + 1)}) + len({(n, *w[k : k + n]) for n in (1, 2) for k in range(len(w) - n + 1)})
+        assert len(buckets) == len(set(buckets.tolist())) == want
+    assert set(found[2].tolist()) == set(found[7].tolist())
 
 
 # 10 sharding
