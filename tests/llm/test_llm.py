@@ -445,7 +445,7 @@ def test_fit_is_the_penalised_logistic_regression(spark):
     label = np.array([int(i % 3 == 0) for i in range(160)])
     sample = spark.createDataFrame([(i, int(y), False, t) for i, (t, y) in enumerate(zip(texts, label))], "doc_id long, label int, held boolean, text string").repartition(3)
     for scaled in (True, False):
-        spec = linear.Spec((2, 3), (1,), True, scaled, steps=300)
+        spec = linear.Spec((2, 3), (1,), True, scaled, l2=1.0, steps=300)
         grams = [{(n, low[k : k + n]) for n in (2, 3) for k in range(len(low) - n + 1)} | set(words(low)) for low in (t.translate(LOWER) for t in texts)]
         names = {g: k for k, g in enumerate(sorted(set().union(*grams), key=repr))}
         x = np.zeros((160, len(names)))
