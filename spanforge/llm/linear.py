@@ -2,8 +2,8 @@
 
 A feature is the presence of an n-gram in a text, hashed into ``2 ** Spec.bits`` buckets,
 and every bucket has its weight: none is selected or left out.  The fit reads a bounded
-labelled sample (``Spec.max_rows`` rows, lowest id hash first), which stays on the
-executors as blocks of bucket numbers; each step of the optimiser broadcasts the weights
+labelled sample (``Spec.max_rows`` rows, lowest id hash first), which stays in shared
+storage as blocks of bucket numbers; each step of the optimiser broadcasts the weights
 and adds up the partitions' gradients.  What reaches the driver is bounded by the number
 of buckets.  Scoring covers every row and its whole text.
 """
@@ -15,7 +15,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +25,8 @@ U = np.uint64
 _STEP, _SPREAD = U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95)
 #: Partitions the sample is dealt to for counting and for every gradient.
 FIT_TASKS = 12
+#: Text bytes whose n-grams are hashed at once.
+SLICE = 1 << 18
 #: Pairs of steps the optimiser remembers.
 MEMORY = 5
 
@@ -121,7 +122,7 @@ def _counts(sample: DataFrame, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
         features, totals = Features(spec), np.zeros((2, 1 << spec.bits), np.int32)
         for batch in batches:
             label = batch.column("label").to_numpy()
-            for first, _, data, bounds in tk.slices(batch.column("text")):
+            for first, _, data, bounds in tk.slices(batch.column("text"), SLICE):
                 for k, buckets in enumerate(features(data, bounds)):
                     totals[label[first + k], buckets] += 1
         seen = np.flatnonzero(totals.any(axis=0))
@@ -136,25 +137,31 @@ def _counts(sample: DataFrame, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _blocks(sample: DataFrame, spec: Spec) -> DataFrame:
-    """The sample as blocks of rows: label and held flag of each, its number of buckets, and the buckets."""
+    """The sample as blocks of rows: label and held flag of each, and its buckets in ascending
+    order, as how many share each upper part and two bytes of the lower part."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features(spec)
+        features, uppers = Features(spec), 1 << max(0, spec.bits - 16)
         for batch in batches:
             label, held = batch.column("label").to_numpy(), batch.column("held").to_numpy(zero_copy_only=False)
-            for first, end, data, bounds in tk.slices(batch.column("text")):
-                rows = list(features(data, bounds))
-                block = (label[first:end].astype("u1"), held[first:end].astype("u1"), np.array([len(x) for x in rows], "<i4"), np.concatenate(rows).astype("<i4"))
-                yield pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in block], ["label", "held", "sizes", "buckets"])
+            for first, end, data, bounds in tk.slices(batch.column("text"), SLICE):
+                rows = [np.sort(x) for x in features(data, bounds)]
+                upper = np.concatenate([np.bincount(x >> 16, minlength=uppers) for x in rows])
+                block = (label[first:end].astype("u1"), held[first:end].astype("u1"), upper.astype("<i4"), np.concatenate(rows).astype("<u2"))
+                yield pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in block], ["label", "held", "upper", "lower"])
 
-    return sample.select("label", "held", "text").mapInArrow(pack, "label binary, held binary, sizes binary, buckets binary")
+    rows = sample.select("label", "held", "text").mapInArrow(pack, "label binary, held binary, upper binary, lower binary")
+    return materialize(rows, "linear-blocks")
 
 
-def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _read_blocks(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(label, held, number of buckets) of the rows of each block, and all their buckets."""
+    uppers = 1 << max(0, spec.bits - 16)
     for batch in batches:
         for i in range(batch.num_rows):
-            label, held, sizes, buckets = (batch.column(c)[i].as_buffer() for c in ("label", "held", "sizes", "buckets"))
-            yield np.frombuffer(label, "u1"), np.frombuffer(held, "u1") > 0, np.frombuffer(sizes, "<i4"), np.frombuffer(buckets, "<i4")
+            label, held, upper, lower = (np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in (("label", "u1"), ("held", "u1"), ("upper", "<i4"), ("lower", "<u2")))
+            high = np.tile(np.arange(uppers, dtype=np.int32) << 16, len(label))
+            yield label, held > 0, upper.reshape(-1, uppers).sum(axis=1), np.repeat(high, upper) + lower
 
 
 def _row_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -169,14 +176,14 @@ def _slope(margin: np.ndarray, label: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(margin, -500, 500))) - label
 
 
-def _gradient(blocks: DataFrame, weights: np.ndarray, intercept: float, skip_held: bool) -> tuple[float, float, np.ndarray]:
+def _gradient(blocks: DataFrame, spec: Spec, weights: np.ndarray, intercept: float, skip_held: bool) -> tuple[float, float, np.ndarray]:
     """Log loss, and its slope in the intercept and in every weight, over the rows used."""
     size = len(weights)
     shared = blocks.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, loss, first, pull = shared.value, 0.0, 0.0, np.zeros(size)
-        for label, held, sizes, buckets in _read_blocks(batches):
+        for label, held, sizes, buckets in _read_blocks(batches, spec):
             margin = _row_sums(w[buckets], sizes) + intercept
             used = ~held if skip_held else np.ones(len(label), bool)
             off = _slope(margin, label) * used
@@ -246,7 +253,7 @@ def fit(sample: DataFrame, spec: Spec, calibrate: bool = False) -> Model:
     live = np.flatnonzero(neg + pos)
     ratio = np.log((pos[live] + 1.0) / (n_pos + 2.0)) - np.log((neg[live] + 1.0) / (n_neg + 2.0))
     scale = (ratio if spec.bayes_scaled else np.ones(len(live))).astype(np.float32)
-    blocks, n = _blocks(sample, spec).persist(StorageLevel.MEMORY_AND_DISK), sum(used)
+    blocks, n = _blocks(sample, spec), sum(used)
     # The optimiser's variables are the weights over ``pace``: features bend the loss by how often
     # they occur, all of them together no more than ``bend``.  Log-count ratios even that out.
     often = (neg[live] + pos[live]) / (n_neg + n_pos)
@@ -261,7 +268,7 @@ def fit(sample: DataFrame, spec: Spec, calibrate: bool = False) -> Model:
         return weights
 
     def evaluate(x: np.ndarray) -> tuple[float, np.ndarray]:
-        loss, first, pull = _gradient(blocks, full(x), float(x[-1]), calibrate)
+        loss, first, pull = _gradient(blocks, spec, full(x), float(x[-1]), calibrate)
         w = pace * x[:-1]
         slope = np.append(pace * (scale * (pull[live] / n).astype(np.float32) + np.float32(spec.l2 / n) * w), np.float32(first / n))
         return loss / n + 0.5 * spec.l2 / n * float(w @ w), slope
@@ -272,19 +279,18 @@ def fit(sample: DataFrame, spec: Spec, calibrate: bool = False) -> Model:
     weights, intercept = full(best), float(best[-1])
     slope, shift = 1.0, 0.0
     if calibrate:
-        margin, label = _held_margins(blocks, weights)
+        margin, label = _held_margins(blocks, spec, weights)
         if len(np.unique(label)) == 2:
             slope, shift = _platt(margin + intercept, label)
-    blocks.unpersist()
     return Model(spec, weights, intercept, slope, shift)
 
 
-def _held_margins(blocks: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _held_margins(blocks: DataFrame, spec: Spec, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(margin, label) of the held rows: two numbers for each of a fifth of the sample."""
     shared = blocks.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for label, held, sizes, buckets in _read_blocks(batches):
+        for label, held, sizes, buckets in _read_blocks(batches, spec):
             margin = _row_sums(shared.value[buckets], sizes)
             yield pa.record_batch([pa.array(margin[held]), pa.array(label[held].astype(float))], ["margin", "label"])
 

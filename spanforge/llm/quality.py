@@ -103,7 +103,7 @@ def assess(docs: DataFrame, model: linear.Model, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = linear.Scorer(shared.value)
         for batch in batches:
-            for first, end, data, bounds in tk.slices(batch.column("text")):
+            for first, end, data, bounds in tk.slices(batch.column("text"), linear.SLICE):
                 stats = statistics(data, bounds)
                 yield pa.record_batch(
                     [batch.column("doc_id").slice(first, end - first), *[pa.array(stats[c]) for c in STATISTICS], pa.array(scorer(data, bounds))],

@@ -32,7 +32,7 @@ def _scored(docs: DataFrame, model: linear.Model, keep: tuple[str, ...], text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = linear.Scorer(shared.value)
         for batch in batches:
-            parts = [scorer(data, bounds) for _, _, data, bounds in tk.slices(batch.column("scored_text"))]
+            parts = [scorer(data, bounds) for _, _, data, bounds in tk.slices(batch.column("scored_text"), linear.SLICE)]
             column = pa.array(np.concatenate(parts) if parts else np.zeros(0))
             yield pa.record_batch([*batch.columns[:-1], column], [*batch.schema.names[:-1], "text_score"])
 
