@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.operators.metrics import average_precision, class_weights, confusion_report
+from spanforge.sources.shared import materialize
+
 
 def node_features(nodes: DataFrame, stats: DataFrame) -> DataFrame:
     """Sparse long rows (graph_id, node_idx, feature, value): service, op, normalised log duration."""
@@ -44,13 +46,24 @@ def graph_features(features: DataFrame, nodes: DataFrame) -> DataFrame:
     return features.groupBy("graph_id", "feature").agg(F.sum("value").alias("total")).join(sizes, "graph_id").select("graph_id", "feature", (F.col("total") / F.col("n")).alias("value"))
 
 
-def fit_and_score(wide: DataFrame, columns: list[str], grid: tuple[float, ...] = (0.0, 0.01, 0.1)) -> DataFrame:
+def vectors(features: DataFrame, train: DataFrame) -> DataFrame:
+    """(graph_id, x) from long features, over the sorted feature names of ``train`` graphs; names they lack are dropped."""
+    features = materialize(features, "classify-features")
+    names = features.join(train, "graph_id", "left_semi").agg(F.sort_array(F.collect_set("feature")).alias("names"))
+    maps = features.groupBy("graph_id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("held"))
+    wide = maps.crossJoin(F.broadcast(names)).select("graph_id", F.transform("names", lambda n: F.coalesce(F.try_element_at("held", n), F.lit(0.0))).alias("v"))
+    return materialize(wide, "classify-vectors").select("graph_id", array_to_vector("v").alias("x"))
+
+
+def fit_and_score(rows: DataFrame, grid: tuple[float, ...] = (0.0, 0.01, 0.1)) -> DataFrame:
     """Class-weighted logistic regression chosen on the val role; graph_id, role, label, pred, score.
 
-    ``wide``: graph_id, role, label, weight and the feature columns.
+    ``rows``: graph_id, role, label and the vector x.  Weights come from the training labels.
     """
-    rows = VectorAssembler(inputCols=columns, outputCol="x").transform(wide.fillna(0.0, subset=columns)).select("graph_id", "role", "label", "weight", "x").persist()
+    rows = rows.select("graph_id", "role", F.col("label").cast("double").alias("label"), "x").persist()
     train, val = rows.filter("role = 'train'"), rows.filter("role = 'val'")
+    weights = class_weights(train.select("label")).select("label", "weight")
+    train = train.join(F.broadcast(weights), "label")  # one row per class
     best, least = None, None
     for reg in grid:
         model = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", regParam=reg, maxIter=30).fit(train)
@@ -58,4 +71,23 @@ def fit_and_score(wide: DataFrame, columns: list[str], grid: tuple[float, ...] =
         loss = model.transform(val).agg(F.avg(-F.when(F.col("label") == 1, F.log(p)).otherwise(F.log(1 - p)))).first()[0]
         if least is None or (loss is not None and loss < least):
             best, least = model, loss
-    return best.transform(rows).select("graph_id", "role", "label", F.col("prediction").cast("int").alias("pred"), F.round(vector_to_array("probability")[1], 6).alias("score"))
+    scored = best.transform(rows).select("graph_id", "role", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("pred"), F.round(vector_to_array("probability")[1], 6).alias("score"))
+    rows.unpersist()
+    return scored
+
+
+def sweep(x: DataFrame, prepared: DataFrame, percents: list[int], seed: int) -> DataFrame:
+    """One result row per real percentage: counts, test metrics and average precision.
+
+    The grid is small and runs on the driver; data preparation and fits are Spark jobs.
+    """
+    x = x.persist()
+    out = None
+    for k, percent in enumerate(percents):
+        mine = prepared.filter(F.col("percent") == percent)
+        test = fit_and_score(x.join(mine, "graph_id")).filter("role = 'test'").select(F.col("label").alias("y"), "pred", "score", F.lit(percent).alias("percent"))
+        made = mine.agg(F.count_if((F.col("role") == "train") & (F.col("corpus") == "A")).alias("train_real_total"), F.count_if((F.col("role") == "train") & (F.col("corpus") == "B")).alias("train_synth_total"))
+        row = confusion_report(test, ["percent"]).join(average_precision(test, ["percent"]).withColumnRenamed("average_precision", "pr_auc"), "percent").crossJoin(made)
+        row = row.withColumn("run_order", F.lit(k + 1)).withColumn("seed", F.lit(seed))
+        out = row if out is None else out.unionByName(row)
+    return out

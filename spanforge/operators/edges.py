@@ -1,40 +1,68 @@
-"""Choosing edges from scored pairs (graph_id, src, dst, score)."""
+"""Choosing edges from scores of (parent service, child service) pairs.
+
+Scores live on service pairs, so they are computed once.  The best parent of a child is
+looked up per service; only choices that are about every pair of nodes list the pairs.
+"""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions.draws import SPACE, draw
 
 
-def scored_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """All ordered pairs of every graph's nodes, scored by smoothed P(child service | parent service).
-
-    Graphs are capped in nodes, so a graph's pairs are a bounded explosion of its own rows.
-    """
+def service_scores(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(ps, cs, score) of every ordered pair of services: smoothed P(child service | parent service)."""
     at = nodes.select("graph_id", "node_idx", "service_name")
     ends = edges.join(at.select("graph_id", F.col("node_idx").alias("src"), F.col("service_name").alias("ps")), ["graph_id", "src"]).join(
         at.select("graph_id", F.col("node_idx").alias("dst"), F.col("service_name").alias("cs")), ["graph_id", "dst"]
     )
     n = ends.groupBy("ps", "cs").agg(F.count(F.lit(1)).alias("n"))
     of_parent = n.groupBy("ps").agg(F.sum("n").alias("total"))
-    services = at.agg(F.countDistinct("service_name").alias("k"))
+    services = at.select("service_name").distinct()
+    k = services.agg(F.count(F.lit(1)).alias("k"))
+    # The vocabulary squared: every pair has a score.
+    grid = services.select(F.col("service_name").alias("ps")).crossJoin(services.select(F.col("service_name").alias("cs")))
+    scored = grid.join(n, ["ps", "cs"], "left").join(of_parent, "ps", "left").crossJoin(F.broadcast(k))
+    return scored.select("ps", "cs", ((F.coalesce("n", F.lit(0)) + 1) / (F.coalesce("total", F.lit(0)) + F.col("k"))).alias("score"))
+
+
+def scored_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_id, src, dst, score) of all ordered pairs of every graph's nodes: n (n - 1) rows a
+    graph, for choices about every pair; cap the graphs with ``graphs.keep_sizes`` where they are large."""
+    at = nodes.select("graph_id", "node_idx", "service_name")
     pairs = at.select("graph_id", F.col("node_idx").alias("src"), F.col("service_name").alias("ps")).join(
         at.select("graph_id", F.col("node_idx").alias("dst"), F.col("service_name").alias("cs")), "graph_id"
     ).filter("src <> dst")
-    scored = pairs.join(F.broadcast(n), ["ps", "cs"], "left").join(F.broadcast(of_parent), "ps", "left").crossJoin(F.broadcast(services))
-    score = (F.coalesce("n", F.lit(0)) + 1) / (F.coalesce("total", F.lit(0)) + F.col("k"))
-    return scored.select("graph_id", "src", "dst", score.alias("score"))
+    return pairs.join(service_scores(nodes, edges), ["ps", "cs"]).select("graph_id", "src", "dst", "score")
+
+
+def _normal(seed: int, purpose: str, *ids: Column) -> Column:
+    u, v = ((draw(seed, f"{purpose}-{x}", *ids) + 0.5) / SPACE for x in "uv")
+    return F.sqrt(-2 * F.log(u)) * F.cos(2 * F.pi() * v)
 
 
-def threshold_edges(pairs: DataFrame, level: float) -> DataFrame:
-    return pairs.filter(F.col("score") >= level)
+def dropped(edges: DataFrame, dropout: float, seed: int) -> DataFrame:
+    """Edges that survive a seeded dropout."""
+    if dropout <= 0:
+        return edges
+    return edges.filter(draw(seed, "dropout", F.col("graph_id"), F.col("src"), F.col("dst")) / SPACE > dropout)
 
 
-def bernoulli_edges(pairs: DataFrame, seed: int) -> DataFrame:
-    return pairs.filter(draw(seed, "bernoulli", F.col("graph_id"), F.col("src"), F.col("dst")) < (F.col("score") * SPACE).cast("long"))
+def threshold_edges(pairs: DataFrame, level: float, seed: int = 0, jitter: float = 0.0, dropout: float = 0.0) -> DataFrame:
+    """Pairs with src < dst scored above ``level``; with ``jitter`` each graph has its own level, normal around it, within 0.05 and 0.95."""
+    cut = F.lit(level)
+    if jitter > 0:
+        cut = F.least(F.greatest(F.lit(level) + jitter * _normal(seed, "jitter", F.col("graph_id")), F.lit(0.05)), F.lit(0.95))
+    return dropped(pairs.filter((F.col("src") < F.col("dst")) & (F.col("score") > cut)), dropout, seed)
+
+
+def bernoulli_edges(pairs: DataFrame, seed: int, dropout: float = 0.0) -> DataFrame:
+    """Each pair with src < dst by a draw of its own, with its score for chance."""
+    kept = draw(seed, "bernoulli", F.col("graph_id"), F.col("src"), F.col("dst")) < (F.col("score") * SPACE).cast("long")
+    return dropped(pairs.filter((F.col("src") < F.col("dst")) & kept), dropout, seed)
 
 
 def top_edges(pairs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -44,12 +72,27 @@ def top_edges(pairs: DataFrame, targets: DataFrame) -> DataFrame:
     return ranked.join(targets, "graph_id").filter("nth <= target").select("graph_id", "src", "dst")
 
 
-def parent_argmax(pairs: DataFrame, keep: DataFrame | None = None, root_score: float | None = None) -> DataFrame:
-    """The best parent of each child (ties: lower index); then the ``k`` best children per graph.
+def best_parents(nodes: DataFrame, scores: DataFrame) -> DataFrame:
+    """(graph_id, dst, src, score): the best parent of each node but itself; ties go to the lower index.
+
+    A node looks at the services of its graph, not at its nodes: of each service the lowest
+    index counts, or the second lowest for the node that is the lowest itself.
+    """
+    own = Window.partitionBy("graph_id", "service_name").orderBy("node_idx")
+    low = nodes.select("graph_id", F.col("service_name").alias("ps"), "node_idx", F.row_number().over(own).alias("nth")).filter("nth <= 2")
+    low = low.groupBy("graph_id", "ps").agg(F.min("node_idx").alias("first"), F.max("node_idx").alias("last"), F.count(F.lit(1)).alias("n"))
+    child = nodes.select("graph_id", F.col("node_idx").alias("dst"), F.col("service_name").alias("cs"))
+    src = F.when(F.col("first") != F.col("dst"), F.col("first")).when(F.col("n") > 1, F.col("last"))
+    rows = child.join(low, "graph_id").withColumn("src", src).filter("src is not null").join(scores, ["ps", "cs"])
+    best = F.max(F.struct("score", (-F.col("src")).alias("back")))
+    return rows.groupBy("graph_id", "dst").agg(best.alias("b")).select("graph_id", "dst", (-F.col("b.back")).alias("src"), "b.score")
+
+
+def parent_argmax(best: DataFrame, keep: DataFrame | None = None, root_score: float | None = None) -> DataFrame:
+    """The best parent of each child (``best_parents``); then the ``k`` best children per graph, k at most n - 1.
 
     With ``root_score`` a child whose best parent scores no higher becomes a root.
     """
-    best = pairs.filter("src <> dst").groupBy("graph_id", "dst").agg(F.max_by("src", F.struct("score", -F.col("src"))).alias("src"), F.max("score").alias("score"))
     if root_score is not None:
         best = best.filter(F.col("score") > root_score)
     if keep is None:
@@ -64,24 +107,49 @@ def first_parents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("graph_id", "node_idx").join(up, ["graph_id", "node_idx"], "left").withColumn("parent", F.coalesce("parent", F.lit(-1)))
 
 
-def _forest(pairs: pd.DataFrame) -> pd.DataFrame:
-    """Best pairs first; one parent per child, no cycle (Kruskal on a union of trees)."""
-    top: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while top.setdefault(x, x) != x:
-            x = top[x]
-        return x
-
-    kept, parented = [], set()
-    for g, s, d, _ in pairs.sort_values(["score", "src", "dst"], ascending=[False, True, True]).itertuples(index=False):
-        if d not in parented and find(s) != find(d):
-            top[find(d)] = find(s)
-            parented.add(d)
-            kept.append((g, s, d))
-    return pd.DataFrame(kept, columns=["graph_id", "src", "dst"])
+def spanning_forest(nodes: DataFrame, scores: DataFrame) -> DataFrame:
+    """Greedy spanning forest: best pairs first, one parent per child, no cycle.
 
-
-def spanning_forest(pairs: DataFrame) -> DataFrame:
-    """Greedy spanning forest per graph; a graph's pairs are bounded by the node cap."""
-    return pairs.select("graph_id", "src", "dst", "score").groupBy("graph_id").applyInPandas(_forest, "graph_id string, src int, dst int")
+    A graph left with more than one root gives the best pairs that remain, cycles or not,
+    until n - 1 edges are there.  A graph's nodes are one group; its pairs are walked
+    through by service pair, in order of score, and never held.
+    """
+    table = F.broadcast(scores.groupBy().agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("down"), "ps", "cs"))).alias("ranked")))
+    rows = nodes.select("graph_id", "node_idx", "service_name").crossJoin(table)
+
+    def forest(graph: pd.DataFrame) -> pd.DataFrame:
+        by_service = {s: sorted(g) for s, g in graph.groupby("service_name")["node_idx"].apply(list).items()}
+        ranked = [r for r in graph["ranked"].iloc[0] if r["ps"] in by_service and r["cs"] in by_service]
+        parent: dict[int, int] = {}
+        chosen: list[tuple[int, int]] = []
+        top = {i: i for i in graph["node_idx"]}
+        most = len(top) - 1
+
+        def find(x: int) -> int:
+            while top[x] != x:
+                top[x] = top[top[x]]
+                x = top[x]
+            return x
+
+        def walk(acyclic: bool) -> None:
+            for level in sorted({r["down"] for r in ranked}):
+                equal = [r for r in ranked if r["down"] == level]
+                children = {r["ps"]: [] for r in equal}
+                for r in equal:
+                    children[r["ps"]] += by_service[r["cs"]]
+                for src, service in sorted((i, s) for s in children for i in by_service[s]):
+                    for dst in sorted(children[service]):
+                        if len(chosen) == most:
+                            return
+                        if dst == src or dst in parent or acyclic and find(src) == find(dst):
+                            continue
+                        if acyclic:
+                            top[find(dst)] = find(src)
+                        parent[dst] = src
+                        chosen.append((src, dst))
+
+        walk(True)
+        walk(False)
+        return pd.DataFrame({"graph_id": graph["graph_id"].iloc[0], "src": [s for s, _ in chosen], "dst": [d for _, d in chosen]})
+
+    return rows.groupBy("graph_id").applyInPandas(forest, "graph_id string, src int, dst int")

@@ -7,11 +7,16 @@ drawing a row is an equi-join on the index.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions.draws import SPACE, draw
-from spanforge.operators.sampling import indexed
+from spanforge.operators.metrics import duration_clip
+from spanforge.operators.sampling import indexed, nearest_key
+from spanforge.sources.shared import materialize
+
+#: Up to this many nodes all ordered pairs of a graph are listed.
+PAIR_NODES = 64
 
 
 def blank_graphs(pool: DataFrame, n_graphs: int, seed: int) -> DataFrame:
@@ -23,8 +28,16 @@ def blank_graphs(pool: DataFrame, n_graphs: int, seed: int) -> DataFrame:
     return drawn.join(sizes.drop("pool"), ["all", "idx"]).select("gen_id", "num_nodes")
 
 
-def blank_nodes(graphs: DataFrame) -> DataFrame:
-    return graphs.select("gen_id", "num_nodes", F.explode(F.expr("sequence(0, cast(num_nodes as int) - 1)")).alias("node_idx"))
+def empirical_counts(graphs: DataFrame, pool: DataFrame, column: str, seed: int) -> DataFrame:
+    """(gen_id, column): a value of a real graph drawn for each generated one."""
+    values = indexed(pool.withColumn("all", F.lit(0)), ["all"], seed, "graph_id").select("all", "pool", "idx", column)
+    size = values.groupBy("all").agg(F.first("pool").alias("pool"))
+    drawn = graphs.select("gen_id", F.lit(0).alias("all")).join(F.broadcast(size), "all").withColumn("idx", draw(seed, "edge-count", F.col("gen_id")) % F.col("pool"))
+    return drawn.join(values.drop("pool"), ["all", "idx"]).select("gen_id", column)
+
+
+def blank_nodes(graphs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    return graphs.select("gen_id", "num_nodes", *(keep or []), F.explode(F.expr("sequence(0, cast(num_nodes as int) - 1)")).alias("node_idx"))
 
 
 def _bootstrap(rows: DataFrame, pool: DataFrame, keys: list[str], seed: int, purpose: str, take: list[str]) -> DataFrame:
@@ -41,7 +54,7 @@ def _pool(nodes: DataFrame) -> DataFrame:
 
 def random_nodes(blank: DataFrame, bounds: DataFrame, nodes: DataFrame, seed: int, clip: float = 0.99) -> DataFrame:
     """Independent uniform service and op ids within their bounds; durations from the clipped log pool."""
-    upper = nodes.agg(F.percentile(F.log1p(F.greatest("duration", F.lit(0.0))), clip).alias("upper"))
+    upper = duration_clip(nodes.withColumn("all", F.lit(0)), ["all"], clip).select(F.col("log_clip").alias("upper"))
     rows = blank.crossJoin(F.broadcast(bounds)).crossJoin(F.broadcast(upper)).withColumn("all", F.lit(0))
     drawn = _bootstrap(rows, nodes.select(F.col("duration").alias("pool_duration"), F.concat_ws("#", "graph_id", "node_idx").alias("pool_id"), F.lit(0).alias("all")), ["all"], seed, "duration", ["pool_duration"])
 
@@ -57,17 +70,25 @@ def random_nodes(blank: DataFrame, bounds: DataFrame, nodes: DataFrame, seed: in
 def random_edges(graphs: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
     """``wanted`` (gen_id, num_edges) distinct directed edges per graph, no loops, by hash rank.
 
-    All n (n - 1) ordered pairs are ranked, so n is for node-capped graphs.
+    Counts are clipped to [0, n (n - 1)].  Small or crowded graphs rank all ordered pairs;
+    the others draw twice as many pairs as they need and keep the first distinct ones, so
+    the rows looked at stay in proportion to the edges or to ``PAIR_NODES`` squared.
     """
-    sized = graphs.join(wanted, "gen_id")
-    pairs = (
-        sized.select("gen_id", "num_nodes", "num_edges", F.explode(F.expr("sequence(0, cast(num_nodes as int) - 1)")).alias("src"))
-        .withColumn("dst", F.explode(F.expr("sequence(0, cast(num_nodes as int) - 1)"))).filter("src <> dst")
-    )
-    h = draw(seed, "edge", F.col("gen_id"), F.col("src"), F.col("dst"))
-    ordered = pairs.groupBy("gen_id").agg(F.first("num_edges").alias("k"), F.sort_array(F.collect_list(F.struct(h.alias("h"), "src", "dst"))).alias("all"))
-    kept = ordered.select("gen_id", F.explode(F.expr("slice(all, 1, cast(least(k, size(all)) as int))")).alias("e"))
-    return kept.select("gen_id", "e.src", "e.dst")
+    n = F.col("num_nodes").cast("long")
+    sized = graphs.join(wanted, "gen_id").filter("num_nodes > 1").withColumn("all", n * (n - 1))
+    sized = sized.withColumn("k", F.least(F.greatest(F.col("num_edges").cast("long"), F.lit(0)), F.col("all"))).filter("k > 0")
+    listed = (F.col("num_nodes") <= PAIR_NODES) | (4 * F.col("k") > F.col("all"))
+    draws = F.when(listed, F.col("all")).otherwise(2 * F.col("k") + 32)
+    tried = sized.withColumn("listed", listed).withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), draws - 1)))
+    # Pair number p: source p div (n - 1), and the p mod (n - 1)-th of the other nodes.
+    number = F.when(F.col("listed"), F.col("t")).otherwise(F.pmod(F.xxhash64(F.lit(seed), "gen_id", "t"), F.col("all")))
+    src = F.expr("p div (num_nodes - 1)").cast("int")
+    dst = F.expr("cast(p % (num_nodes - 1) as int)")
+    pairs = tried.withColumn("p", number).withColumn("src", src).withColumn("dst", dst + (dst >= F.col("src")).cast("int"))
+    h = F.when(F.col("listed"), draw(seed, "edge", F.col("gen_id"), F.col("src"), F.col("dst"))).otherwise(F.col("t"))
+    once = pairs.groupBy("gen_id", "src", "dst").agg(F.min(h).alias("h"), F.first("k").alias("k"))
+    nth = F.row_number().over(Window.partitionBy("gen_id").orderBy("h", "src", "dst"))
+    return once.withColumn("nth", nth).filter("nth <= k").select("gen_id", "src", "dst")
 
 
 def empirical_nodes(blank: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
@@ -100,24 +121,61 @@ def dag_edges(blank: DataFrame, seed: int, extra: float = 0.25) -> DataFrame:
 
 
 def reuse_edges(graphs: DataFrame, patterns: DataFrame, edges: DataFrame, seed: int) -> DataFrame:
-    """The edges of a real graph that fits (its largest index below n), drawn per generated graph.
+    """The edges of a real graph, drawn per generated graph among those whose largest index is below n.
 
-    ``patterns``: (graph_id, num_nodes).  Graphs of one node get no edges; where no real
-    graph fits, none are drawn.
+    ``patterns``: (graph_id, ...), graphs without edges included.  Where none fits, any
+    pattern is drawn and edges past n are masked; without patterns the graph is a random
+    tree.  Graphs of one node get no edges.
     """
-    fits = indexed(patterns, ["num_nodes"], seed, "graph_id").select("num_nodes", "pool", "idx", "graph_id")
-    sizes = fits.groupBy("num_nodes").agg(F.first("pool").alias("pool"))
-    drawn = graphs.filter("num_nodes > 1").join(sizes, "num_nodes").withColumn("idx", draw(seed, "pattern", F.col("gen_id")) % F.col("pool"))
-    picked = drawn.join(fits.select("num_nodes", "idx", "graph_id"), ["num_nodes", "idx"])
-    return picked.join(edges, "graph_id").select("gen_id", "src", "dst")
-
-
-def template_graphs(graphs: DataFrame, near: DataFrame, patterns: DataFrame, seed: int) -> DataFrame:
-    """(gen_id, num_nodes, graph_id): a real template of the nearest observed size per generated graph."""
+    reach = edges.groupBy("graph_id").agg((F.max(F.greatest("src", "dst")) + 1).alias("need"))
+    sized = patterns.select("graph_id").join(reach, "graph_id", "left").select("graph_id", F.coalesce("need", F.lit(0)).alias("need"))
+    pool = materialize(indexed(sized, ["need"], seed, "graph_id"), "generate-patterns")
+    # Patterns in order of need: those that fit n are the first so many.  One row per size.
+    sizes = pool.groupBy("need").agg(F.first("pool").alias("pool"))
+    line = Window.orderBy("need", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    both = sizes.select("need", "pool", F.lit(False).alias("asked")).unionByName(
+        graphs.select(F.col("num_nodes").alias("need")).distinct().select("need", F.lit(0).cast("long").alias("pool"), F.lit(True).alias("asked"))
+    )
+    running = both.withColumn("upto", F.sum("pool").over(line))
+    total = sizes.agg(F.coalesce(F.sum("pool"), F.lit(0)).alias("total"))
+    fitting = running.filter("asked").select(F.col("need").alias("num_nodes"), F.col("upto").alias("fit"))
+    starts = running.filter("not asked").select("need", (F.col("upto") - F.col("pool")).alias("start"))
+    numbered = pool.join(starts, "need").select("graph_id", (F.col("start") + F.col("idx")).alias("number"))
+    asked = graphs.filter("num_nodes > 1").join(fitting, "num_nodes").crossJoin(F.broadcast(total))
+    number = draw(seed, "pattern", F.col("gen_id")) % F.when(F.col("fit") > 0, F.col("fit")).otherwise(F.col("total"))
+    picked = asked.filter("total > 0").withColumn("number", number).join(numbered, "number")
+    reused = picked.join(edges, "graph_id").filter("src < num_nodes and dst < num_nodes").select("gen_id", "src", "dst")
+    return reused.unionByName(tree_edges(blank_nodes(asked.filter("total = 0")), seed))
+
+
+def template_graphs(graphs: DataFrame, patterns: DataFrame, seed: int) -> DataFrame:
+    """(gen_id, num_nodes, graph_id, template_nodes): a real template of the nearest observed size per generated graph."""
+    near = nearest_key(graphs, patterns)
     pool = indexed(patterns, ["num_nodes"], seed, "graph_id").select(F.col("num_nodes").alias("nearest_nodes"), "pool", "idx", "graph_id")
     sizes = pool.groupBy("nearest_nodes").agg(F.first("pool").alias("pool"))
     drawn = graphs.join(near, "num_nodes").join(sizes, "nearest_nodes").withColumn("idx", draw(seed, "template", F.col("gen_id")) % F.col("pool"))
-    return drawn.join(pool.select("nearest_nodes", "idx", "graph_id"), ["nearest_nodes", "idx"]).select("gen_id", "num_nodes", "graph_id")
+    picked = drawn.join(pool.drop("pool"), ["nearest_nodes", "idx"])
+    return picked.select("gen_id", "num_nodes", "graph_id", F.col("nearest_nodes").alias("template_nodes"))
+
+
+def template_nodes(templates: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
+    """(gen_id, node_idx, service_name, operation_name, duration): the template's nodes, cut off at
+    num_nodes; missing ones are drawn from the template with replacement."""
+    asked = blank_nodes(templates.select("gen_id", "num_nodes", "graph_id", "template_nodes"), ["graph_id", "template_nodes"])
+    extra = draw(seed, "extra", F.col("gen_id"), F.col("node_idx")) % F.col("template_nodes")
+    origin = F.when(F.col("node_idx") < F.col("template_nodes"), F.col("node_idx")).otherwise(extra).cast("int")
+    real = nodes.select("graph_id", F.col("node_idx").alias("origin"), "service_name", "operation_name", "duration")
+    return asked.withColumn("origin", origin).join(real, ["graph_id", "origin"]).select("gen_id", "node_idx", "service_name", "operation_name", "duration")
+
+
+def template_edges(templates: DataFrame, edges: DataFrame) -> DataFrame:
+    """(gen_id, src, dst): the template's edges whose ends fit."""
+    return templates.join(edges, "graph_id").filter("src < num_nodes and dst < num_nodes").select("gen_id", "src", "dst")
+
+
+def allowed_pairs(rows: DataFrame, fit: DataFrame, columns: tuple[str, str] = ("service_name", "operation_name")) -> DataFrame:
+    """Rows whose (service, op) pair the fit data has."""
+    return rows.join(fit.select(*columns).distinct(), list(columns), "left_semi")
 
 
 def gumbel_ops(rows: DataFrame, nodes: DataFrame, temperature: float, seed: int) -> DataFrame:

@@ -115,6 +115,27 @@ def filter_by_size(graphs: DataFrame, least: int | None = None, most: int | None
     return graphs if most is None else graphs.filter(F.col("num_nodes") <= most)
 
 
+def keep_sizes(graphs: DataFrame, tables: list[DataFrame], least: int | None = None, most: int | None = None) -> list[DataFrame]:
+    """``tables`` (nodes, edges) without the graphs outside the size range."""
+    kept = filter_by_size(graphs, least, most).select("graph_id")
+    return [t.join(kept, "graph_id", "left_semi") for t in tables]
+
+
+def vocabulary_sizes(encoded: DataFrame) -> DataFrame:
+    """Largest service and op id plus one; 1 without nodes."""
+    return encoded.agg(*[(F.coalesce(F.max(f"{c}_id"), F.lit(0)) + 1).alias(f"num_{n}") for c, n in (("service", "services"), ("op", "operations"))])
+
+
+def metadata(graphs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Per system: vocabulary sizes, the vocabularies as name -> id, and graphs per class."""
+    maps = []
+    for column, short in (("service_name", "service"), ("operation_name", "op")):
+        names = nodes.groupBy("system").agg(F.sort_array(F.collect_set(column)).alias("names"))
+        maps.append(names.select("system", F.size("names").alias(f"num_{'services' if short == 'service' else 'operations'}"), F.map_from_arrays("names", F.sequence(F.lit(0), F.size("names") - 1)).alias(f"{short}_to_id")))
+    classes = graphs.groupBy("system").agg(F.count_if(F.col("label") == 0).alias("normal_graphs"), F.count_if(F.col("label") == 1).alias("abnormal_graphs"))
+    return classes.join(maps[0], "system").join(maps[1], "system")
+
+
 def size_sensitivity(graphs: DataFrame, thresholds: list[int]) -> DataFrame:
     """Per system, corpus and node cap: total, kept, filtered, percent kept."""
     caps = F.explode(F.array(*[F.lit(t) for t in thresholds]))

@@ -13,13 +13,20 @@ def root_spans(spans: DataFrame) -> DataFrame:
     return roots.select("source_run", "trace_id", "timestamp", (F.col("timestamp") + F.col("duration") / 1e6).alias("end_sec"))
 
 
-def label_roots(roots: DataFrame, windows: DataFrame) -> DataFrame:
+def label_roots(roots: DataFrame, windows: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
     """Interval join with the run's fault windows, both ends inclusive; the first listed window wins.
 
-    The run key partitions the join; no window, no overlap: (normal, none).
+    Roots and windows meet by run and by each time bucket they touch, so neither a long run
+    nor many windows make one large group.  No window, no overlap: (normal, none).
     """
+
+    def touched(start: str, end: str):
+        return F.explode(F.sequence(F.floor(F.col(start) / bucket_seconds), F.floor(F.greatest(start, end) / bucket_seconds)))
+
+    timed = roots.filter("end_sec is not null").withColumn("bucket", touched("timestamp", "end_sec"))
+    listed = windows.filter("w_end >= w_start").withColumn("bucket", touched("w_start", "w_end"))
     hits = (
-        roots.join(windows, "source_run")
+        timed.join(listed, ["source_run", "bucket"])
         .filter((F.col("end_sec") >= F.col("w_start")) & (F.col("timestamp") <= F.col("w_end")))
         .groupBy("source_run", "trace_id")
         .agg(F.min_by("fault", "fault_idx").alias("fault"))
@@ -49,3 +56,15 @@ def ingest_summary(labelled: DataFrame) -> DataFrame:
         F.count_if(F.col("trace_label") == "normal").alias("normal_spans"),
         F.count_if(F.col("trace_label") == "abnormal").alias("abnormal_spans"),
     )
+
+
+def split_by_label(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(normal, abnormal) spans; traces without a root are in neither."""
+    return labelled.filter("trace_label = 'normal'"), labelled.filter("trace_label = 'abnormal'")
+
+
+def trace_value_counts(labelled: DataFrame) -> DataFrame:
+    """(system, kind, value, traces): how many traces have each fault type and each source kind."""
+    traces = labelled.filter("trace_label is not null").select("system", "source_run", "trace_id", "fault_type", "source_kind").distinct()
+    long = traces.select("system", F.expr("stack(2, 'fault_type', fault_type, 'source_kind', source_kind) as (kind, value)"))
+    return long.groupBy("system", "kind", "value").agg(F.count(F.lit(1)).alias("traces"))

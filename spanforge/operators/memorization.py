@@ -1,15 +1,27 @@
 """How close one corpus is to another: signatures, nearest set similarity, filtering.
 
-Sets are compressed to the distinct ones first; pairs meet on a shared token, so pairs
-that share nothing (similarity 0) cost nothing.  The empty set has a token of its own.
+Graphs with equal sets are one kind, and only kinds are compared.  The nearest real kind of
+each synthetic one is found block against block by matrix products over shared tokens, and
+a block pair returns one number per synthetic kind, never pairs.  A threshold needs no such
+search: similar kinds share one of the rarest tokens of each.  The empty set has a token of
+its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanforge.operators.ranking import running
+from spanforge.sources.shared import materialize
+
 EMPTY = "<empty>"
+#: Kinds on a side of a block pair, and tokens multiplied at once.
+BLOCK_KINDS, TOKEN_COLUMNS = 2048, 4096
+#: Shares of edge labels and node labels in the combined similarity (fixed values).
+WEIGHTS = (0.7, 0.3)
 
 
 def token_sets(graphs: DataFrame, tokens: DataFrame, token: str) -> DataFrame:
@@ -32,51 +44,113 @@ def signatures(graphs: DataFrame, node_labels: DataFrame, edge_labels: DataFrame
     )
 
 
-def _distinct_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(graph_id, set_id) and (set_id, token, size): equal sets are one."""
-    packed = sets.groupBy("graph_id").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
-    named = packed.withColumn("set_id", F.md5(F.array_join("tokens", "\u0001")))
-    distinct = named.groupBy("set_id").agg(F.first("tokens").alias("tokens"))
-    return named.select("graph_id", "set_id"), distinct.select("set_id", F.explode("tokens").alias("token"), F.size("tokens").alias("size"))
-
-
-def overlaps(synth_sets: DataFrame, real_sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Graph -> set of both sides, and (s_set, r_set, jaccard) of the distinct sets that share a token."""
-    s_of, s = _distinct_sets(synth_sets)
-    r_of, r = _distinct_sets(real_sets)
-    a = s.select("token", F.col("set_id").alias("s_set"), F.col("size").alias("s_size"))
-    b = r.select("token", F.col("set_id").alias("r_set"), F.col("size").alias("r_size"))
-    both = a.join(b, "token").groupBy("s_set", "r_set").agg(F.count(F.lit(1)).alias("i"), F.first("s_size").alias("ss"), F.first("r_size").alias("rs"))
-    return s_of, r_of, both.select("s_set", "r_set", (F.col("i") / (F.col("ss") + F.col("rs") - F.col("i"))).alias("jaccard"))
+def _kinds(sets: list[DataFrame]) -> DataFrame:
+    """(graph_id, kind, set0, set1, ...) from (graph_id, token) tables: sorted 64-bit token hashes."""
+    names = [f"set{k}" for k in range(len(sets))]
+    out = None
+    for name, s in zip(names, sets):
+        packed = s.groupBy("graph_id").agg(F.sort_array(F.collect_set(F.xxhash64("token"))).alias(name))
+        out = packed if out is None else out.join(packed, "graph_id")
+    return out.withColumn("kind", F.xxhash64(*[x for n in names for x in (F.size(n), n)]))
+
+
+def _distinct(kinds: DataFrame) -> DataFrame:
+    sets = [c for c in kinds.columns if c.startswith("set")]
+    return kinds.groupBy("kind").agg(*[F.first(c).alias(c) for c in sets])
+
+
+def _overlap(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Jaccard similarity of every set of ``a`` with every set of ``b``; sets are not empty."""
+    size_a, size_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    flat_a, flat_b = np.concatenate(a), np.concatenate(b)
+    shared = np.intersect1d(flat_a, flat_b)
+    both = np.zeros((len(a), len(b)), np.float32)
+    ends = []
+    for flat, size in ((flat_a, size_a), (flat_b, size_b)):
+        row, held = np.repeat(np.arange(len(size)), size), np.isin(flat, shared)
+        ends.append((row[held], np.searchsorted(shared, flat[held])))
+    for k in range(0, len(shared), TOKEN_COLUMNS):
+        sides = []
+        for (row, column), n in zip(ends, both.shape):
+            part = (column >= k) & (column < k + TOKEN_COLUMNS)
+            dense = np.zeros((n, min(TOKEN_COLUMNS, len(shared) - k)), np.float32)
+            dense[row[part], column[part] - k] = 1
+            sides.append(dense)
+        both += sides[0] @ sides[1].T
+    return both / (size_a[:, None] + size_b[None, :] - both.astype(np.float64))
+
+
+def nearest_similarity(synth: list[DataFrame], real: list[DataFrame], weights: tuple[float, ...]) -> DataFrame:
+    """(graph_id, nearest): the greatest weighted sum of set similarities to any real graph, 0 without real graphs.
+
+    ``synth`` and ``real`` are lists of (graph_id, token) tables, one for each weight.  Kinds
+    that occur on both sides are done at once; the others meet all real kinds in blocks.
+    """
+    s, r = materialize(_kinds(synth), "nearest-synthetic"), materialize(_distinct(_kinds(real)), "nearest-real")
+    kinds = _distinct(s)
+    same = kinds.join(r.select("kind"), "kind", "left_semi").select("kind", F.lit(float(sum(weights))).alias("nearest"))
+    fresh = materialize(kinds.join(r.select("kind"), "kind", "left_anti"), "nearest-fresh")
+    n_blocks = {"s": max(1, -(-fresh.count() // BLOCK_KINDS)), "r": max(1, -(-r.count() // BLOCK_KINDS))}
+
+    def dealt(df: DataFrame, mine: str, others: str) -> DataFrame:
+        own = F.expr(f"cast(pmod(kind, {n_blocks[mine]}) as int)").alias(mine)
+        other = F.explode(F.expr(f"sequence(0, {n_blocks[others] - 1})")).alias(others)
+        return df.select("kind", *[f"set{k}" for k in range(len(weights))], own, other, F.lit(mine == "r").alias("real"))
+
+    def best(tile: pd.DataFrame) -> pd.DataFrame:
+        a, b = tile[~tile["real"]], tile[tile["real"]]
+        score = np.zeros((len(a), max(1, len(b))))
+        for k, w in enumerate(weights):
+            if len(a) and len(b):
+                score += w * _overlap(a[f"set{k}"].tolist(), b[f"set{k}"].tolist())
+        return pd.DataFrame({"kind": a["kind"], "nearest": score.max(axis=1)})
+
+    tiles = dealt(fresh, "s", "r").unionByName(dealt(r, "r", "s"))
+    found = tiles.groupBy("s", "r").applyInPandas(best, "kind long, nearest double")
+    nearest = same.unionByName(found).groupBy("kind").agg(F.max("nearest").alias("nearest"))
+    return materialize(s.select("graph_id", "kind").join(nearest, "kind").select("graph_id", "nearest"), "nearest")
 
 
 def nearest_jaccard(synth_sets: DataFrame, real_sets: DataFrame) -> DataFrame:
     """(graph_id, nearest): the greatest similarity to any real graph, 0 if nothing is shared."""
-    s_of, _, pairs = overlaps(synth_sets, real_sets)
-    best = pairs.groupBy("s_set").agg(F.max("jaccard").alias("nearest"))
-    return s_of.join(best, F.col("set_id") == F.col("s_set"), "left").select("graph_id", F.coalesce("nearest", F.lit(0.0)).alias("nearest"))
+    return nearest_similarity([synth_sets], [real_sets], (1.0,))
 
 
-def combined_similarity(synth: tuple[DataFrame, DataFrame], real: tuple[DataFrame, DataFrame], weights: tuple[float, float] = (0.7, 0.3)) -> DataFrame:
-    """(graph_id, nearest): max over real of 0.7 J(edge labels) + 0.3 J(node labels).
+def combined_similarity(synth: tuple[DataFrame, DataFrame], real: tuple[DataFrame, DataFrame], weights: tuple[float, float] = WEIGHTS) -> DataFrame:
+    """(graph_id, nearest): max over real of 0.7 J(edge labels) + 0.3 J(node labels); each side is (edge sets, node sets)."""
+    return nearest_similarity(list(synth), list(real), weights)
 
-    ``synth`` and ``real`` are (edge sets, node sets).  A graph's two set ids together are
-    its kind; kinds, not graphs, are compared.
-    """
-    se_of, re_of, edge = overlaps(synth[0], real[0])
-    sn_of, rn_of, node = overlaps(synth[1], real[1])
 
-    def kinds(edges: DataFrame, nodes: DataFrame, side: str) -> DataFrame:
-        return edges.select("graph_id", F.col("set_id").alias(f"{side}_e")).join(nodes.select("graph_id", F.col("set_id").alias(f"{side}_n")), "graph_id")
+def similar_graphs(synth: tuple[DataFrame, DataFrame], real: tuple[DataFrame, DataFrame], threshold: float, weights: tuple[float, float] = WEIGHTS) -> DataFrame:
+    """(graph_id,) of synthetic graphs whose combined similarity to some real graph reaches ``threshold``.
 
-    s, r = kinds(se_of, sn_of, "s"), kinds(re_of, rn_of, "r")
-    sk, rk = s.select("s_e", "s_n").distinct(), r.select("r_e", "r_n").distinct()
-    by_edge = sk.join(edge.select(F.col("s_set").alias("s_e"), F.col("r_set").alias("r_e"), F.col("jaccard").alias("je")), "s_e").join(rk, "r_e")
-    by_node = sk.join(node.select(F.col("s_set").alias("s_n"), F.col("r_set").alias("r_n"), F.col("jaccard").alias("jn")), "s_n").join(rk, "r_n")
-    both = by_edge.join(by_node, ["s_e", "s_n", "r_e", "r_n"], "full")
-    score = weights[0] * F.coalesce("je", F.lit(0.0)) + weights[1] * F.coalesce("jn", F.lit(0.0))
-    best = both.groupBy("s_e", "s_n").agg(F.max(score).alias("nearest"))
-    return s.join(best, ["s_e", "s_n"], "left").select("graph_id", F.coalesce("nearest", F.lit(0.0)).alias("nearest"))
+    The edge sets alone must then be similar by t = (threshold - w_node) / w_edge, and two
+    such sets of sizes n, m share a token among the n - ceil(t n) + 1 rarest of each; those
+    few tokens are the join key, and whole sets decide.  ``t`` must be positive.
+    """
+    t = (threshold - weights[1]) / weights[0]
+    if t <= 0:
+        raise ValueError("a threshold the node labels can reach alone needs combined_similarity")
+    s = materialize(_kinds(list(synth)), "similar-synthetic")
+    sides = {"s": materialize(_distinct(s), "similar-s"), "r": materialize(_distinct(_kinds(list(real))), "similar-r")}
+    tokens = {k: v.select("kind", F.size("set0").alias("n"), F.explode("set0").alias("token")) for k, v in sides.items()}
+    often = tokens["s"].select("token").unionAll(tokens["r"].select("token")).groupBy("token").agg(F.count(F.lit(1)).alias("often"))
+    prefix = {}
+    for side, rows in tokens.items():
+        place = F.row_number().over(Window.partitionBy("kind").orderBy("often", "token"))
+        reach = F.col("n") - F.ceil(F.lit(t - 1e-9) * F.col("n")) + 1
+        prefix[side] = rows.join(often, "token").withColumn("place", place).filter(F.col("place") <= reach).select("token", F.col("kind").alias(side), F.col("n").alias(f"n_{side}"))
+    small, large = F.least("n_s", "n_r"), F.greatest("n_s", "n_r")
+    pairs = prefix["s"].join(prefix["r"], "token").filter(small >= F.lit(t - 1e-9) * large).select("s", "r").distinct()
+    for side, rows in sides.items():
+        pairs = pairs.join(rows.select(F.col("kind").alias(side), *[F.col(f"set{k}").alias(f"{side}{k}") for k in (0, 1)]), side)
+
+    def jaccard(k: int) -> Column:
+        both = F.size(F.array_intersect(f"s{k}", f"r{k}"))
+        return both / (F.size(f"s{k}") + F.size(f"r{k}") - both)
+
+    hits = pairs.filter(weights[0] * jaccard(0) + weights[1] * jaccard(1) >= threshold).select(F.col("s").alias("kind")).distinct()
+    return s.select("graph_id", "kind").join(hits, "kind", "left_semi").select("graph_id")
 
 
 def duplicates(synth_sigs: DataFrame, real_sigs: DataFrame) -> DataFrame:
@@ -117,17 +191,36 @@ def valid_mass(synth_nodes: DataFrame, real_nodes: DataFrame) -> DataFrame:
     )
 
 
-def filter_corpus(dups: DataFrame, nearest: DataFrame, threshold: float, exact_only: bool = False) -> DataFrame:
-    """(graph_id, status): exact, near or kept."""
-    near = F.lit(False) if exact_only else F.col("nearest") >= threshold
-    return dups.join(nearest, "graph_id").select("graph_id", F.when(F.col("exact"), "exact").when(near, "near").otherwise("kept").alias("status"))
+def filter_corpus(dups: DataFrame, similar: DataFrame | None) -> DataFrame:
+    """(graph_id, status): exact, near or kept; without ``similar`` graphs only exact ones are told."""
+    rows = dups.select("graph_id", "exact")
+    near = F.lit(False)
+    if similar is not None:
+        rows, near = rows.join(similar.select("graph_id", F.lit(True).alias("hit")), "graph_id", "left"), F.coalesce("hit", F.lit(False))
+    return rows.select("graph_id", F.when(F.col("exact"), "exact").when(near, "near").otherwise("kept").alias("status"))
+
 
+def nearest_rank_percentile(values: DataFrame, column: str, share: float, keys: list[str] | None = None) -> DataFrame:
+    """Per key the value at 0-based position round-half-even(share * (n - 1)) in ascending order."""
+    by = keys or ["all"]
+    counted = (values if keys else values.withColumn("all", F.lit(1))).groupBy(*by, column).agg(F.count(F.lit(1)).alias("times"))
+    n = counted.groupBy(*by).agg(F.sum("times").alias("n"))
+    place = running(counted, by, column, ["times"]).join(n, by)
+    out = place.filter(F.col("times_upto") > F.bround(F.lit(share) * (F.col("n") - 1), 0)).groupBy(*by).agg(F.min(column).alias("percentile"))
+    return out if keys else out.drop("all")
 
-def nearest_rank_percentile(values: DataFrame, column: str, share: float) -> DataFrame:
-    """The value at 0-based position round-half-even(share * (n - 1)) in ascending order."""
-    counted = values.groupBy(column).agg(F.count(F.lit(1)).alias("times")).withColumn("all", F.lit(1))
-    from spanforge.operators.ranking import running
 
-    place = running(counted, ["all"], column, ["times"])
-    n = values.agg(F.count(F.lit(1)).alias("n"))
-    return place.crossJoin(F.broadcast(n)).filter(F.col("times_upto") > F.bround(F.lit(share) * (F.col("n") - 1), 0)).agg(F.min(column).alias("percentile"))
+def filter_report(dups: DataFrame, nearest: DataFrame, threshold: float, exact_only: bool = False) -> DataFrame:
+    """Per phase (before, after filtering): graphs, rejected, retention and the duplicate rates of what is there."""
+    near = F.lit(False) if exact_only else F.col("nearest") >= threshold
+    rows = dups.join(nearest, "graph_id").withColumn("near", near & ~F.col("exact"))
+    phases = F.when(F.col("exact") | F.col("near"), F.array(F.lit("before"))).otherwise(F.array(F.lit("before"), F.lit("after")))
+    rows = rows.withColumn("phase", F.explode(phases))
+    found = rows.groupBy("phase").agg(
+        F.count(F.lit(1)).alias("graphs"), F.count_if("exact").alias("exact_graphs"), F.count_if("near").alias("near_graphs"),
+        (F.countDistinct("sig") / F.count(F.lit(1))).alias("unique_rate"), F.avg(F.col("exact").cast("double")).alias("exact_rate"),
+        F.avg((F.col("nearest") >= threshold).cast("double")).alias("near_rate"), F.avg("nearest").alias("mean_nearest"),
+    )
+    zero = dups.sparkSession.createDataFrame([("before",), ("after",)], "phase string")
+    out = zero.join(found, "phase", "left").join(nearest_rank_percentile(rows, "nearest", 0.95, ["phase"]).withColumnRenamed("percentile", "p95_nearest"), "phase", "left")
+    return out.fillna(0).fillna(0.0)

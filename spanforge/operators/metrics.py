@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanforge.operators.ranking import running
+
 
 def _ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
@@ -37,8 +39,6 @@ def derived_metrics(cells: DataFrame) -> DataFrame:
 
 def average_precision(predictions: DataFrame, keys: list[str]) -> DataFrame:
     """Sum over distinct scores, descending, of recall gain times precision; 0 without positives."""
-    from spanforge.operators.ranking import running
-
     by_score = predictions.groupBy(*keys, (-F.col("score")).alias("down")).agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
     totals = by_score.groupBy(*keys).agg(F.sum("pos").alias("all_pos"))
     steps = running(by_score, keys, "down", ["pos", "n"]).join(totals, keys)
@@ -93,8 +93,20 @@ def duration_stats(nodes: DataFrame) -> DataFrame:
 
 
 def duration_clip(nodes: DataFrame, keys: list[str], share: float = 0.99) -> DataFrame:
-    """Upper clip of log1p duration: the linear quantile at ``share``."""
-    return nodes.groupBy(*keys).agg(F.percentile(F.log1p(F.greatest("duration", F.lit(0.0))), share).alias("log_clip"), F.count(F.lit(1)).alias("n"))
+    """Upper clip of log1p duration: the linear quantile at ``share``, from counted values."""
+    x = nodes.filter("duration is not null").select(*keys, F.log1p(F.greatest("duration", F.lit(0.0))).alias("x"))
+    counted = x.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("times"))
+    sizes = counted.groupBy(*keys).agg(F.sum("times").alias("n"))
+    steps = running(counted, keys, "x", ["times"]).join(sizes, keys)
+    at = F.lit(share) * (F.col("n") - 1)
+    lower = F.floor(at)
+
+    def value(place):
+        return F.min(F.when(F.col("times_upto") > place, F.col("x")))
+
+    out = steps.groupBy(*keys).agg(value(lower).alias("low"), value(lower + 1).alias("high"), F.first("n").alias("n"), F.first(at - lower).alias("part"))
+    clip = F.col("low") + F.col("part") * (F.coalesce("high", "low") - F.col("low"))
+    return out.select(*keys, clip.alias("log_clip"), "n")
 
 
 def corpus_bounds(stats: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HASH_BUCKET = 1 << 20
+HASH_BUCKET = 1 << 16
 VALUE_BUCKETS = 64
 
 

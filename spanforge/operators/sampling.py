@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanforge.functions.draws import draw
+from spanforge.functions.draws import draw, half_even
 from spanforge.operators.ranking import hash_rank
 
 
@@ -30,14 +30,46 @@ def split(df: DataFrame, keys: list[str], ratio: float, seed: int, purpose: str,
     return ranked.withColumn("kept", F.col("rank") <= (F.col("_size") * F.lit(ratio)).cast("long")).drop("rank", "_size")
 
 
+def split_by_class(normal: Column, abnormal: Column, target: Column) -> tuple[Column, Column]:
+    """How many of each class make ``target``: in proportion (half to even), room spilling over."""
+    ratio = normal / F.nullif(normal + abnormal, F.lit(0)).cast("double")
+    first = F.coalesce(F.least(half_even(target * ratio), normal), F.lit(0))
+    second = F.least(abnormal, target - first)
+    more = F.least(normal - first, target - first - second)
+    rest = target - first - second - more
+    return first + more, second + F.least(abnormal - second, rest)
+
+
 def allocate(counts: DataFrame, target: Column) -> DataFrame:
-    """(normal, abnormal) pool sizes -> how many of each make ``target``, in proportion, room spilling over."""
-    n, a = F.col("normal"), F.col("abnormal")
-    total = n + a
-    wanted = F.least(target, total)
-    first = F.least(F.bround(wanted * n / F.greatest(total, F.lit(1)), 0).cast("long"), n)
-    second = F.least(wanted - first, a)
-    return counts.withColumn("take_normal", F.least(wanted - second, n)).withColumn("take_abnormal", second)
+    """(normal, abnormal) pool sizes plus take_normal and take_abnormal."""
+    wanted = F.least(target, F.col("normal") + F.col("abnormal"))
+    normal, abnormal = split_by_class(F.col("normal"), F.col("abnormal"), wanted)
+    return counts.withColumn("take_normal", normal).withColumn("take_abnormal", abnormal)
+
+
+def proportional_target(graphs: DataFrame, normal_count: int, keys: list[str]) -> DataFrame:
+    """Per key: for ``normal_count`` normal graphs the abnormal count in the corpus's proportion, at least 1."""
+    n, a = F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)
+    ratio = F.coalesce(a / F.nullif(n, F.lit(0)), F.lit(0.0))
+    return graphs.groupBy(*keys).agg(F.lit(normal_count).cast("long").alias("normal"), F.greatest(F.lit(1).cast("long"), half_even(F.lit(normal_count) * ratio)).alias("abnormal"))
+
+
+def draw_counts(graphs: DataFrame, column: str, target: int, seed: int, purpose: str) -> DataFrame:
+    """(draw_id, column): ``target`` values of real graphs, without replacement if there are so many, else with."""
+    pool = indexed(graphs.withColumn("all", F.lit(0)), ["all"], seed, "graph_id").select("all", "pool", "idx", column)
+    ids = graphs.sparkSession.range(target).select(F.col("id").alias("draw_id"), F.lit(0).alias("all"))
+    size = pool.groupBy("all").agg(F.first("pool").alias("pool"))
+    idx = F.when(F.lit(target) <= F.col("pool"), F.col("draw_id")).otherwise(draw(seed, purpose, F.col("draw_id")) % F.col("pool"))
+    return ids.join(F.broadcast(size), "all").withColumn("idx", idx).join(pool.drop("pool"), ["all", "idx"]).select("draw_id", column)
+
+
+def edge_counts_for(wanted: DataFrame, graphs: DataFrame, seed: int, id_col: str = "gen_id") -> DataFrame:
+    """(id, num_edges): for each wanted num_nodes the edge count of a real graph of the nearest observed size."""
+    near = nearest_key(wanted, graphs)
+    pool = indexed(graphs, ["num_nodes"], seed, "graph_id").select(F.col("num_nodes").alias("nearest_nodes"), "pool", "idx", "num_edges")
+    sizes = pool.groupBy("nearest_nodes").agg(F.first("pool").alias("pool"))
+    drawn = wanted.join(near, "num_nodes").join(sizes, "nearest_nodes").withColumn("idx", draw(seed, "edges", F.col(id_col)) % F.col("pool"))
+    return drawn.join(pool.drop("pool"), ["nearest_nodes", "idx"]).select(id_col, "num_edges")
 
 
 def size_buckets(graphs: DataFrame, bounds: list[tuple[int, int | None]]) -> DataFrame:

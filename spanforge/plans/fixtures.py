@@ -6,7 +6,7 @@ stretches, corpus A or B a hash of the trace.  ``FIXTURE_SQL`` says the same in
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +17,11 @@ from spanforge.operators import graphs as G
 from spanforge.operators import labels as L
 
 SEED = 42
-N_FAULTS = 20
-FAULT_SECONDS = 6 * 3600
+#: Every other day's greatest error opens a fault window of this length: a steady share of
+#: the time at any number of events.
+FAULT_SECONDS = 12 * 3600
+DAY = 86400
+GENERATORS = ("g0", "g1")
 
 
 def event_spans(events: DataFrame) -> DataFrame:
@@ -41,40 +44,68 @@ def event_spans(events: DataFrame) -> DataFrame:
         "source_run", "trace_id", "timestamp", "span_seq", "service_name", "operation_name", "duration", "system", "value",
         span(F.col("node_idx")).alias("span_id"), F.when(F.col("node_idx") == 0, F.lit("")).otherwise(span(parent)).alias("parent_id"),
         F.when(draw(SEED, "corpus", F.col("trace_id")) < 2147483648, "A").otherwise("B").alias("corpus"),
+        F.when(F.substring("source_run", 2, 9).cast("int") % 2 == 0, "no_fault_archive").otherwise("fault_run").alias("source_kind"),
     )
 
 
+_tables: dict[tuple[object, str], "Traces"] = {}
+
+
+def traces(spark: SparkSession, sf_dir: str) -> "Traces":
+    """The tables of one data folder.  Queries on it share what is persisted; asking for another folder lets it go."""
+    key = (spark, sf_dir)
+    if key not in _tables:
+        release()
+        _tables[key] = Traces(spark, sf_dir)
+    return _tables[key]
+
+
+def release() -> None:
+    """Unpersist the tables of the last data folder."""
+    while _tables:
+        _tables.popitem()[1].unpersist()
+
+
 @dataclass
 class Traces:
-    """Lazily built tables of one data folder.
-
-    The tables that most plans read several times are persisted; Spark finds an equal
-    plan's persisted rows again, so queries share them.
-    """
+    """Lazily built tables of one data folder; those that most plans read several times are persisted."""
 
     spark: SparkSession
     sf_dir: str
+    held: list[DataFrame] = field(default_factory=list)
+
+    def hold(self, df: DataFrame) -> DataFrame:
+        self.held.append(df.persist())
+        return df
+
+    def unpersist(self) -> None:
+        while self.held:
+            self.held.pop().unpersist()
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     @cached_property
     def spans(self) -> DataFrame:
-        return event_spans(self.table("events")).persist()
+        return self.hold(event_spans(self.table("events")))
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return G.index_nodes(self.spans).persist()
+        return self.hold(G.index_nodes(self.spans))
 
     @cached_property
     def edges(self) -> DataFrame:
-        return G.parent_edges(self.nodes).persist()
+        return self.hold(G.parent_edges(self.nodes))
 
     @cached_property
     def windows(self) -> DataFrame:
-        """The N_FAULTS errors of highest value, six hours from each, named by operation."""
-        errors = self.spans.filter("service_name = 'error'").orderBy(F.desc("value"), "span_seq").limit(N_FAULTS)
-        return errors.select("source_run", F.col("span_seq").alias("fault_idx"), F.col("timestamp").cast("double").alias("w_start"), (F.col("timestamp") + FAULT_SECONDS).cast("double").alias("w_end"), F.col("operation_name").alias("fault"))
+        """On every other day of a run a window from the error of highest value, named by its operation."""
+        day = F.expr(f"timestamp div {DAY}")
+        errors = self.spans.filter("service_name = 'error'").withColumn("day", day).filter("day % 2 = 0")
+        first = F.struct(F.col("value"), (-F.col("span_seq")).alias("back"), "timestamp", "operation_name")
+        top = errors.groupBy("source_run", "day").agg(F.max(first).alias("e")).select("source_run", "e.*")
+        start = F.col("timestamp").cast("double")
+        return top.select("source_run", (-F.col("back")).alias("fault_idx"), start.alias("w_start"), (start + FAULT_SECONDS).alias("w_end"), F.col("operation_name").alias("fault"))
 
     @cached_property
     def labels(self) -> DataFrame:
@@ -82,13 +113,25 @@ class Traces:
 
     @cached_property
     def graphs(self) -> DataFrame:
-        """graph_id, system, corpus, label (1 abnormal), num_nodes."""
+        """graph_id, system, corpus, generator (of corpus B), label (1 abnormal), num_nodes, num_edges."""
         per = self.nodes.groupBy("graph_id", "source_run", "trace_id", "system", "corpus").agg(F.count(F.lit(1)).alias("num_nodes"))
-        return per.join(self.labels, ["source_run", "trace_id"]).select("graph_id", "system", "corpus", F.expr("if(trace_label = 'abnormal', 1, 0)").alias("label"), "num_nodes").persist()
+        wired = self.edges.groupBy("graph_id").agg(F.count(F.lit(1)).alias("num_edges"))
+        made_by = F.when(F.col("corpus") == "B", F.element_at(F.array(*map(F.lit, GENERATORS)), (draw(SEED, "generator", F.col("graph_id")) % len(GENERATORS) + 1).cast("int")))
+        rows = per.join(self.labels, ["source_run", "trace_id"]).join(wired, "graph_id", "left")
+        return self.hold(
+            rows.select("graph_id", "system", "corpus", made_by.alias("generator"), F.expr("if(trace_label = 'abnormal', 1, 0)").alias("label"), "num_nodes", F.coalesce("num_edges", F.lit(0)).alias("num_edges"))
+        )
 
     @cached_property
     def stats(self) -> DataFrame:
-        return G.graph_stats(self.nodes, self.edges).join(self.graphs.select("graph_id", "system", "corpus", "label"), "graph_id").persist()
+        return self.hold(G.graph_stats(self.nodes, self.edges).join(self.graphs.select("graph_id", "system", "corpus", "generator", "label"), "graph_id"))
+
+    @cached_property
+    def grouped_nodes(self) -> DataFrame:
+        """Nodes with the generator and label of their graph."""
+        return self.nodes.select("graph_id", "node_idx", "service_name", "operation_name", "duration").join(
+            self.graphs.select("graph_id", "system", "corpus", "generator", "label"), "graph_id"
+        )
 
     @cached_property
     def node_labels(self) -> DataFrame:
@@ -124,13 +167,15 @@ nodes AS (
 spans AS (
   SELECT *, CASE WHEN node_idx = 0 THEN trace_id ELSE trace_id || '-' || node_idx END AS span_id,
          CASE WHEN node_idx = 0 THEN '' WHEN span_seq % node_idx = 0 THEN trace_id ELSE trace_id || '-' || (span_seq % node_idx) END AS parent_id,
-         CASE WHEN {draw_sql("corpus", "trace_id")} < 2147483648 THEN 'A' ELSE 'B' END AS corpus FROM nodes),
+         CASE WHEN {draw_sql("corpus", "trace_id")} < 2147483648 THEN 'A' ELSE 'B' END AS corpus,
+         CASE WHEN CAST(substr(source_run, 2) AS INT) % 2 = 0 THEN 'no_fault_archive' ELSE 'fault_run' END AS source_kind FROM nodes),
 edges AS (
   SELECT c.graph_id, p.node_idx AS src, c.node_idx AS dst FROM spans c JOIN spans p ON c.graph_id = p.graph_id AND c.parent_id = p.span_id
   WHERE c.parent_id <> ''),
 windows AS (
   SELECT source_run, span_seq AS fault_idx, timestamp::DOUBLE AS w_start, (timestamp + {FAULT_SECONDS})::DOUBLE AS w_end, operation_name AS fault
-  FROM spans WHERE service_name = 'error' ORDER BY value DESC, span_seq LIMIT {N_FAULTS}),
+  FROM (SELECT *, row_number() OVER (PARTITION BY source_run, timestamp // {DAY} ORDER BY value DESC, span_seq) AS nth FROM spans
+        WHERE service_name = 'error' AND (timestamp // {DAY}) % 2 = 0) WHERE nth = 1),
 roots AS (SELECT source_run, trace_id, timestamp, timestamp + duration / 1e6 AS end_sec FROM spans WHERE span_id = trace_id),
 hits AS (
   SELECT r.source_run, r.trace_id, arg_min(w.fault, w.fault_idx) AS fault FROM roots r JOIN windows w
@@ -139,8 +184,10 @@ labels0 AS (
   SELECT r.source_run, r.trace_id, r.timestamp, CASE WHEN h.fault IS NULL THEN 'normal' ELSE 'abnormal' END AS trace_label,
          coalesce(h.fault, 'none') AS fault_type FROM roots r LEFT JOIN hits h USING (source_run, trace_id)),
 graphs AS (
-  SELECT graph_id, system, corpus, CASE WHEN trace_label = 'abnormal' THEN 1 ELSE 0 END AS label, count(*) AS num_nodes
-  FROM spans JOIN labels0 USING (source_run, trace_id) GROUP BY ALL),
+  SELECT graph_id, system, corpus, CASE WHEN corpus = 'B' THEN 'g' || ({draw_sql("generator", "graph_id")} % {len(GENERATORS)}) END AS generator,
+         CASE WHEN trace_label = 'abnormal' THEN 1 ELSE 0 END AS label, count(*) AS num_nodes, coalesce(any_value(ne), 0) AS num_edges
+  FROM spans JOIN labels0 USING (source_run, trace_id) LEFT JOIN (SELECT graph_id, count(*) AS ne FROM edges GROUP BY ALL) USING (graph_id)
+  GROUP BY graph_id, system, corpus, trace_label),
 deg AS (
   SELECT graph_id, node_idx, sum(i) AS indegree, sum(o) AS outdegree FROM (
     SELECT graph_id, dst AS node_idx, 1 AS i, 0 AS o FROM edges UNION ALL SELECT graph_id, src, 0, 1 FROM edges UNION ALL SELECT graph_id, node_idx, 0, 0 FROM spans)

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.functions.draws import draw
-from spanforge.operators import classify, corpora, distributions, edges, generate, graphs, labels, memorization, metrics, sampling
-from spanforge.plans.fixtures import FIXTURE_SQL, SEED, Traces, draw_sql
+from spanforge.operators import classify, corpora, distributions, edges, fidelity, generate, graphs, labels, memorization, metrics, sampling
+from spanforge.plans.fixtures import FIXTURE_SQL, SEED, Traces, draw_sql, traces
+from spanforge.sources.shared import materialize
 from spanforge.sources.spans import spans_from_traces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,7 +20,6 @@ NODE_CAPS = [5, 8, 12]
 PERCENTS = [0, 10, 30, 50, 70, 100]
 BUCKETS = [(1, 3), (4, 8), (9, None)]
 GENERATED = 500
-MMD_CAP = 400
 
 
 def query(sql: str | None = None):
@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 
     def add(plan: Callable[[Traces], DataFrame]) -> Callable[[Traces], DataFrame]:
         name = plan.__name__
-        QUERIES[name] = lambda spark, sf_dir: plan(Traces(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: plan(traces(spark, sf_dir))
         if sql is not None:
             ORACLE_SQL[name] = FIXTURE_SQL.rstrip() + sql
         return plan
@@ -70,9 +70,25 @@ def ingest_summary(t: Traces) -> DataFrame:
     return labels.ingest_summary(labels.label_spans(t.spans, t.labels))
 
 
-@query("\nSELECT source_run, trace_id, span_id FROM spans WHERE source_run NOT IN (SELECT source_run FROM windows)")
+@query("""
+, tr AS (SELECT DISTINCT system, source_run, trace_id, fault_type, source_kind FROM spans JOIN labels0 USING (source_run, trace_id))
+SELECT system, 'fault_type' AS kind, fault_type AS value, count(*) AS traces FROM tr GROUP BY ALL
+UNION ALL SELECT system, 'source_kind', source_kind, count(*) FROM tr GROUP BY ALL""")
+def trace_value_counts(t: Traces) -> DataFrame:
+    return labels.trace_value_counts(labels.label_spans(t.spans, t.labels))
+
+
+@query("""
+SELECT source_run, trace_id, span_id, trace_label FROM spans JOIN labels0 USING (source_run, trace_id) WHERE trace_label = 'abnormal'""")
+def label_split(t: Traces) -> DataFrame:
+    """The abnormal side of the split."""
+    return labels.split_by_label(labels.label_spans(t.spans, t.labels))[1].select("source_run", "trace_id", "span_id", "trace_label")
+
+
+@query("\nSELECT source_run, trace_id, span_id FROM spans WHERE source_run NOT IN (SELECT source_run FROM spans WHERE source_kind = 'no_fault_archive')")
 def runs_anti_join(t: Traces) -> DataFrame:
-    return labels.without_archived_runs(t.spans, t.windows).select("source_run", "trace_id", "span_id")
+    archived = t.spans.filter("source_kind = 'no_fault_archive'")
+    return labels.without_archived_runs(t.spans, archived).select("source_run", "trace_id", "span_id")
 
 
 @query("""
@@ -116,67 +132,103 @@ def resized_edges(t: Traces) -> DataFrame:
     return graphs.resize(t.edges, t.graphs.select("graph_id", F.expr("(num_nodes + 1) div 2").alias("new_count")))
 
 
-# Two-sample distances
+VOCAB_SQL = """, sv AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS id FROM (SELECT DISTINCT service_name AS name FROM spans)),
+ov AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS id FROM (SELECT DISTINCT operation_name AS name FROM spans)),
+enc AS (SELECT graph_id, node_idx, sv.id AS service_id, ov.id AS op_id, duration FROM spans JOIN sv ON sv.name = service_name JOIN ov ON ov.name = operation_name)
+"""
+
+
+@query(VOCAB_SQL + "SELECT max(service_id) + 1 AS num_services, max(op_id) + 1 AS num_operations FROM enc")
+def vocab_sizes(t: Traces) -> DataFrame:
+    return graphs.vocabulary_sizes(vocab_ids(t))
+
+
+@query(VOCAB_SQL + "SELECT graph_id, node_idx, least(greatest(service_id, 0), 2) AS service_id, least(greatest(op_id, 0), 9) AS op_id, duration FROM enc")
+def clipped_ids(t: Traces) -> DataFrame:
+    return graphs.clip_ids(vocab_ids(t), 3, 10)
 
 
-def _long(t: Traces) -> DataFrame:
-    """(system, metric, side, value): per-graph features and node-level bags."""
-    stack = ", ".join(f"'{c}', cast({c} as double)" for c in graphs.FEATURES)
-    per_graph = t.stats.select("system", F.col("corpus").alias("side"), F.expr(f"stack({len(graphs.FEATURES)}, {stack}) as (metric, value)"))
-    where = t.graphs.select("graph_id", "system", F.col("corpus").alias("side"))
-    degree = graphs.degrees(t.nodes, t.edges).join(where, "graph_id").select("system", "side", F.lit("all_degrees").alias("metric"), (F.col("indegree") + F.col("outdegree")).cast("double").alias("value"))
-    duration = t.nodes.select("system", F.col("corpus").alias("side"), F.lit("all_durations").alias("metric"), F.col("duration").alias("value"))
-    return per_graph.unionByName(degree).unionByName(duration).withColumn("value", F.round("value", 9))
+@query("\nSELECT e.graph_id, src, dst FROM edges e JOIN graphs g USING (graph_id) WHERE num_nodes BETWEEN 3 AND 8")
+def size_filtered_edges(t: Traces) -> DataFrame:
+    return graphs.keep_sizes(t.graphs, [t.edges], least=3, most=8)[0]
 
 
+@query("\nSELECT graph_id, CASE WHEN corpus = 'A' THEN 0 ELSE 1 END AS label FROM graphs")
+def label_override(t: Traces) -> DataFrame:
+    real, synth = (t.graphs.filter(F.col("corpus") == c) for c in "AB")
+    return corpora.label_by_corpus(real, 0).unionByName(corpora.label_by_corpus(synth, 1)).select("graph_id", "label")
+
+
+@query("""
+, v AS (SELECT system, count(DISTINCT service_name) AS num_services, count(DISTINCT operation_name) AS num_operations,
+  string_agg(DISTINCT operation_name, ',' ORDER BY operation_name) AS operations FROM spans GROUP BY ALL),
+c AS (SELECT system, count(*) FILTER (label = 0) AS normal_graphs, count(*) FILTER (label = 1) AS abnormal_graphs FROM graphs GROUP BY ALL)
+SELECT system, normal_graphs, abnormal_graphs, num_services, num_operations, operations FROM c JOIN v USING (system)""")
+def system_metadata(t: Traces) -> DataFrame:
+    names = F.expr("transform(array_sort(map_entries(op_to_id), (a, b) -> a.value - b.value), e -> e.key)")
+    return graphs.metadata(t.graphs, t.nodes).select("system", "normal_graphs", "abnormal_graphs", "num_services", "num_operations", F.array_join(names, ",").alias("operations"))
+
+
+# Two-sample distances, cell by cell: system, generator, class and both classes together
+
+
+CELL_SQL = """, gens AS (SELECT DISTINCT system, generator FROM graphs WHERE corpus = 'B'),
+cells AS (SELECT graph_id, system, generator, unnest([CASE WHEN label = 1 THEN 'abnormal' ELSE 'normal' END, 'combined']) AS trace_class, side
+  FROM (SELECT g.graph_id, g.system, x.generator, g.label, g.corpus AS side FROM graphs g JOIN gens x ON x.system = g.system AND (g.corpus = 'A' OR g.generator = x.generator)))
+"""
+CELL = "system, generator, trace_class"
+_IN_CELL = "cells.system, cells.generator, cells.trace_class, cells.side"
 LONG_SQL = (
-    ", long AS ("
-    + " UNION ALL ".join(f"SELECT g.system, g.corpus AS side, '{c}' AS metric, round({c}::DOUBLE, 9) AS value FROM stats JOIN graphs g USING (graph_id)" for c in graphs.FEATURES)
-    + """ UNION ALL SELECT system, corpus, 'all_degrees', (indegree + outdegree)::DOUBLE FROM deg JOIN graphs USING (graph_id)
-  UNION ALL SELECT system, corpus, 'all_durations', duration FROM spans),
-cnt AS (SELECT system, metric, value, count(*) FILTER (side = 'A') AS na, count(*) FILTER (side = 'B') AS nb FROM long GROUP BY ALL),
-steps AS (SELECT *, sum(na) OVER w / sum(na) OVER (PARTITION BY system, metric) AS fa, sum(nb) OVER w / sum(nb) OVER (PARTITION BY system, metric) AS fb,
-  coalesce(lead(value) OVER (PARTITION BY system, metric ORDER BY value), value) - value AS dx
-  FROM cnt WINDOW w AS (PARTITION BY system, metric ORDER BY value)),
-scales AS (SELECT system, metric, greatest(stddev_pop(value), abs(avg(value) FILTER (side = 'A')), abs(avg(value) FILTER (side = 'B')), 1e-9) AS scale FROM long GROUP BY ALL),
-ecdf AS (SELECT system, metric, 1 - max(abs(fa - fb)) AS ks, greatest(1 - sum(abs(fa - fb) * dx) / any_value(scale), 0) AS ws FROM steps JOIN scales USING (system, metric) GROUP BY ALL)
+    CELL_SQL + ", long AS ("
+    + " UNION ALL ".join(f"SELECT {_IN_CELL}, '{c}' AS metric, round({c}::DOUBLE, 9) AS value FROM stats JOIN cells USING (graph_id)" for c in graphs.FEATURES)
+    + f""" UNION ALL SELECT {_IN_CELL}, 'all_degrees', (indegree + outdegree)::DOUBLE FROM deg JOIN cells USING (graph_id)
+  UNION ALL SELECT {_IN_CELL}, 'all_durations', duration FROM spans JOIN cells USING (graph_id)),
+cnt AS (SELECT {CELL}, metric, value, count(*) FILTER (side = 'A') AS na, count(*) FILTER (side = 'B') AS nb FROM long GROUP BY ALL),
+steps AS (SELECT *, sum(na) OVER w / sum(na) OVER m AS fa, sum(nb) OVER w / sum(nb) OVER m AS fb, coalesce(lead(value) OVER w, value) - value AS dx
+  FROM cnt WINDOW w AS (PARTITION BY {CELL}, metric ORDER BY value), m AS (PARTITION BY {CELL}, metric)),
+scales AS (SELECT {CELL}, metric, greatest(stddev_pop(value), abs(avg(value) FILTER (side = 'A')), abs(avg(value) FILTER (side = 'B')), 1e-9) AS scale FROM long GROUP BY ALL),
+ecdf AS (SELECT {CELL}, metric, coalesce(1 - max(abs(fa - fb)), 0) AS ks, coalesce(greatest(1 - sum(abs(fa - fb) * dx) / any_value(scale), 0), 0) AS ws,
+  coalesce(sum(abs(fa - fb) * dx), 0) AS wd FROM steps JOIN scales USING ({CELL}, metric) GROUP BY ALL)
 """
 )
 
 
-@query(LONG_SQL + "SELECT system, metric, round(ks, 6) AS ks_similarity FROM ecdf WHERE metric NOT LIKE 'all%'")
+def _ecdf(t: Traces) -> DataFrame:
+    counted = fidelity.value_counts(t.stats, t.grouped_nodes, t.edges)
+    return distributions.ecdf_distances(fidelity.cell_counts(counted, fidelity.generators_of(t.graphs)), [*fidelity.CELL, "metric"])
+
+
+@query(LONG_SQL + f"SELECT {CELL}, metric, round(ks, 6) AS ks_similarity FROM ecdf WHERE metric NOT LIKE 'all%'")
 def ks_graph_metrics(t: Traces) -> DataFrame:
-    return rounded(distributions.ecdf_distances(_long(t).filter("metric not like 'all%'"), ["system", "metric"]).drop("wasserstein_similarity"), "ks_similarity")
+    return rounded(_ecdf(t).filter("metric not like 'all%'").drop("wasserstein_similarity", "wasserstein_distance"), "ks_similarity")
 
 
-@query(LONG_SQL + "SELECT system, metric, round(ks, 6) AS ks_similarity FROM ecdf WHERE metric LIKE 'all%'")
+@query(LONG_SQL + f"SELECT {CELL}, metric, round(ks, 6) AS ks_similarity FROM ecdf WHERE metric LIKE 'all%'")
 def ks_value_bags(t: Traces) -> DataFrame:
-    return rounded(distributions.ecdf_distances(_long(t).filter("metric like 'all%'"), ["system", "metric"]).drop("wasserstein_similarity"), "ks_similarity")
+    return rounded(_ecdf(t).filter("metric like 'all%'").drop("wasserstein_similarity", "wasserstein_distance"), "ks_similarity")
 
 
-@query(LONG_SQL + "SELECT system, metric, round(ws, 6) AS wasserstein_similarity FROM ecdf WHERE metric IN ('node_count', 'edge_count', 'all_degrees', 'all_durations')")
+@query(LONG_SQL + f"""SELECT {CELL}, metric, round(ws, 6) AS wasserstein_similarity, round(wd, 6) AS wasserstein_distance FROM ecdf
+WHERE metric IN ('node_count', 'edge_count', 'density', 'mean_degree')""")
 def wasserstein_metrics(t: Traces) -> DataFrame:
-    chosen = _long(t).filter(F.col("metric").isin("node_count", "edge_count", "all_degrees", "all_durations"))
-    return rounded(distributions.ecdf_distances(chosen, ["system", "metric"]).drop("ks_similarity"), "wasserstein_similarity")
+    rows = _ecdf(t).filter(F.col("metric").isin(*fidelity.WASSERSTEIN)).drop("ks_similarity")
+    return rounded(rows, "wasserstein_similarity", "wasserstein_distance")
 
 
-def _label_bags(t: Traces) -> DataFrame:
-    names = "stack(3, 'service', service_name, 'operation', operation_name, 'joint', concat_ws('|', service_name, operation_name)) as (metric, value)"
-    return t.nodes.select("system", F.col("corpus").alias("side"), F.expr(names))
-
-
-JS_SQL = """, bags AS (
-  SELECT system, corpus AS side, 'service' AS metric, service_name AS value FROM spans UNION ALL SELECT system, corpus, 'operation', operation_name FROM spans
-  UNION ALL SELECT system, corpus, 'joint', service_name || '|' || operation_name FROM spans),
-bc AS (SELECT system, metric, value, count(*) FILTER (side = 'A') AS na, count(*) FILTER (side = 'B') AS nb FROM bags GROUP BY ALL),
-pq AS (SELECT system, metric, (na / sum(na) OVER g + 1e-12) / (1 + 1e-12 * count(*) OVER g) AS p, (nb / sum(nb) OVER g + 1e-12) / (1 + 1e-12 * count(*) OVER g) AS q FROM bc WINDOW g AS (PARTITION BY system, metric)),
-js AS (SELECT system, metric, 1 - sqrt(greatest(sum(p * log2(p / ((p + q) / 2)) / 2 + q * log2(q / ((p + q) / 2)) / 2), 0)) AS js FROM pq GROUP BY ALL)
+JS_SQL = f""", bags AS (
+  SELECT {_IN_CELL}, unnest([('service', service_name), ('operation', operation_name), ('service_operation', service_name || '|' || operation_name)]) AS b FROM spans JOIN cells USING (graph_id)),
+bc AS (SELECT {CELL}, b[1] AS metric, b[2] AS value, count(*) FILTER (side = 'A') AS na, count(*) FILTER (side = 'B') AS nb FROM bags GROUP BY ALL),
+pq AS (SELECT {CELL}, metric, (coalesce(na / nullif(sum(na) OVER g, 0), 0) + 1e-12) / (CASE WHEN sum(na) OVER g > 0 THEN 1 ELSE 0 END + 1e-12 * count(*) OVER g) AS p,
+  (coalesce(nb / nullif(sum(nb) OVER g, 0), 0) + 1e-12) / (CASE WHEN sum(nb) OVER g > 0 THEN 1 ELSE 0 END + 1e-12 * count(*) OVER g) AS q FROM bc WINDOW g AS (PARTITION BY {CELL}, metric)),
+js AS (SELECT {CELL}, metric, 1 - sqrt(greatest(sum(p * log2(p / ((p + q) / 2)) / 2 + q * log2(q / ((p + q) / 2)) / 2), 0)) AS js FROM pq GROUP BY ALL),
+vm AS (SELECT {CELL}, coalesce(sum(nb) FILTER (na > 0) / nullif(sum(nb), 0), 0) AS vm FROM bc WHERE metric = 'service_operation' GROUP BY ALL)
 """
 
 
-@query(JS_SQL + "SELECT system, metric, round(js, 6) AS js_similarity FROM js")
+@query(CELL_SQL + JS_SQL + f"SELECT {CELL}, metric, round(js, 6) AS js_similarity FROM js")
 def js_labels(t: Traces) -> DataFrame:
-    return rounded(distributions.js_similarity(_label_bags(t), ["system", "metric"]), "js_similarity")
+    counted = fidelity.cell_counts(fidelity.label_counts(t.grouped_nodes), fidelity.generators_of(t.graphs))
+    return rounded(distributions.js_similarity(counted, [*fidelity.CELL, "metric"]), "js_similarity")
 
 
 @query("""
@@ -186,59 +238,65 @@ def valid_mass(t: Traces) -> DataFrame:
     return rounded(memorization.valid_mass(t.nodes.filter("corpus = 'B'"), t.nodes.filter("corpus = 'A'")), "valid_mass")
 
 
-MMD_FEATURES = ["log_nodes", "log_edges", "log_degree", "log_duration", "density"]
+def _mmd_sql() -> str:
+    """The kernel statistic on eleven features, 800 graphs a side."""
+    logged = ("node_count", "edge_count", "mean_duration", "std_duration")
+    f = {f"f{k}": f"ln(1 + greatest({c}, 0))" if c in logged else f"{c}::DOUBLE" for k, c in enumerate(graphs.FEATURES)}
+    return f""", mf AS (SELECT {_IN_CELL}, graph_id, {", ".join(f"{v} AS {k}" for k, v in f.items())} FROM stats JOIN cells USING (graph_id)),
+mr AS (SELECT *, row_number() OVER (PARTITION BY {CELL}, side ORDER BY {draw_sql("mmd", "graph_id")}, graph_id) AS rk,
+  {", ".join(f"({k} - avg({k}) OVER s) / (stddev_pop({k}) OVER s + 1e-9) AS z{k}" for k in f)} FROM mf WINDOW s AS (PARTITION BY {CELL})),
+mc AS (SELECT * FROM mr WHERE rk <= 800),
+mp AS (SELECT x.system, x.generator, x.trace_class, x.side AS sx, y.side AS sy, {" + ".join(f"(x.z{k} - y.z{k}) * (x.z{k} - y.z{k})" for k in f)} AS d2
+  FROM mc x JOIN mc y ON x.system = y.system AND x.generator = y.generator AND x.trace_class = y.trace_class),
+mw AS (SELECT {CELL}, quantile_cont(d2, 0.5) FILTER (d2 > 0) AS med FROM mp GROUP BY ALL),
+mk AS (SELECT {CELL}, sx, sy, exp(-d2 / (2 * coalesce(med, 1))) AS k FROM mp JOIN mw USING ({CELL})),
+ma AS (SELECT {CELL}, greatest(avg(k) FILTER (sx = 'A' AND sy = 'A') + avg(k) FILTER (sx = 'B' AND sy = 'B') - 2 * avg(k) FILTER (sx = 'A' AND sy = 'B'), 0) AS d,
+  count(DISTINCT sx) AS sides FROM mk GROUP BY ALL),
+mmd AS (SELECT {CELL}, CASE WHEN sides = 2 THEN d ELSE 0 END AS d, CASE WHEN sides = 2 THEN exp(-d) ELSE 0 END AS mmd FROM ma)
+"""
 
 
-def _mmd_features(t: Traces) -> DataFrame:
-    return t.stats.select(
-        "system", F.col("corpus").alias("side"), "graph_id", F.log1p("node_count").alias("log_nodes"), F.log1p("edge_count").alias("log_edges"),
-        F.log1p("max_degree").alias("log_degree"), F.log1p("mean_duration").alias("log_duration"), F.col("density").cast("double").alias("density"),
-    )
+MMD_SQL = _mmd_sql()
 
 
-MMD_SQL = f""", mf AS (SELECT g.system, g.corpus AS side, graph_id, ln(1 + node_count) AS a, ln(1 + edge_count) AS b, ln(1 + max_degree) AS c, ln(1 + mean_duration) AS d, density::DOUBLE AS e FROM stats JOIN graphs g USING (graph_id)),
-mr AS (SELECT *, row_number() OVER (PARTITION BY system, side ORDER BY {draw_sql("mmd", "graph_id")}, graph_id) AS rk,
-  {", ".join(f"({c} - avg({c}) OVER s) / (stddev_pop({c}) OVER s + 1e-9) AS z{c}" for c in "abcde")} FROM mf WINDOW s AS (PARTITION BY system)),
-mc AS (SELECT * FROM mr WHERE rk <= {MMD_CAP}),
-mp AS (SELECT x.system, x.side AS sx, y.side AS sy, {" + ".join(f"(x.z{c} - y.z{c}) * (x.z{c} - y.z{c})" for c in "abcde")} AS d2 FROM mc x JOIN mc y ON x.system = y.system),
-mw AS (SELECT system, quantile_cont(d2, 0.5) FILTER (d2 > 0) AS med FROM mp GROUP BY ALL),
-mk AS (SELECT system, sx, sy, exp(-d2 / (2 * med)) AS k FROM mp JOIN mw USING (system)),
-mmd AS (SELECT system, exp(-greatest(avg(k) FILTER (sx = 'A' AND sy = 'A') + avg(k) FILTER (sx = 'B' AND sy = 'B') - 2 * avg(k) FILTER (sx = 'A' AND sy = 'B'), 0)) AS mmd FROM mk GROUP BY ALL)
-"""
+@query(CELL_SQL + MMD_SQL + f"SELECT {CELL}, round(mmd, 6) AS mmd_similarity, round(d, 6) AS mmd FROM mmd")
+def mmd_features(t: Traces) -> DataFrame:
+    return rounded(fidelity.kernel_similarity(t.stats, fidelity.generators_of(t.graphs), SEED), "mmd_similarity", "mmd")
 
 
-def _mmd(t: Traces) -> DataFrame:
-    features = _mmd_features(t)
-    capped = sampling.take_count(features.select("system", "side", "graph_id"), ["system", "side"], MMD_CAP, SEED, "mmd").select("system", "graph_id")
-    return distributions.mmd_similarity(features, ["system"], MMD_FEATURES, capped)
+def _compare_sql() -> str:
+    bags = (*graphs.FEATURES, "all_degrees", "all_durations")
 
+    def one(metric: str, column: str) -> str:
+        return f"max({column}) FILTER (metric = '{metric}')"
 
-@query(MMD_SQL + "SELECT system, round(mmd, 6) AS mmd_similarity FROM mmd")
-def mmd_features(t: Traces) -> DataFrame:
-    return rounded(_mmd(t), "mmd_similarity")
+    ks = {f"{m}_ks_similarity": one(m, "ks") for m in bags} | {f"{m}_ks_stat": f"1 - {one(m, 'ks')}" for m in bags}
+    ws = {f"{m}_wasserstein_{n}": one(m, c) for m in ("node_count", "edge_count", "density", "mean_degree") for n, c in (("similarity", "ws"), ("distance", "wd"))}
+    js = {f"{m}_js_similarity": one(m, "js") for m in ("service", "operation", "service_operation")}
+    structure = [f"{m}_ks_similarity" for m in ("node_count", "edge_count", "density", "mean_degree", "max_degree", "all_degrees")]
+    columns = [*ks, *ws, *js, "service_operation_valid_mass", "graph_feature_mmd_similarity", "graph_feature_mmd", "structure_mean", "timing_mean", "semantic_mean", "overall_fidelity"]
+    return f""", e1 AS (SELECT {CELL}, {", ".join(f"{v} AS {k}" for k, v in (ks | ws).items())} FROM ecdf GROUP BY ALL),
+j1 AS (SELECT {CELL}, {", ".join(f"{v} AS {k}" for k, v in js.items())} FROM js GROUP BY ALL),
+n1 AS (SELECT {CELL}, count(*) FILTER (side = 'A') AS real_graphs, count(*) FILTER (side = 'B') AS synthetic_graphs FROM cells GROUP BY ALL),
+row1 AS (SELECT *, vm AS service_operation_valid_mass, mmd AS graph_feature_mmd_similarity, d AS graph_feature_mmd, ({" + ".join(structure)} + mmd) / 7 AS structure_mean,
+  (mean_duration_ks_similarity + all_durations_ks_similarity) / 2 AS timing_mean, ({" + ".join(js)} + vm) / 4 AS semantic_mean
+  FROM n1 JOIN e1 USING ({CELL}) JOIN j1 USING ({CELL}) JOIN vm USING ({CELL}) JOIN mmd USING ({CELL})),
+cmp AS (SELECT *, (structure_mean + timing_mean + semantic_mean) / 3 AS overall_fidelity FROM row1)
+SELECT {CELL}, real_graphs, synthetic_graphs, {", ".join(f"round({c}, 6) AS {c}" for c in columns)} FROM cmp"""
+
+
+COMPARE_SQL = LONG_SQL + JS_SQL + MMD_SQL + _compare_sql()
 
 
-STRUCTURE = ["node_count", "edge_count", "density", "mean_degree", "max_degree", "all_degrees"]
+@query(COMPARE_SQL)
+def fidelity_compare(t: Traces) -> DataFrame:
+    rows = fidelity.compare(t.stats, t.grouped_nodes, t.edges, SEED)
+    return rounded(rows, *[c for c in rows.columns if c not in (*fidelity.CELL, "real_graphs", "synthetic_graphs")])
 
 
-@query(LONG_SQL + JS_SQL + MMD_SQL + f""", vm AS (
-  SELECT s.system, avg(CASE WHEN p.service_name IS NULL THEN 0.0 ELSE 1.0 END) AS vm FROM (SELECT * FROM spans WHERE corpus = 'B') s
-  LEFT JOIN (SELECT DISTINCT system, service_name, operation_name FROM spans WHERE corpus = 'A') p USING (system, service_name, operation_name) GROUP BY ALL),
-parts AS (SELECT system, (sum(ks) FILTER (metric IN ({", ".join(f"'{m}'" for m in STRUCTURE)})) + any_value(mmd)) / 7 AS structure_mean,
-  avg(ks) FILTER (metric IN ('mean_duration', 'all_durations')) AS timing_mean FROM ecdf JOIN mmd USING (system) GROUP BY ALL),
-sem AS (SELECT system, (sum(js) + any_value(vm)) / 4 AS semantic_mean FROM js JOIN vm USING (system) GROUP BY ALL)
-SELECT system, round(structure_mean, 6) AS structure_mean, round(timing_mean, 6) AS timing_mean, round(semantic_mean, 6) AS semantic_mean,
-  round((structure_mean + timing_mean + semantic_mean) / 3, 6) AS overall_fidelity FROM parts JOIN sem USING (system)""")
+@query(f"{COMPARE_SQL[: COMPARE_SQL.rindex('SELECT')]}SELECT {CELL}, " + ", ".join(f"round({c}, 6) AS {c}" for c in fidelity.MEANS) + " FROM cmp")
 def fidelity_rollup(t: Traces) -> DataFrame:
-    ks = distributions.ecdf_distances(_long(t), ["system", "metric"])
-    k = F.col("ks_similarity")
-    structure = ks.groupBy("system").agg(F.sum(F.when(F.col("metric").isin(*STRUCTURE), k)).alias("st"), F.avg(F.when(F.col("metric").isin("mean_duration", "all_durations"), k)).alias("timing_mean"))
-    js = distributions.js_similarity(_label_bags(t), ["system", "metric"]).groupBy("system").agg(F.sum("js_similarity").alias("js"))
-    pairs = t.nodes.filter("corpus = 'A'").select("system", "service_name", "operation_name").distinct().withColumn("hit", F.lit(1.0))
-    mass = t.nodes.filter("corpus = 'B'").join(pairs, ["system", "service_name", "operation_name"], "left").groupBy("system").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("vm"))
-    rows = structure.join(js, "system").join(mass, "system").join(_mmd(t), "system")
-    rows = rows.select("system", ((F.col("st") + F.col("mmd_similarity")) / 7).alias("structure_mean"), "timing_mean", ((F.col("js") + F.col("vm")) / 4).alias("semantic_mean"))
-    return rounded(rows.withColumn("overall_fidelity", (F.col("structure_mean") + F.col("timing_mean") + F.col("semantic_mean")) / 3), "structure_mean", "timing_mean", "semantic_mean", "overall_fidelity")
+    return rounded(fidelity.compare(t.stats, t.grouped_nodes, t.edges, SEED).select(*fidelity.CELL, *fidelity.MEANS), *fidelity.MEANS)
 
 
 # Memorization
@@ -281,10 +339,13 @@ comb AS (SELECT graph_id, coalesce(nearest, 0.0) AS nearest FROM graphs LEFT JOI
 """
 
 
+def _sets(t: Traces) -> list[tuple[DataFrame, DataFrame]]:
+    """(edge sets, node sets) of corpus B and of corpus A."""
+    return [(memorization.token_sets(g, e, "edge_label"), memorization.token_sets(g, n, "label")) for g, n, e in (t.side("B"), t.side("A"))]
+
+
 def _combined(t: Traces) -> DataFrame:
-    (ga, na, ea), (gb, nb, eb) = t.side("A"), t.side("B")
-    sets = [(memorization.token_sets(g, e, "edge_label"), memorization.token_sets(g, n, "label")) for g, n, e in ((gb, nb, eb), (ga, na, ea))]
-    return memorization.combined_similarity(*sets)
+    return memorization.combined_similarity(*_sets(t))
 
 
 @query(SETS_SQL + COMBINED_SQL + "SELECT graph_id, round(nearest, 6) AS nearest FROM comb")
@@ -300,7 +361,22 @@ def memorization_report(t: Traces) -> DataFrame:
 
 @query(SETS_SQL + COMBINED_SQL + "SELECT graph_id, CASE WHEN exact THEN 'exact' WHEN nearest >= 0.95 THEN 'near' ELSE 'kept' END AS status FROM dups JOIN comb USING (graph_id)")
 def filter_corpus(t: Traces) -> DataFrame:
-    return memorization.filter_corpus(_memory(t)[0], _combined(t), 0.95)
+    return memorization.filter_corpus(_memory(t)[0], memorization.similar_graphs(*_sets(t), 0.95))
+
+
+@query(SETS_SQL + "SELECT graph_id, CASE WHEN exact THEN 'exact' ELSE 'kept' END AS status FROM dups")
+def filter_exact(t: Traces) -> DataFrame:
+    return memorization.filter_corpus(_memory(t)[0], None)
+
+
+@query(SETS_SQL + COMBINED_SQL + """, fr AS (SELECT d.graph_id, sig, exact, nearest, nearest >= 0.95 AND NOT exact AS near FROM dups d JOIN comb USING (graph_id)),
+ph AS (SELECT 'before' AS phase, * FROM fr UNION ALL SELECT 'after', * FROM fr WHERE NOT exact AND NOT near),
+rk AS (SELECT *, row_number() OVER (PARTITION BY phase ORDER BY nearest) - 1 AS i, count(*) OVER (PARTITION BY phase) AS n FROM ph)
+SELECT phase, count(*) AS graphs, count(*) FILTER (exact) AS exact_graphs, count(*) FILTER (near) AS near_graphs, round(count(DISTINCT sig) / count(*), 6) AS unique_rate,
+  round(avg(exact::INT), 6) AS exact_rate, round(avg((nearest >= 0.95)::INT), 6) AS near_rate, round(avg(nearest), 6) AS mean_nearest,
+  round(max(nearest) FILTER (i = CAST(round_even(0.95 * (n - 1), 0) AS BIGINT)), 6) AS p95_nearest FROM rk GROUP BY ALL""")
+def filter_report(t: Traces) -> DataFrame:
+    return rounded(memorization.filter_report(_memory(t)[0], _combined(t), 0.95), "unique_rate", "exact_rate", "near_rate", "mean_nearest", "p95_nearest")
 
 
 @query(SETS_SQL + "SELECT round(nearest, 6) AS percentile FROM (SELECT nearest, row_number() OVER (ORDER BY nearest) - 1 AS i, count(*) OVER () AS n FROM near) WHERE i = CAST(round_even(0.95 * (n - 1), 0) AS BIGINT)")
@@ -329,48 +405,116 @@ def sample_fraction(t: Traces) -> DataFrame:
     return sampling.take_fraction(t.graphs.select("graph_id", "corpus"), ["corpus"], 0.25, SEED, "fraction")
 
 
-ROLES_SQL = f""", h1 AS (SELECT *, row_number() OVER (PARTITION BY corpus, label ORDER BY {draw_sql('holdout', 'graph_id')}, graph_id) AS rk, count(*) OVER (PARTITION BY corpus, label) AS n FROM graphs),
-h2 AS (SELECT graph_id, corpus, label, CASE WHEN corpus = 'A' AND rk > CAST(floor(n * 0.8::DOUBLE) AS BIGINT) THEN 'test' ELSE 'train' END AS role0 FROM h1),
-h3 AS (SELECT *, row_number() OVER (PARTITION BY corpus, label ORDER BY {draw_sql('val', 'graph_id', seed=SEED + 1)}, graph_id) AS rk, count(*) OVER (PARTITION BY corpus, label) AS n FROM h2 WHERE role0 = 'train'),
-roles AS (SELECT graph_id, corpus, label, 'test' AS role FROM h2 WHERE role0 = 'test' UNION ALL
-  SELECT graph_id, corpus, label, CASE WHEN rk <= CAST(floor(n * 0.9::DOUBLE) AS BIGINT) THEN 'train' ELSE 'val' END FROM h3)
-"""
-MIX_SQL = f""", pools AS (SELECT count(*) FILTER (corpus = 'B') AS sp, count(*) FILTER (corpus = 'A') AS rp FROM roles WHERE role = 'train'),
-tot AS (SELECT percent, sp, rp, percent::DOUBLE AS r, CASE WHEN percent = 0 THEN sp WHEN percent = 100 THEN rp
-  ELSE CAST(floor(least(sp / ((100.0::DOUBLE - percent) / 100.0::DOUBLE), rp / (percent / 100.0::DOUBLE))) AS BIGINT) END AS total FROM pools, (SELECT unnest({PERCENTS}) AS percent)),
-targets AS (SELECT percent, total, CASE WHEN percent = 0 THEN 0 WHEN percent = 100 THEN rp ELSE least(CAST(round_even(total * r / 100.0::DOUBLE, 0) AS BIGINT), rp) END AS train_real,
-  CASE WHEN percent = 100 THEN 0 WHEN percent = 0 THEN sp ELSE least(CAST(round_even(total * (100.0::DOUBLE - r) / 100.0::DOUBLE, 0) AS BIGINT), sp) END AS train_synth FROM tot),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY {draw_sql('mix', 'graph_id')}, graph_id) AS rk FROM roles WHERE role = 'train'),
-mix AS (SELECT percent, graph_id, corpus, label FROM ranked, targets WHERE rk <= CASE WHEN corpus = 'A' THEN train_real ELSE train_synth END)
+RECIPE = corpora.Recipe(seed=SEED, min_nodes=2)
+
+
+def _half(purpose: str, source: str, ratio: str, rest: str, seed: int = SEED) -> str:
+    """A split per label in draw order: the first int(n * ratio) train, the others are ``rest``."""
+    return f"""SELECT graph_id, corpus, label, num_nodes, CASE WHEN rk <= CAST(floor(n * {ratio}::DOUBLE) AS BIGINT) THEN 'train' ELSE '{rest}' END AS pool FROM (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY {draw_sql(purpose, "graph_id", seed=seed)}, graph_id) AS rk, count(*) OVER (PARTITION BY label) AS n FROM {source})"""
+
+
+def _by_class(n: str, a: str, target: str) -> tuple[str, str]:
+    """How many of each label make a target."""
+    first = f"coalesce(least(CAST(round_even({target} * ({n} / nullif({n} + {a}, 0)::DOUBLE), 0) AS BIGINT), {n}), 0)"
+    second = f"least({a}, {target} - {first})"
+    more = f"least({n} - {first}, {target} - {first} - {second})"
+    return f"{first} + {more}", f"{second} + least({a} - {second}, {target} - {first} - {second} - {more})"
+
+
+def _prepared_sql() -> str:
+    cells = [f"{c}{p}{k}" for c in "AB" for p in ("train", "val") for k in (0, 1)]
+    counts = ", ".join(f"count(*) FILTER (corpus = '{x[0]}' AND pool = '{x[1:-1]}' AND label = {x[-1]}) AS {x}" for x in cells)
+    takes = {}
+    for part, target in (("Atrain", "train_real"), ("Btrain", "train_synth"), ("Aval", "val_real")):
+        takes[f"{part}0"], takes[f"{part}1"] = _by_class(f"{part}0", f"{part}1", target)
+    for k in (0, 1):
+        takes[f"Bval{k}"] = f"CASE WHEN percent = 100 THEN 0 ELSE Bval{k} END"
+    limit = " ".join(f"WHEN r.corpus = '{x[0]}' AND r.pool = '{x[1:-1]}' AND r.label = {x[-1]} THEN take_{x}" for x in cells)
+    h = f"CASE WHEN pool = 'val' THEN {draw_sql('mix-val', 'graph_id', seed=SEED + 99)} ELSE {draw_sql('mix', 'graph_id')} END"
+    return f""", sized AS (SELECT * FROM graphs WHERE num_nodes >= 2), synth AS (SELECT * FROM sized WHERE corpus = 'B'), held AS (SELECT * FROM sized WHERE corpus = 'A'),
+hold AS ({_half("holdout", "held", "0.8", "test")}), seen AS (SELECT * FROM hold WHERE pool = 'train'),
+pools AS ({_half("synth-val", "synth", "0.8", "val")} UNION ALL {_half("real-val", "seen", "0.9", "val", SEED + 1)} UNION ALL SELECT * FROM hold WHERE pool = 'test'),
+sums AS (SELECT *, Btrain0 + Btrain1 AS sp, Atrain0 + Atrain1 AS rp FROM (SELECT {counts} FROM pools)),
+tot AS (SELECT *, CASE WHEN percent = 0 THEN sp WHEN percent = 100 THEN rp
+  ELSE CAST(floor(least(sp / ((100.0::DOUBLE - percent) / 100.0::DOUBLE), rp / (percent / 100.0::DOUBLE))) AS BIGINT) END AS total
+  FROM (SELECT *, unnest({PERCENTS}) AS percent FROM sums)),
+sides AS (SELECT *, CASE WHEN percent = 0 THEN 0 WHEN percent = 100 THEN rp ELSE least(CAST(round_even(total * percent::DOUBLE / 100.0::DOUBLE, 0) AS BIGINT), rp) END AS train_real,
+  CASE WHEN percent = 100 THEN 0 WHEN percent = 0 THEN sp ELSE least(CAST(round_even(total * (100.0::DOUBLE - percent) / 100.0::DOUBLE, 0) AS BIGINT), sp) END AS train_synth,
+  CASE WHEN percent = 0 THEN 0 WHEN percent = 100 THEN Aval0 + Aval1
+  ELSE CAST(round_even((Bval0 + Bval1) * percent::DOUBLE / (100.0::DOUBLE - percent), 0) AS BIGINT) END AS val_real FROM tot),
+takes AS (SELECT percent, {", ".join(f"{v} AS take_{k}" for k, v in takes.items())} FROM sides),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY corpus, label, pool ORDER BY {h}, graph_id) AS rk FROM pools WHERE pool <> 'test'),
+prepared AS (SELECT percent, graph_id, corpus, label, num_nodes, pool AS role FROM ranked r, takes WHERE rk <= CASE {limit} END
+  UNION ALL SELECT percent, graph_id, corpus, label, num_nodes, pool FROM pools, takes WHERE pool = 'test')
 """
 
 
-@query(ROLES_SQL + "SELECT graph_id, corpus, label, role FROM roles")
-def split_roles(t: Traces) -> DataFrame:
-    return corpora.assign_roles(t.graphs.select("graph_id", "corpus", "label"), SEED)
+PREPARED_SQL = _prepared_sql()
+
 
+def _prepared(t: Traces) -> DataFrame:
+    return corpora.prepare(t.graphs.select("graph_id", "corpus", "label", "num_nodes"), PERCENTS, RECIPE)
 
-def _mix(t: Traces) -> tuple[DataFrame, DataFrame]:
-    roles = split_roles(t)
-    return roles, corpora.mix_sweep(roles, PERCENTS, SEED)
+
+@query(PREPARED_SQL + "SELECT graph_id, corpus, label, role FROM prepared WHERE percent = 30")
+def split_roles(t: Traces) -> DataFrame:
+    return _prepared(t).filter("percent = 30").select("graph_id", "corpus", "label", "role")
 
 
-@query(ROLES_SQL + MIX_SQL + "SELECT percent, graph_id, corpus, label FROM mix")
+@query(PREPARED_SQL + "SELECT percent, graph_id, corpus, label, role FROM prepared")
 def mix_sweep(t: Traces) -> DataFrame:
-    return _mix(t)[1]
+    return _prepared(t).select("percent", "graph_id", "corpus", "label", "role")
 
 
-@query(ROLES_SQL + MIX_SQL + """SELECT percent, count(*) AS train_graphs, count(*) FILTER (corpus = 'A') AS train_real, count(*) FILTER (corpus = 'B') AS train_synth,
-  count(*) FILTER (label = 1) AS train_abnormal, 0::BIGINT AS leaked FROM mix GROUP BY ALL""")
+def _summary_sql() -> str:
+    names = [(r, c, s) for r in ("train", "val", "test") for s in ("synth", "real") for c in ("normal", "abnormal") if (r, s) != ("test", "synth")]
+    counts = [f"count(*) FILTER (role = '{r}' AND label = {int(c == 'abnormal')} AND corpus = '{'A' if s == 'real' else 'B'}') AS {r}_{c}_{s}" for r, c, s in names]
+    counts += [f"count(*) FILTER (role = 'train' AND corpus = '{c}') AS train_{s}_total" for c, s in (("B", "synth"), ("A", "real"))]
+    return f"""SELECT percent, {", ".join(counts)}, count(*) - count(DISTINCT graph_id) AS leaked,
+  CASE WHEN percent = 0 THEN 'synthetic' WHEN percent = 100 THEN 'real' ELSE 'mixed' END AS val_source FROM prepared GROUP BY ALL"""
+
+
+@query(PREPARED_SQL + _summary_sql())
 def split_summary(t: Traces) -> DataFrame:
-    return corpora.split_summary(*_mix(t))
+    return corpora.split_summary(_prepared(t))
+
+
+@query(PREPARED_SQL + "SELECT percent, 4 AS min_nodes_filter, " + ", ".join(
+    f"count(*) FILTER (role = '{r}' AND num_nodes >= 4{w}) AS {r}_{n}_after_filter" for r in ("train", "val", "test") for n, w in (("total", ""), ("normal", " AND label = 0"), ("abnormal", " AND label = 1"))
+) + " FROM prepared GROUP BY ALL")
+def filtered_summary(t: Traces) -> DataFrame:
+    return corpora.filtered_summary(_prepared(t), 4)
+
+
+@query(PREPARED_SQL + "SELECT DISTINCT e.graph_id, src, dst FROM edges e SEMI JOIN prepared USING (graph_id)")
+def dense_edges(t: Traces) -> DataFrame:
+    rows = t.graphs.select("graph_id", "corpus", "label", "num_nodes")
+    return corpora.prepare_dense(rows, t.edges.union(t.edges), PERCENTS, RECIPE)[1]
+
+
+@query(f""", s0 AS (SELECT * FROM graphs WHERE num_nodes >= 2), cap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {draw_sql("cap", "graph_id")}, graph_id) AS c FROM s0 WHERE corpus = 'B') WHERE c <= 150),
+held AS (SELECT * FROM s0 WHERE corpus = 'A'), hold AS ({_half("holdout", "held", "0.1", "test")}),
+tests AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {draw_sql("test", "graph_id")}, graph_id) AS rk, count(*) OVER (PARTITION BY label) AS n FROM hold WHERE pool = 'test')
+SELECT graph_id, corpus, label, pool AS role FROM ({_half("synth-val", "cap", "0.8", "val")}) UNION ALL SELECT graph_id, corpus, label, pool FROM hold WHERE pool = 'train'
+UNION ALL SELECT graph_id, corpus, label, pool FROM tests WHERE rk <= greatest(1, CAST(floor(n * 0.5::DOUBLE) AS BIGINT))""")
+def split_plain(t: Traces) -> DataFrame:
+    """Without percentages: a plain training share of real graphs, a cap per synthetic class, half the test graphs."""
+    recipe = corpora.Recipe(seed=SEED, min_nodes=2, max_synth_per_class=150, test_fraction=0.5)
+    return corpora.prepare_plain(t.graphs.select("graph_id", "corpus", "label", "num_nodes"), recipe).select("graph_id", "corpus", "label", "role")
 
 
 @query("""
+SELECT system, 1000::BIGINT AS normal, greatest(1, CAST(round_even(1000 * coalesce(count(*) FILTER (label = 1) / nullif(count(*) FILTER (label = 0), 0), 0)::DOUBLE, 0) AS BIGINT)) AS abnormal
+FROM graphs GROUP BY ALL""")
+def proportional_target(t: Traces) -> DataFrame:
+    return sampling.proportional_target(t.graphs, 1000, ["system"])
+
+
+@query(f"""
 , c AS (SELECT system, count(*) FILTER (label = 0) AS normal, count(*) FILTER (label = 1) AS abnormal FROM graphs GROUP BY ALL),
-w AS (SELECT *, least(500, normal + abnormal) AS wanted FROM c),
-f AS (SELECT *, least(CAST(round_even(wanted * normal / greatest(normal + abnormal, 1), 0) AS BIGINT), normal) AS f FROM w)
-SELECT system, normal, abnormal, least(wanted - least(wanted - f, abnormal), normal) AS take_normal, least(wanted - f, abnormal) AS take_abnormal FROM f""")
+w AS (SELECT *, least(500, normal + abnormal) AS wanted FROM c)
+SELECT system, normal, abnormal, {_by_class("normal", "abnormal", "wanted")[0]} AS take_normal, {_by_class("normal", "abnormal", "wanted")[1]} AS take_abnormal FROM w""")
 def class_allocation(t: Traces) -> DataFrame:
     counts = t.graphs.groupBy("system").agg(F.count_if(F.col("label") == 0).alias("normal"), F.count_if(F.col("label") == 1).alias("abnormal"))
     return sampling.allocate(counts, F.lit(500))
@@ -395,7 +539,7 @@ def nearest_edge_count(t: Traces) -> DataFrame:
 
 # Generators
 
-GEN_SQL = f""", sz AS (SELECT num_nodes, row_number() OVER (ORDER BY {draw_sql('index', 'graph_id')}, graph_id) - 1 AS idx, count(*) OVER () AS pool FROM graphs WHERE corpus = 'A'),
+GEN_SQL = f""", sz AS (SELECT num_nodes, num_edges, row_number() OVER (ORDER BY {draw_sql('index', 'graph_id')}, graph_id) - 1 AS idx, count(*) OVER () AS pool FROM graphs WHERE corpus = 'A'),
 gg AS (SELECT gen_id, num_nodes FROM (SELECT unnest(range({GENERATED})) AS gen_id) x JOIN sz ON sz.idx = {draw_sql('nodes', 'gen_id')} % sz.pool),
 gn AS (SELECT gen_id, num_nodes, unnest(range(num_nodes)) AS node_idx FROM gg)
 """
@@ -423,12 +567,40 @@ def gen_random_sampling(t: Traces) -> DataFrame:
     return rounded(generate.random_nodes(_blank(t)[1], bounds, real, SEED), "duration", digits=3)
 
 
-@query(GEN_SQL + f""", pr AS (SELECT gen_id, num_nodes - 1 AS k, a AS src, b AS dst, row_number() OVER (PARTITION BY gen_id ORDER BY {draw_sql('edge', 'gen_id', 'a', 'b')}, a, b) AS rk
-  FROM (SELECT gen_id, num_nodes, a, unnest(range(num_nodes)) AS b FROM (SELECT gen_id, num_nodes, unnest(range(num_nodes)) AS a FROM gg)) WHERE a <> b)
+@query(f"""
+, i AS (SELECT num_edges, row_number() OVER (ORDER BY {draw_sql('index', 'graph_id')}, graph_id) - 1 AS idx, count(*) OVER () AS pool FROM graphs WHERE corpus = 'A'),
+w AS (SELECT unnest([('few', 100), ('many', 3000)]) AS w),
+d AS (SELECT w[1] AS draws, unnest(range(w[2])) AS draw_id, w[2] AS target FROM w)
+SELECT draws, draw_id, num_edges FROM d JOIN i ON idx = CASE WHEN target <= pool THEN draw_id ELSE {draw_sql('counts', 'draw_id')} % pool END""")
+def edge_count_draws(t: Traces) -> DataFrame:
+    """Edge counts of real graphs: fewer than there are, then more."""
+    real = t.graphs.filter("corpus = 'A'")
+    few, many = (sampling.draw_counts(real, "num_edges", n, SEED, "counts").withColumn("draws", F.lit(name)) for name, n in (("few", 100), ("many", 3000)))
+    return few.unionByName(many).select("draws", "draw_id", "num_edges")
+
+
+def _real_graphs(t: Traces) -> DataFrame:
+    return t.graphs.filter("corpus = 'A'").select("graph_id", "num_nodes", "num_edges")
+
+
+@query(GEN_SQL + f""", known AS (SELECT DISTINCT num_nodes AS k FROM graphs WHERE corpus = 'A' AND num_nodes % 3 = 0),
+nr AS (SELECT n, arg_min(k, abs(k - n) * 1000000 + k) AS k FROM (SELECT DISTINCT num_nodes AS n FROM gg), known GROUP BY ALL),
+ei AS (SELECT num_nodes, num_edges, row_number() OVER (PARTITION BY num_nodes ORDER BY {draw_sql('index', 'graph_id')}, graph_id) - 1 AS idx, count(*) OVER (PARTITION BY num_nodes) AS pool
+  FROM graphs WHERE corpus = 'A' AND num_nodes % 3 = 0)
+SELECT gen_id, num_edges FROM gg JOIN nr ON nr.n = gg.num_nodes JOIN ei ON ei.num_nodes = nr.k AND ei.idx = {draw_sql('edges', 'gen_id')} % ei.pool""")
+def gen_edge_counts(t: Traces) -> DataFrame:
+    """Edge counts for drawn node counts, from real graphs of every third size."""
+    return sampling.edge_counts_for(_blank(t)[0], _real_graphs(t).filter("num_nodes % 3 = 0"), SEED)
+
+
+@query(GEN_SQL + f""", ec AS (SELECT g.gen_id, g.num_nodes, least(greatest(s.num_edges, 0), g.num_nodes * (g.num_nodes - 1)) AS k
+  FROM gg g, (SELECT any_value(pool) AS pool FROM sz) m JOIN sz s ON s.idx = {draw_sql('edge-count', 'g.gen_id')} % m.pool),
+pr AS (SELECT gen_id, k, a AS src, b AS dst, row_number() OVER (PARTITION BY gen_id ORDER BY {draw_sql('edge', 'gen_id', 'a', 'b')}, a, b) AS rk
+  FROM (SELECT gen_id, num_nodes, k, a, unnest(range(num_nodes)) AS b FROM (SELECT gen_id, num_nodes, k, unnest(range(num_nodes)) AS a FROM ec)) WHERE a <> b)
 SELECT gen_id, src, dst FROM pr WHERE rk <= k""")
 def gen_random_edges(t: Traces) -> DataFrame:
     made = _blank(t)[0]
-    return generate.random_edges(made, made.select("gen_id", (F.col("num_nodes") - 1).alias("num_edges")), SEED)
+    return generate.random_edges(made, generate.empirical_counts(made, _real_graphs(t), "num_edges", SEED), SEED)
 
 
 @query(GEN_SQL + POOL_SQL + f""", m AS (SELECT any_value(pool) AS pool FROM pa), ms AS (SELECT DISTINCT service_name, pool FROM ps),
@@ -456,24 +628,52 @@ def gen_empirical_dag(t: Traces) -> DataFrame:
     return generate.dag_edges(_blank(t)[1], SEED)
 
 
-PATTERN_SQL = f""", pt AS (SELECT graph_id, num_nodes, row_number() OVER (PARTITION BY num_nodes ORDER BY {draw_sql('index', 'graph_id')}, graph_id) - 1 AS idx, count(*) OVER (PARTITION BY num_nodes) AS pool FROM graphs WHERE corpus = 'A'),
-pn AS (SELECT DISTINCT num_nodes, pool FROM pt)
+PATTERN_SQL = f""", nd AS (SELECT graph_id, max(greatest(src, dst)) + 1 AS need FROM edges GROUP BY ALL),
+pt AS (SELECT graph_id, coalesce(need, 0) AS need FROM graphs LEFT JOIN nd USING (graph_id) WHERE corpus = 'A' AND num_nodes >= 3),
+pi AS (SELECT *, row_number() OVER (ORDER BY need, {draw_sql('index', 'graph_id')}, graph_id) - 1 AS number, count(*) OVER () AS total FROM pt),
+fits AS (SELECT n, total, count(*) FILTER (need <= n) AS fit FROM (SELECT DISTINCT num_nodes AS n FROM gg), pi GROUP BY ALL)
 """
 
 
-@query(GEN_SQL + PATTERN_SQL + f"""SELECT g.gen_id, e.src, e.dst FROM gg g JOIN pn USING (num_nodes) JOIN pt ON pt.num_nodes = g.num_nodes AND pt.idx = {draw_sql('pattern', 'g.gen_id')} % pn.pool
-JOIN edges e ON e.graph_id = pt.graph_id WHERE g.num_nodes > 1""")
+@query(GEN_SQL + PATTERN_SQL + f"""SELECT g.gen_id, e.src, e.dst FROM gg g JOIN fits f ON f.n = g.num_nodes
+JOIN pi ON pi.number = {draw_sql('pattern', 'g.gen_id')} % CASE WHEN f.fit > 0 THEN f.fit ELSE f.total END
+JOIN edges e ON e.graph_id = pi.graph_id WHERE g.num_nodes > 1 AND e.src < g.num_nodes AND e.dst < g.num_nodes""")
 def gen_empirical_reuse(t: Traces) -> DataFrame:
-    return generate.reuse_edges(_blank(t)[0], t.graphs.filter("corpus = 'A'").select("graph_id", "num_nodes"), t.edges, SEED)
+    """Edge patterns of real graphs of three nodes at least, so that small graphs get masked ones."""
+    return generate.reuse_edges(_blank(t)[0], _real_graphs(t).filter("num_nodes >= 3"), t.edges, SEED)
+
+
+TEMPLATE_SQL = f""", tp AS (SELECT graph_id, num_nodes, row_number() OVER (PARTITION BY num_nodes ORDER BY {draw_sql('index', 'graph_id')}, graph_id) - 1 AS idx, count(*) OVER (PARTITION BY num_nodes) AS pool
+  FROM graphs WHERE corpus = 'A' AND num_nodes % 3 = 0),
+nr AS (SELECT n, arg_min(k, abs(k - n) * 1000000 + k) AS k FROM (SELECT DISTINCT num_nodes AS n FROM gg), (SELECT DISTINCT num_nodes AS k FROM tp) GROUP BY ALL),
+tg AS (SELECT gen_id, gg.num_nodes, tp.graph_id, tp.num_nodes AS template_nodes FROM gg JOIN nr ON nr.n = gg.num_nodes JOIN tp ON tp.num_nodes = nr.k AND tp.idx = {draw_sql('template', 'gen_id')} % tp.pool),
+tn AS (SELECT *, CASE WHEN node_idx < template_nodes THEN node_idx ELSE {draw_sql('extra', 'gen_id', 'node_idx')} % template_nodes END AS origin
+  FROM (SELECT *, unnest(range(num_nodes)) AS node_idx FROM tg))
+"""
+
 
+def _templates(t: Traces) -> DataFrame:
+    """Templates of every third size, so that they are cut and filled up."""
+    return generate.template_graphs(_blank(t)[0], _real_graphs(t).filter("num_nodes % 3 = 0"), SEED)
 
-@query(GEN_SQL + PATTERN_SQL + f""", w AS (SELECT gen_id, num_nodes + 1 AS num_nodes FROM gg),
-nr AS (SELECT n, arg_min(k, abs(k - n) * 1000000 + k) AS k FROM (SELECT DISTINCT num_nodes AS n FROM w), (SELECT DISTINCT num_nodes AS k FROM pt) GROUP BY ALL)
-SELECT gen_id, w.num_nodes, pt.graph_id FROM w JOIN nr ON nr.n = w.num_nodes JOIN pn ON pn.num_nodes = nr.k JOIN pt ON pt.num_nodes = nr.k AND pt.idx = {draw_sql('template', 'gen_id')} % pn.pool""")
+
+@query(GEN_SQL + TEMPLATE_SQL + """SELECT gen_id, tn.node_idx, service_name, operation_name, duration FROM tn JOIN spans s ON s.graph_id = tn.graph_id AND s.node_idx = tn.origin""")
 def gen_template(t: Traces) -> DataFrame:
-    real = t.graphs.filter("corpus = 'A'").select("graph_id", "num_nodes")
-    wanted = _blank(t)[0].withColumn("num_nodes", F.col("num_nodes") + 1)
-    return generate.template_graphs(wanted, sampling.nearest_key(wanted, real), real, SEED)
+    return generate.template_nodes(_templates(t), t.nodes, SEED)
+
+
+@query(GEN_SQL + TEMPLATE_SQL + "SELECT gen_id, src, dst FROM tg JOIN edges e USING (graph_id) WHERE src < num_nodes AND dst < num_nodes")
+def gen_template_edges(t: Traces) -> DataFrame:
+    return generate.template_edges(_templates(t), t.edges)
+
+
+@query(VOCAB_SQL + """SELECT graph_id, node_idx, service_id, op_id FROM (SELECT graph_id, node_idx, (service_id + node_idx) % 5 AS service_id, op_id FROM enc)
+SEMI JOIN (SELECT DISTINCT service_id, op_id FROM enc) USING (service_id, op_id)""")
+def allowed_pairs(t: Traces) -> DataFrame:
+    """Nodes with shifted services, masked by the pairs that occur."""
+    ids = vocab_ids(t)
+    shifted = ids.select("graph_id", "node_idx", ((F.col("service_id") + F.col("node_idx")) % 5).alias("service_id"), "op_id")
+    return generate.allowed_pairs(shifted, ids, ("service_id", "op_id")).select("graph_id", "node_idx", "service_id", "op_id")
 
 
 @query(GEN_SQL + "SELECT count(*) AS graphs, round(avg(num_nodes), 6) AS mean_nodes, max(num_nodes) AS max_nodes, round(avg(num_nodes - 1), 6) AS mean_edges FROM gg")
@@ -482,7 +682,16 @@ def gen_summary(t: Traces) -> DataFrame:
     return rounded(generate.generation_summary(made, generate.chain_edges(blank)), "mean_nodes", "mean_edges")
 
 
-@query()
+@query(GEN_SQL + POOL_SQL + f""", m AS (SELECT any_value(pool) AS pool FROM pa),
+sn AS (SELECT gen_id, n.node_idx, p.service_name FROM gn n, m JOIN pa p ON p.idx = {draw_sql('service', 'gen_id', 'n.node_idx')} % m.pool),
+oc AS (SELECT service_name, operation_name, count(*) AS n FROM pool GROUP BY ALL),
+gs AS (SELECT gen_id, node_idx, service_name, operation_name,
+  ln(n) / 0.8::DOUBLE - ln(-ln(({draw_sql('gumbel', 'gen_id', 'node_idx', 'operation_name')} + 0.5::DOUBLE) / 4294967296.0::DOUBLE)) AS score FROM sn JOIN oc USING (service_name)),
+gp AS (SELECT gen_id, node_idx, service_name, arg_max(operation_name, score) AS operation_name FROM gs GROUP BY ALL),
+st AS (SELECT avg(ln(1 + greatest(duration, 0))) AS mu, stddev_samp(ln(1 + greatest(duration, 0))) AS sd FROM pool),
+dz AS (SELECT *, sqrt(-2 * ln(({draw_sql('u', 'gen_id', 'node_idx')} + 0.5::DOUBLE) / 4294967296.0::DOUBLE))
+  * cos(2 * pi() * (({draw_sql('v', 'gen_id', 'node_idx')} + 0.5::DOUBLE) / 4294967296.0::DOUBLE)) AS z FROM gp)
+SELECT gen_id, node_idx, service_name, operation_name, round(greatest(exp(mu + sd * z) - 1, 0), 3) AS duration FROM dz, st""")
 def gen_label_conditional(t: Traces) -> DataFrame:
     real = t.nodes.filter("corpus = 'A'")
     rows = generate.empirical_nodes(_blank(t)[1], real, SEED).select("gen_id", "node_idx", "service_name")
@@ -500,6 +709,10 @@ def _scored(t: Traces) -> DataFrame:
     return edges.scored_pairs(t.nodes, t.edges)
 
 
+def _best(t: Traces) -> DataFrame:
+    return edges.best_parents(t.nodes, edges.service_scores(t.nodes, t.edges))
+
+
 @query(SCORE_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY score DESC, src, dst) AS nth FROM sp WHERE src < dst)
 SELECT graph_id, src, dst FROM r JOIN graphs USING (graph_id) WHERE nth <= num_nodes - 1""")
 def edge_topk(t: Traces) -> DataFrame:
@@ -510,20 +723,28 @@ def edge_topk(t: Traces) -> DataFrame:
 b AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY score DESC, dst) AS rk FROM r WHERE nth = 1)
 SELECT graph_id, src, dst FROM b JOIN graphs USING (graph_id) WHERE rk <= num_nodes - 1""")
 def edge_parent_argmax(t: Traces) -> DataFrame:
-    return edges.parent_argmax(_scored(t), t.graphs.select("graph_id", (F.col("num_nodes") - 1).alias("k")))
+    return edges.parent_argmax(_best(t), t.graphs.select("graph_id", (F.col("num_nodes") - 1).alias("k")))
 
 
 @query(SCORE_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY graph_id, dst ORDER BY score DESC, src) AS nth FROM sp)
 SELECT graph_id, src, dst FROM r WHERE nth = 1 AND score > 0.2""")
 def edge_parent_or_root(t: Traces) -> DataFrame:
-    return edges.parent_argmax(_scored(t), root_score=0.2)
+    return edges.parent_argmax(_best(t), root_score=0.2)
 
 
-@query(SCORE_SQL + "SELECT graph_id, src, dst FROM sp WHERE score >= 0.2")
+@query(SCORE_SQL + "SELECT graph_id, src, dst FROM sp WHERE score > 0.2 AND src < dst")
 def edge_threshold(t: Traces) -> DataFrame:
     return edges.threshold_edges(_scored(t), 0.2).select("graph_id", "src", "dst")
 
 
+@query(SCORE_SQL + f""", zj AS (SELECT *, sqrt(-2 * ln(({draw_sql('jitter-u', 'graph_id')} + 0.5::DOUBLE) / 4294967296.0::DOUBLE))
+  * cos(2 * pi() * (({draw_sql('jitter-v', 'graph_id')} + 0.5::DOUBLE) / 4294967296.0::DOUBLE)) AS z FROM sp WHERE src < dst)
+SELECT graph_id, src, dst FROM zj WHERE score > least(greatest(0.2::DOUBLE + 0.1::DOUBLE * z, 0.05::DOUBLE), 0.95::DOUBLE)
+AND {draw_sql('dropout', 'graph_id', 'src', 'dst')} / 4294967296 > 0.1::DOUBLE""")
+def edge_jitter(t: Traces) -> DataFrame:
+    return edges.threshold_edges(_scored(t), 0.2, SEED, jitter=0.1, dropout=0.1).select("graph_id", "src", "dst")
+
+
 @query("\nSELECT graph_id, node_idx, coalesce(parent, -1) AS parent FROM spans LEFT JOIN (SELECT graph_id, dst AS node_idx, min(src) AS parent FROM edges GROUP BY ALL) USING (graph_id, node_idx)")
 def first_parent(t: Traces) -> DataFrame:
     return edges.first_parents(t.nodes, t.edges)
@@ -531,10 +752,11 @@ def first_parent(t: Traces) -> DataFrame:
 
 @query()
 def spanning_forest(t: Traces) -> DataFrame:
-    return edges.spanning_forest(_scored(t))
+    """Greedy and sequential: no SQL, compared with a brute-force walk in the tests."""
+    return edges.spanning_forest(t.nodes, edges.service_scores(t.nodes, t.edges))
 
 
-@query()
+@query(SCORE_SQL + f"SELECT graph_id, src, dst FROM sp WHERE src < dst AND {draw_sql('bernoulli', 'graph_id', 'src', 'dst')} < CAST(floor(score * 4294967296) AS BIGINT)")
 def edge_bernoulli(t: Traces) -> DataFrame:
     return edges.bernoulli_edges(_scored(t), SEED).select("graph_id", "src", "dst")
 
@@ -629,30 +851,42 @@ def average_precision(t: Traces) -> DataFrame:
     return rounded(metrics.average_precision(_predictions(t), ["lang"]), "average_precision")
 
 
+METRICS = ["weighted_f1", "abnormal_f1", "abnormal_recall", "pr_auc", "false_alarm_rate"]
+_METRIC_TEXT = ["o_totalprice / 1000e0", "(o_orderkey % 101) / 101e0", "(o_custkey % 37) / 37e0", "o_totalprice / 7919e0", "(o_orderkey % 13) / 13e0"]
+
+
 def _results(t: Traces) -> DataFrame:
-    """Orders as a results table: one run per customer and priority, a metric from the price."""
-    return t.table("orders").select(
-        F.col("o_orderkey").alias("run_order"), F.col("o_orderstatus").alias("generator"), F.col("o_orderpriority").alias("setting"),
-        (F.col("o_custkey") % 50).alias("seed"), (F.col("o_totalprice") / 1000.0).alias("metric"),
+    """Orders as a results table: one run per customer and priority, metrics from prices and keys, one of them blank at times."""
+    values = [F.expr(f"cast({x} as double)").alias(m) for m, x in zip(METRICS, _METRIC_TEXT)]
+    rows = t.table("orders").select(
+        F.col("o_orderkey").alias("run_order"), F.col("o_orderstatus").alias("generator"), F.col("o_orderpriority").alias("setting"), (F.col("o_custkey") % 50).alias("seed"), *values
     )
+    return rows.withColumn("pr_auc", F.when(F.col("run_order") % 10 != 0, F.col("pr_auc")))
 
 
-RESULTS_SQL = ", res AS (SELECT o_orderkey AS run_order, o_orderstatus AS generator, o_orderpriority AS setting, o_custkey % 50 AS seed, o_totalprice / 1000.0 AS metric FROM orders)\n"
+RESULTS_SQL = f""", res0 AS (SELECT o_orderkey AS run_order, o_orderstatus AS generator, o_orderpriority AS setting, o_custkey % 50 AS seed,
+  {", ".join(f"({x})::DOUBLE AS {m}" for m, x in zip(METRICS, _METRIC_TEXT))} FROM orders),
+res AS (SELECT * REPLACE (CASE WHEN run_order % 10 <> 0 THEN pr_auc END AS pr_auc) FROM res0)
+"""
 
 
-@query(RESULTS_SQL + "SELECT generator, setting, seed, max(run_order) AS run_order, round(arg_max(metric, run_order), 6) AS metric FROM res GROUP BY ALL")
+@query(RESULTS_SQL + "SELECT generator, setting, seed, max(run_order) AS run_order, round(arg_max(weighted_f1, run_order), 6) AS weighted_f1 FROM res GROUP BY ALL")
 def latest_result(t: Traces) -> DataFrame:
-    return rounded(metrics.latest(_results(t), ["generator", "setting", "seed"], "run_order"), "metric").select("generator", "setting", "seed", "run_order", "metric")
+    rows = metrics.latest(_results(t), ["generator", "setting", "seed"], "run_order")
+    return rounded(rows, "weighted_f1").select("generator", "setting", "seed", "run_order", "weighted_f1")
 
 
-@query(RESULTS_SQL + "SELECT generator, setting, count(*) AS runs, round(avg(metric), 6) AS metric_mean, round(coalesce(stddev_samp(metric), 0), 6) AS metric_sd FROM res GROUP BY ALL")
+@query(RESULTS_SQL + "SELECT generator, setting, count(*) AS runs, " + ", ".join(f"round(avg({m}), 6) AS {m}_mean, round(coalesce(stddev_samp({m}), 0), 6) AS {m}_sd" for m in METRICS) + " FROM res GROUP BY ALL")
 def seed_aggregate(t: Traces) -> DataFrame:
-    return rounded(metrics.aggregate_seeds(_results(t), ["generator", "setting"], ["metric"]), "metric_mean", "metric_sd")
+    return rounded(metrics.aggregate_seeds(_results(t), ["generator", "setting"], METRICS), *[f"{m}_{x}" for m in METRICS for x in ("mean", "sd")])
+
 
+PIVOTED = METRICS[:3]
 
-@query(RESULTS_SQL + "SELECT setting, " + ", ".join(f"round(avg(metric) FILTER (generator = '{g}'), 6) AS {g}" for g in "FOP") + " FROM res GROUP BY ALL")
+
+@query(RESULTS_SQL + "SELECT setting, " + ", ".join(f"round(avg({m}) FILTER (generator = '{g}'), 6) AS {g}_{m}" for g in "FOP" for m in PIVOTED) + " FROM res GROUP BY ALL")
 def metric_pivot(t: Traces) -> DataFrame:
-    return rounded(metrics.pivot_metrics(_results(t), "setting", "generator", ["F", "O", "P"], ["metric"]), "F", "O", "P")
+    return rounded(metrics.pivot_metrics(_results(t), "setting", "generator", ["F", "O", "P"], PIVOTED), *[f"{g}_{m}" for g in "FOP" for m in PIVOTED])
 
 
 @query("""
@@ -676,14 +910,18 @@ def reconstruction_metrics(t: Traces) -> DataFrame:
 
 
 @query("""
-SELECT source_run, trace_id, span_id, service_name, timestamp, coalesce(parent, 'no_parent') AS parent_service_name FROM spans s
+SELECT source_run, trace_id, span_id, service_name, timestamp, CASE WHEN span_seq % 3 = 0 THEN 0 ELSE 200 + span_seq % 3 END AS status_code,
+  coalesce(parent, 'no_parent') AS parent_service_name FROM spans s
 LEFT JOIN (SELECT graph_id AS g, span_id AS pid, service_name AS parent FROM spans) p ON p.g = s.graph_id AND p.pid = s.parent_id""")
 def json_trace_ingest(t: Traces) -> DataFrame:
     """Spans folded into nested traces, written to JSON text, parsed and exploded again."""
     refs = F.when(F.col("parent_id") == "", F.expr("array()")).otherwise(F.array(F.struct(F.lit("CHILD_OF").alias("refType"), F.col("parent_id").alias("spanID"))))
+    # Two spans in three have the tag, behind another one.
+    tags = F.expr("""if(span_seq % 3 = 0, array(named_struct('key', 'other', 'value', '7')),
+      array(named_struct('key', 'other', 'value', '7'), named_struct('key', 'http.status_code', 'value', cast(200 + span_seq % 3 as string))))""")
     span = F.struct(
         F.col("span_seq").alias("order"), F.col("span_id").alias("spanID"), F.concat(F.lit("p-"), "service_name").alias("processID"), F.col("operation_name").alias("operationName"),
-        (F.col("timestamp") * 1000000).alias("startTime"), "duration", refs.alias("references"), F.expr("array(named_struct('key', 'http.status_code', 'value', '200'))").alias("tags"),
+        (F.col("timestamp") * 1000000).alias("startTime"), "duration", refs.alias("references"), tags.alias("tags"),
     )
     names = F.map_from_entries(F.collect_set(F.struct(F.concat(F.lit("p-"), "service_name"), F.struct(F.col("service_name").alias("serviceName")))))
     folded = t.spans.groupBy("source_run", F.col("trace_id").alias("traceID")).agg(F.sort_array(F.collect_list(span)).alias("spans"), names.alias("processes"))
@@ -691,28 +929,49 @@ def json_trace_ingest(t: Traces) -> DataFrame:
     from spanforge.sources.spans import TRACE_SCHEMA
 
     parsed = text.select("source_run", F.from_json("j", TRACE_SCHEMA).alias("t")).select("source_run", "t.traceID", "t.spans", "t.processes")
-    return spans_from_traces(parsed).select("source_run", "trace_id", "span_id", "service_name", "timestamp", "parent_service_name")
+    return spans_from_traces(parsed).select("source_run", "trace_id", "span_id", "service_name", "timestamp", "status_code", "parent_service_name")
 
 
 # Classification
 
 
-def _features(t: Traces) -> DataFrame:
-    return classify.propagate(classify.node_features(t.nodes, metrics.duration_stats(t.nodes)), t.nodes, t.edges)
+FEATURE_SQL = """, ds AS (SELECT avg(ln(1 + greatest(duration, 0))) AS mu, stddev_samp(ln(1 + greatest(duration, 0))) AS sd FROM spans),
+x0 AS (SELECT graph_id, node_idx, 's:' || service_name AS feature, 1.0::DOUBLE AS v FROM spans UNION ALL SELECT graph_id, node_idx, 'o:' || operation_name, 1.0 FROM spans
+  UNION ALL SELECT graph_id, node_idx, 'duration', (ln(1 + greatest(duration, 0)) - mu) / sd FROM spans, ds),
+ln AS (SELECT graph_id, src, dst FROM edges WHERE src <> dst UNION SELECT graph_id, dst, src FROM edges WHERE src <> dst UNION ALL SELECT graph_id, node_idx, node_idx FROM spans),
+dg AS (SELECT graph_id, src, count(*) AS d FROM ln GROUP BY ALL),
+wt AS (SELECT l.graph_id, l.src, l.dst, 1 / sqrt(a.d * b.d) AS w FROM ln l JOIN dg a ON a.graph_id = l.graph_id AND a.src = l.src JOIN dg b ON b.graph_id = l.graph_id AND b.src = l.dst),
+x1 AS (SELECT wt.graph_id, dst AS node_idx, feature, sum(w * v) AS v FROM x0 JOIN wt ON wt.graph_id = x0.graph_id AND wt.src = x0.node_idx GROUP BY ALL),
+x2 AS (SELECT wt.graph_id, dst AS node_idx, feature, sum(w * v) AS v FROM x1 JOIN wt ON wt.graph_id = x1.graph_id AND wt.src = x1.node_idx GROUP BY ALL)
+"""
 
 
-@query()
+def _features(t: Traces, fit: DataFrame) -> DataFrame:
+    """Propagated features; durations are normalised by the ``fit`` nodes."""
+    return classify.propagate(classify.node_features(t.nodes, metrics.duration_stats(fit)), t.nodes, t.edges)
+
+
+@query(FEATURE_SQL + "SELECT graph_id, feature, round(sum(v) / any_value(num_nodes), 6) AS value FROM x2 JOIN graphs USING (graph_id) GROUP BY ALL")
 def propagated_features(t: Traces) -> DataFrame:
-    return rounded(classify.graph_features(_features(t), t.nodes), "value")
+    return rounded(classify.graph_features(_features(t, t.nodes), t.nodes), "value")
+
+
+def _vectors(t: Traces, roles: DataFrame) -> DataFrame:
+    """graph_id and the vector of its features, over the vocabulary of training graphs."""
+    train = roles.filter("role = 'train'").select("graph_id").distinct()
+    long = classify.graph_features(_features(t, t.nodes.join(train, "graph_id", "left_semi")), t.nodes)
+    return classify.vectors(long, train)
 
 
 @query()
 def classifier_scores(t: Traces) -> DataFrame:
-    """Normal against abnormal on propagated service features and duration, weights by class."""
-    services = ["click", "error", "purchase", "signup", "view"]
-    long = classify.graph_features(_features(t), t.nodes).filter(F.col("feature").startswith("s:") | (F.col("feature") == "duration"))
-    columns = [f"s:{s}" for s in services] + ["duration"]
-    wide = long.groupBy("graph_id").pivot("feature", columns).agg(F.first("value")).toDF("graph_id", *[c.replace(":", "_") for c in columns])
-    roles = split_roles(t)
-    rows = wide.join(roles, "graph_id").join(F.broadcast(metrics.class_weights(roles).select("label", "weight")), "label")
-    return classify.fit_and_score(rows.withColumn("label", F.col("label").cast("double")), [c.replace(":", "_") for c in columns])
+    """Normal against abnormal on all service and operation features and duration; held against a brute-force check in the tests."""
+    roles = materialize(split_roles(t), "classifier-roles")
+    return classify.fit_and_score(_vectors(t, roles).join(roles, "graph_id"))
+
+
+@query()
+def classifier_sweep(t: Traces) -> DataFrame:
+    """One row of test metrics per real percentage; every fit reads the same prepared table."""
+    prepared = materialize(_prepared(t).filter(F.col("percent").isin(0, 30, 100)), "sweep-prepared")
+    return classify.sweep(_vectors(t, prepared), prepared, [0, 30, 100], SEED)

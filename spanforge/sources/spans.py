@@ -88,3 +88,8 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 def append_results(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
+
+
+def write_metadata(metadata: DataFrame, path: str) -> None:
+    """Vocabularies and graph counts per system, one small JSON file."""
+    metadata.coalesce(1).write.mode("overwrite").json(path)

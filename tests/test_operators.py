@@ -1,12 +1,14 @@
 """Hand-made cases, invariants and golden values of the trace operators."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from spanforge.functions.draws import draw
-from spanforge.operators import corpora, distributions, edges, generate, graphs, labels, memorization, metrics, ranking, sampling
+from spanforge.operators import classify, corpora, distributions, edges, fidelity, generate, graphs, labels, memorization, metrics, ranking, sampling
+from spanforge.sources import shared
 from spanforge.sources import spans as source
 
 SPANS = "source_run string, trace_id string, span_id string, parent_id string, service_name string, operation_name string, timestamp long, duration double, span_seq long, system string"
@@ -48,7 +50,7 @@ def values(spark, a, b):
 
 def test_distances(spark):
     def both(a, b):
-        r = distributions.ecdf_distances(values(spark, a, b), ["metric"]).first()
+        r = distributions.ecdf_distances(distributions.counts(values(spark, a, b), ["metric"]), ["metric"]).first()
         return r.ks_similarity, r.wasserstein_similarity
 
     assert both([1, 2, 3], [1, 2, 3]) == (1, 1)
@@ -57,8 +59,8 @@ def test_distances(spark):
     assert ks == pytest.approx(0.75) and w == pytest.approx(1 - 1 / 3.5)
     assert both([5, 5], [5, 5, 5]) == (1, 1)
     assert both([1, 2], [])[0] == 0
-    same = distributions.js_similarity(values(spark, [1, 1, 2], [1, 1, 2]), ["metric"]).first().js_similarity
-    apart = distributions.js_similarity(values(spark, [1], [2]), ["metric"]).first().js_similarity
+    same = distributions.js_similarity(distributions.counts(values(spark, [1, 1, 2], [1, 1, 2]), ["metric"]), ["metric"]).first().js_similarity
+    apart = distributions.js_similarity(distributions.counts(values(spark, [1], [2]), ["metric"]), ["metric"]).first().js_similarity
     assert same == pytest.approx(1, abs=1e-6) and apart == pytest.approx(0, abs=1e-5)
 
 
@@ -139,10 +141,109 @@ def test_generated_graphs(spark):
     assert per.filter("count <> num_nodes * (num_nodes - 1)").isEmpty() and rnd.filter("src = dst").isEmpty()
 
 
-def test_spanning_forest_has_one_parent_and_no_cycle(spark):
-    pairs = spark.createDataFrame([("g", 0, 1, 0.9), ("g", 1, 0, 0.8), ("g", 1, 2, 0.7), ("g", 0, 2, 0.6), ("g", 2, 0, 0.95)], "graph_id string, src int, dst int, score double")
-    got = sorted((r.src, r.dst) for r in edges.spanning_forest(pairs).collect())
-    assert got == [(0, 1), (2, 0)]
+def walk_forest(services, score):
+    """Kruskal over a sorted list of all pairs, then the best pairs left."""
+    pairs = sorted((-score[a, b], i, j) for i, a in enumerate(services) for j, b in enumerate(services) if i != j)
+    parent, top = {}, list(range(len(services)))
+
+    def find(x):
+        return x if top[x] == x else find(top[x])
+
+    for acyclic in (True, False):
+        for _, i, j in pairs:
+            if len(parent) < len(services) - 1 and j not in parent and not (acyclic and find(i) == find(j)):
+                parent[j] = i
+                if acyclic:
+                    top[find(j)] = find(i)
+    return {(i, j) for j, i in parent.items()}
+
+
+def test_spanning_forest_is_the_greedy_walk(spark):
+    rng = random.Random(6)
+    for _ in range(4):
+        score = {(a, b): rng.choice([0.1, 0.2, 0.3, 0.5]) for a in "abc" for b in "abc"}
+        graphs = {f"g{k}": [rng.choice("abc") for _ in range(n)] for k, n in enumerate((1, 2, 5, 9))}
+        nodes = spark.createDataFrame([(g, i, s) for g, held in graphs.items() for i, s in enumerate(held)], "graph_id string, node_idx int, service_name string")
+        scores = spark.createDataFrame([(*k, v) for k, v in score.items()], "ps string, cs string, score double")
+        got = {g: set() for g in graphs}
+        for r in edges.spanning_forest(nodes, scores).collect():
+            got[r.graph_id].add((r.src, r.dst))
+        assert got == {g: walk_forest(held, score) for g, held in graphs.items()}
+
+
+def test_nearest_similarity_in_blocks(spark):
+    rng = random.Random(8)
+    sides = [[({rng.choice("abcdefgh") for _ in range(rng.randint(0, 5))}, {rng.choice("xyz") for _ in range(rng.randint(1, 3))}) for _ in range(60)] for _ in range(2)]
+
+    def tables(rows):
+        ids = spark.createDataFrame([(str(i),) for i in range(len(rows))], "graph_id string")
+        return [memorization.token_sets(ids, spark.createDataFrame([(str(i), t) for i, r in enumerate(rows) for t in r[k]], "graph_id string, token string"), "token") for k in (0, 1)]
+
+    def jaccard(a, b):
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    want = [max(0.7 * jaccard(e, f) + 0.3 * jaccard(n, m) for f, m in sides[1]) for e, n in sides[0]]
+    synth, real = tables(sides[0]), tables(sides[1])
+    memorization.BLOCK_KINDS, memorization.TOKEN_COLUMNS, old = 16, 3, (memorization.BLOCK_KINDS, memorization.TOKEN_COLUMNS)
+    got = {r.graph_id: r.nearest for r in memorization.combined_similarity(synth, real).collect()}
+    memorization.BLOCK_KINDS, memorization.TOKEN_COLUMNS = old
+    assert all(got[str(i)] == pytest.approx(w) for i, w in enumerate(want))
+    for level in (0.5, 0.8, 0.95):
+        near = {r.graph_id for r in memorization.similar_graphs(synth, real, level).collect()}
+        assert near == {str(i) for i, w in enumerate(want) if w >= level}
+    none = [t.limit(0) for t in real]
+    assert {r.nearest for r in memorization.combined_similarity(synth, none).collect()} == {0.0}
+
+
+def test_published_aggregations(spark):
+    import golden
+
+    names = ["weighted_f1", "abnormal_f1", "abnormal_recall", "pr_auc", "false_alarm_rate"]
+    runs = spark.createDataFrame([r[:8] for r in golden.SEED_RUNS], "system string, percent double, seed int, " + ", ".join(f"{m} double" for m in names))
+    got = {(r.system, r.percent): r for r in metrics.aggregate_seeds(runs, ["system", "percent"], names).collect()}
+    assert len(got) == len(golden.SEED_SUMMARY) == 8
+    for system, percent, count, *values in golden.SEED_SUMMARY:
+        r = got[system, percent]
+        assert r.runs == count and [r[f"{m}_{x}"] for m in names for x in ("mean", "sd")] == pytest.approx(values, abs=1e-8)
+    cells = spark.createDataFrame([(k, *r[8:]) for k, r in enumerate(golden.SEED_RUNS)], "k int, tn long, fp long, fn long, tp long")
+    for r in metrics.derived_metrics(cells).collect():
+        wf, af, ar, _, far = golden.SEED_RUNS[r.k][3:8]
+        assert (r.weighted_f1, r.abnormal_f1, r.abnormal_recall, r.false_alarm_rate) == pytest.approx((wf, af, ar, far), abs=1.1e-6)
+    parts = [*[f"{m}_ks_similarity" for m in fidelity.STRUCTURE], "graph_feature_mmd_similarity", *[f"{m}_ks_similarity" for m in fidelity.TIMING], *[f"{m}_js_similarity" for m in fidelity.LABELS], "service_operation_valid_mass"]
+    rows = spark.createDataFrame([(k, *r[0]) for k, r in enumerate(golden.FIDELITY)], "k int, " + ", ".join(f"{p} double" for p in parts))
+    for r in fidelity.roll_up(rows).collect():
+        assert [r[m] for m in fidelity.MEANS] == pytest.approx(golden.FIDELITY[r.k][1], abs=2e-6)
+
+
+def test_shared_tables_need_a_shared_folder_on_a_cluster(spark):
+    class Context:
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getConf():
+            return {}
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Session())
+    before = shared.mark()
+    first, second = shared.materialize(spark.range(3), "t"), shared.materialize(spark.range(4), "t")
+    shared.release(spark, before, keep=1)
+    assert shared.mark() == before + 1 and second.count() == 4
+    with pytest.raises(Exception):
+        first.collect()
+
+
+def test_classifier_tells_two_shapes_apart(spark):
+    rows = [(f"g{i}", "train" if i % 5 < 3 else "val" if i % 5 == 3 else "test", i % 2) for i in range(60)]
+    long = [(g, f"s:{'xy'[y]}", 1.0) for g, _, y in rows] + [(g, "duration", float(i % 7)) for i, (g, _, _) in enumerate(rows)] + [("g4", "s:unseen", 1.0)]
+    features, roles = spark.createDataFrame(long, "graph_id string, feature string, value double"), spark.createDataFrame(rows, "graph_id string, role string, label int")
+    x = classify.vectors(features, roles.filter("role = 'train'").select("graph_id"))
+    assert {len(r.x) for r in x.collect()} == {3}
+    got = classify.fit_and_score(x.join(roles, "graph_id")).collect()
+    assert len(got) == 60 and all(r.pred == r.label and (r.score > 0.5) == (r.label == 1) for r in got)
 
 
 def test_draws_are_32_bit_and_stable(spark):
@@ -183,7 +284,26 @@ def test_corpus_round_trip(spark, tmp_path):
 
 
 def test_zero_real_guard(spark):
-    bad = spark.createDataFrame([(0, 5, 0)], "percent int, train_real long, leaked long")
-    with pytest.raises(ValueError):
-        corpora.check_zero_real(bad)
-    corpora.check_zero_real(spark.createDataFrame([(0, 0, 0)], "percent int, train_real long, leaked long"))
+    schema = "percent int, train_real_total long, val_source string, leaked long"
+    for bad in ((0, 5, "synthetic", 0), (0, 0, "mixed", 0), (30, 5, "mixed", 1)):
+        with pytest.raises(ValueError):
+            corpora.check_zero_real(spark.createDataFrame([bad], schema))
+    corpora.check_zero_real(spark.createDataFrame([(0, 0, "synthetic", 0), (30, 5, "mixed", 0)], schema))
+    with pytest.raises(ValueError, match="percentages"):
+        corpora.mix_targets(spark.createDataFrame([(1, 1)], "synth_pool long, real_pool long"), [101])
+
+
+def test_many_edges_of_a_large_graph(spark):
+    made = spark.createDataFrame([(0, 200), (1, 100), (2, 1)], "gen_id long, num_nodes long")
+    wanted = spark.createDataFrame([(0, 300), (1, 9000), (2, 5)], "gen_id long, num_edges long")
+    got = generate.random_edges(made, wanted, 1)
+    assert {r.gen_id: r["count"] for r in got.groupBy("gen_id").count().collect()} == {0: 300, 1: 9000}
+    assert got.distinct().count() == 9300 and got.filter("src = dst or src < 0 or dst < 0 or dst >= 200").isEmpty()
+
+
+def test_sinks_of_small_tables(spark, tmp_path):
+    rows = spark.createDataFrame([("TT", {"a": 0}, None), ("TT", {"a": 0}, "normal")], "system string, service_to_id map<string,int>, trace_label string")
+    source.write_metadata(rows.drop("trace_label"), f"{tmp_path}/m")
+    assert spark.read.json(f"{tmp_path}/m").first().system == "TT"
+    source.write_labelled(rows.drop("service_to_id").withColumn("x", F.lit(1)), f"{tmp_path}/l")
+    assert {r.trace_label for r in spark.read.parquet(f"{tmp_path}/l").collect()} == {None, "normal"}
