@@ -2,19 +2,24 @@
 
 Candidates are found by one pattern, validated by kind, and permuted inside their own
 format by a keyed Feistel network: a card number becomes another number with a valid
-check digit, a date another date, an address another address.  The permutation
-depends on the key and the value alone, so equal values stay linked across documents
-and different ones stay apart.  E-mail addresses and secrets have no number format to
+check digit, a date another date between 0001-01-01 and 9999-12-31, a social security
+or phone number another one that could be issued.  The network works on the product of
+two ranges that together number the valid values exactly, so it is a permutation of
+them.  It depends on the key and the value alone: equal values stay linked across
+documents and different ones stay apart.  E-mail addresses and secrets have no number format to
 permute in; they get a keyed digest in the shape of the original.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = "spanforge-demo-key"
+#: The setting that holds the key.
+KEY_SETTING = "spanforge.pii.key"
 FEISTEL_ROUNDS = 8
+#: Days from 0001-01-01 to 9999-12-31, as a product of two ranges.
+DAY_RANGES = (1717, 2127)
 
 #: Kinds of candidate, in the order tried at a position.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -28,6 +33,14 @@ CARD = r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])"
 PATTERN = "|".join((EMAIL, CLOUD_KEY, SECRET, ISO_DATE, IPV4, SSN, PHONE, CARD))
 
 
+def key_of(spark: SparkSession, default: str | None = None) -> str:
+    """The session's key.  There is no key in the operator: without the setting or a default it refuses."""
+    key = spark.conf.get(KEY_SETTING, default)
+    if not key:
+        raise ValueError(f"set {KEY_SETTING} to a secret key")
+    return key
+
+
 def _quoted(text: str) -> str:
     return "r'" + text + "'" if "'" not in text else "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -77,8 +90,11 @@ def _bind(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def pseudonym_sql(m: str = "m", key: str = KEY) -> str:
+def pseudonym_sql(m: str, key: str) -> str:
     """SQL for the pseudonym of candidate ``m``; an invalid candidate stays as it is."""
+    if not key:
+        raise ValueError("an empty key")
+    key = key.replace("\\", "\\\\").replace("'", "\\'")
     number = f"rpad('1', {{}} + 1, '0')"
     check = _bind("concat(p, '0')", "z", _luhn_sum("z"))
     card = _bind(
@@ -98,16 +114,29 @@ def pseudonym_sql(m: str = "m", key: str = KEY) -> str:
         )
         + f", {m})",
     )
+    # Area and exchange: 200 to 999 without those that end in 11, 99 of every hundred.
+    def nth(x: str) -> str:
+        return f"({x} - 200 - ({x} - 112) div 100)"
+
+    def of(i: str) -> str:
+        return f"(({i} div 99 + 2) * 100 + {i} % 99 + if({i} % 99 >= 11, 1, 0))"
+
     phone = _bind(
         _digits(m), "d",
-        _bind(
-            _permute("phone", "substr(d, -10, 3)", "substr(d, -7, 7)", "1000", "10000000", key,
-                     "concat(substr(d, 1, length(d) - 10), lpad(s.l, 3, '0'), lpad(s.r, 7, '0'))"),
+        "if(substr(d, -10) rlike '^[2-9](?!11)[0-9]{2}[2-9](?!11)[0-9]{6}$', "
+        + _bind(
+            _permute("phone", nth("cast(substr(d, -10, 3) as int)"), f"{nth('cast(substr(d, -7, 3) as int)')} * 10000 + cast(substr(d, -4) as int)", "792", "7920000", key,
+                     f"concat(substr(d, 1, length(d) - 10), {of('s.l')}, {of('(s.r div 10000)')}, lpad(s.r % 10000, 4, '0'))"),
             "n", _refill(m, "n"),
-        ),
+        )
+        + f", {m})",
     )
-    ssn = _permute("ssn", f"substr({m}, 1, 3)", f"concat(substr({m}, 5, 2), substr({m}, 8, 4))", "1000", "1000000", key,
-                   "concat(lpad(s.l, 3, '0'), '-', substr(lpad(s.r, 6, '0'), 1, 2), '-', substr(lpad(s.r, 6, '0'), 3, 4))")
+    # Area 1 to 899 but 666, group 1 to 99, serial 1 to 9999.
+    area, group, serial = (f"cast(substr({m}, {at}, {n}) as int)" for at, n in ((1, 3), (5, 2), (8, 4)))
+    ssn = f"if({m} rlike '^(?!000|666|9)[0-9]{{3}}-(?!00)[0-9]{{2}}-(?!0000)[0-9]{{4}}$', " + _permute(
+        "ssn", f"{area} - 1 - if({area} > 666, 1, 0)", f"({group} - 1) * 9999 + {serial} - 1", "898", "989901", key,
+        "concat(lpad(s.l + 1 + if(s.l >= 665, 1, 0), 3, '0'), '-', lpad(s.r div 9999 + 1, 2, '0'), '-', lpad(s.r % 9999 + 1, 4, '0'))",
+    ) + f", {m})"
     ip = _bind(
         f"transform(split({m}, '[.]'), x -> cast(x as int))", "o",
         f"if(array_max(o) > 255, {m}, "
@@ -115,12 +144,11 @@ def pseudonym_sql(m: str = "m", key: str = KEY) -> str:
                    "concat_ws('.', cast(s.l div 256 as string), cast(s.l % 256 as string), cast(s.r div 256 as string), cast(s.r % 256 as string))")
         + ")",
     )
-    # Dates are permuted inside blocks of 65,536 days counted from 1900-01-01.
+    days, rest = DAY_RANGES
     date = _bind(
-        f"datediff(try_cast({m} as date), date'1900-01-01')", "e",
-        f"if(e is null, {m}, "
-        + _permute("date", "pmod(e, 65536) div 256", "pmod(e, 65536) % 256", "256", "256", key,
-                   "date_format(date_add(date'1900-01-01', cast(floor(e / 65536) * 65536 + s.l * 256 + s.r as int)), 'yyyy-MM-dd')")
+        f"datediff(try_cast({m} as date), date'0001-01-01')", "e",
+        f"if(e is null or e < 0, {m}, "
+        + _permute("date", f"e div {rest}", f"e % {rest}", str(days), str(rest), key, f"lpad(cast(date_add(date'0001-01-01', cast(s.l * {rest} + s.r as int)) as string), 10, '0')")
         + ")",
     )
     email = _bind(_digest("email", f"lower({m})", key), "h", "concat('u', substr(h, 1, 12), '@d', substr(h, 13, 8), '.example')")
@@ -141,7 +169,7 @@ def pseudonym_sql(m: str = "m", key: str = KEY) -> str:
     )
 
 
-def pseudonymise_column(text_col: str, key: str = KEY) -> Column:
+def pseudonymise_column(text_col: str, key: str) -> Column:
     """``text_col`` with every validated value replaced; null stays null."""
     text = "`" + text_col.replace("`", "``") + "`"
     pattern = _quoted(PATTERN)
@@ -152,10 +180,10 @@ def pseudonymise_column(text_col: str, key: str = KEY) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text_col`` pseudonymised; all other columns as they are.
 
     Null and empty texts stay so.  Candidates that fail validation (check digit,
-    octets, calendar) stay in place.  Repeated rows come out equal.  No shuffle.
+    octets, calendar, numbers never issued) stay in place.  Repeated rows come out equal.  No shuffle.
     """
     return docs.withColumn(text_col, pseudonymise_column(text_col, key))

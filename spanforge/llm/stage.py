@@ -1,54 +1,20 @@
-"""Cutting lineage in shared storage, and small helpers every operator uses.
-
-Intermediate tables are written as Parquet below ``spark.checkpoint.dir`` (a
-folder all executors share), so a lost executor costs a re-read, not a re-run
-of everything upstream.
-"""
+"""Small helpers every operator uses; tables cut from their lineage live in ``sources.shared``."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.sources.shared import mark, materialize, release, shared_dir
+
+__all__ = ["BROADCAST_ROWS", "WORD_PATTERN", "crc_fold", "hash32", "mark", "materialize", "release", "shared_dir", "sized_broadcast"]
+
 #: A table is broadcast by hint only if it was counted and has at most this many rows.
 BROADCAST_ROWS = 400_000
 
 #: Word separators of every contract here: space and the ASCII control blanks.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-_local_dirs: dict[int, str] = {}
-_written: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where none is set."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf.rstrip("/")
-    key = id(spark.sparkContext)
-    if key not in _local_dirs:
-        _local_dirs[key] = tempfile.mkdtemp(prefix="spanforge-")
-    return _local_dirs[key]
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to shared storage and return the table read back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete every table ``materialize`` has written; results built on them end too."""
-    while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
 
 def sized_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """Hint a broadcast only behind a counted size; otherwise leave it to a shuffle join."""
