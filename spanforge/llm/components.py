@@ -1,8 +1,10 @@
 """Connected components by repeated contraction, as grouped joins.
 
-Every round points each node at its smallest neighbour, moves both ends of each edge
-one step along, and drops what became a loop or a repeat.  Active nodes at least halve
-each round, so the rounds grow with the logarithm of the largest component.
+Every round draws a priority for each node from a hash of the node and the round, points
+each node at the one of least priority around it (itself included), moves both ends of
+each edge one step along, and drops what became a loop or a repeat.  Priorities are new in
+every round, so whatever the shape and the labels, a constant share of the nodes is
+expected to go each time and the rounds grow with the logarithm of the nodes.
 """
 
 from __future__ import annotations
@@ -26,10 +28,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
     steps: list[DataFrame] = []
     while not here.isEmpty():
-        # Both directions, so that a node sees every neighbour; the smaller end may be itself.
+
+        def ranked(name: str):
+            return F.struct(F.xxhash64(name, F.lit(len(steps))).alias("priority"), F.col(name).alias("at"))
+
         both = here.select(F.col("hi").alias("node"), F.col("lo").alias("other")).union(here.select("lo", "hi"))
-        step = materialize(both.groupBy("node").agg(F.min(F.least("node", "other")).alias("up")), "cc-step")
-        steps.append(step)
+        around = both.groupBy("node").agg(F.min(ranked("other")).alias("best"))
+        step = materialize(around.select("node", F.least("best", ranked("node"))["at"].alias("up")), "cc-step")
         moved = (
             here.join(step.select(F.col("node").alias("hi"), F.col("up").alias("hi_up")), "hi")
             .join(step.select(F.col("node").alias("lo"), F.col("up").alias("lo_up")), "lo")
@@ -37,6 +42,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .filter("hi > lo")
             .distinct()
         )
+        steps.append(step)
         here = materialize(moved, "cc-edges")
     if not steps:
         return here.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
@@ -48,4 +54,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         )
 
     last = steps[-1].select("node", F.col("up").alias("root"))
-    return reduce(follow, reversed(steps[:-1]), last)
+    held = reduce(follow, reversed(steps[:-1]), last)
+    # The node a component met in belongs to it; its smallest node gives the name.
+    least = held.groupBy("root").agg(F.min("node").alias("least"))
+    return materialize(held.join(least, "root").select("node", F.col("least").alias("root")), "cc-named")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from spanforge.llm import embedding_dedup, language_model, linear, mixing, ngram_join, packing, pii, quality, sharding, suffix_dedup, toxicity
 from spanforge.llm import textkernel as tk
 from spanforge.llm.components import components
+from spanforge.llm.stage import mark, release
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -568,9 +569,12 @@ def test_shards(docs, empty):
 
 
 def test_components_of_a_long_chain(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (400, 400), (7, 7)], "a long, b long")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(2000)] + [(5000, 4000), (4000, 4000), (7, 7)], "a long, b long")
+    before = mark()
     got = {r.node: r.root for r in components(edges).collect()}
-    assert all(got[i] == 0 for i in range(201)) and got[500] == got[400] == 400 and len(got) == 203
+    assert all(got[i] == 0 for i in range(2001)) and got[5000] == got[4000] == 4000 and len(got) == 2003
+    assert mark() - before < 3 * 25  # three tables a round
+    release(spark, before)
     assert components(edges.limit(0)).count() == 0
 
 
