@@ -22,6 +22,8 @@ from spanforge.llm import textkernel as tk
 from spanforge.llm.stage import crc_fold, materialize
 
 DEPTH = 4
+#: Byte that ends every text.
+END = 0xFF
 FOLDS, HELD_OUT = 5, 1
 #: Words scored from a broadcast table: the most frequent ones, never more than this.
 COMMON_WORDS = 1 << 18
@@ -43,6 +45,11 @@ def grams(data: np.ndarray, bounds: np.ndarray, depth: int = DEPTH) -> np.ndarra
     return code
 
 
+def with_ends(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows each closed by the end byte, which UTF-8 never uses."""
+    return np.insert(data, bounds[1:], END), bounds + np.arange(len(bounds))
+
+
 def _log_gamma(x: Column) -> Column:
     """ln Gamma for x >= 1/2: Stirling's series after a shift by six."""
     shifted = x + 6.0
@@ -141,8 +148,9 @@ def _counted(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             held = batch.column("held_out").to_numpy(zero_copy_only=False)
             for first, end, data, bounds in tk.slices(batch.column("text")):
-                used = np.repeat(~held[first:end], np.diff(bounds))
-                code = grams(data, bounds)
+                coded, ends_at = with_ends(data, bounds)
+                used = np.repeat(~held[first:end], np.diff(ends_at))
+                code = grams(coded, ends_at)
                 for keys, n in ((code[used], 1), (np.unique(code[~used]), 0)):
                     keys, totals = np.unique(keys, return_counts=True)
                     found["gram"].add(keys, totals * n)
@@ -167,9 +175,10 @@ def _counted(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row.
 
-    A null text is an empty one: its score is 0 (certain) and its base only the end.
+    Every text is coded to its end byte, so scores of texts of any length compare; ``bits_per_byte``
+    is the code length over the bytes and the end.  A null text is an empty one: only the end is scored.
     Repeated rows score alike; texts are read whole.  With no training rows every
     decision has chance 1/2.  Other columns are ignored.
     """
@@ -202,15 +211,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 count, known = common(hashes, 0)
                 base = np.bincount(row[known], weights=np.log10((count[known] + 0.5) / floor), minlength=n_rows)
                 rare_at = np.searchsorted(row[~known], np.arange(n_rows + 1)).astype(np.int32)
-                code = grams(data, bounds)
+                coded, ends_at = with_ends(data, bounds)
+                code = grams(coded, ends_at)
+                total, pieces = np.zeros(n_rows), np.zeros(n_rows + 1, np.int32)
+                left, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
                 if small:
                     value, _ = logp(code, 0.0)
-                    upto = np.append(0.0, np.cumsum(value))
-                    total = np.diff(upto[bounds])
-                    pieces = np.zeros(n_rows + 1, np.int32)
-                    left = np.zeros(0, np.uint64)
-                else:
-                    total, pieces, left = np.zeros(n_rows), bounds.astype(np.int32), code
+                    total = np.diff(np.append(0.0, np.cumsum(value))[ends_at])
+                else:  # each row's distinct codes and how often it has them
+                    found = [np.unique(code[lo:hi], return_counts=True) for lo, hi in zip(ends_at, ends_at[1:])]
+                    pieces[1:] = np.cumsum([len(keys) for keys, _ in found])
+                    left, times = (np.concatenate(x) for x in zip(*found))
                 yield pa.record_batch(
                     [
                         batch.column("doc_id").slice(first, n_rows),
@@ -221,12 +232,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                         pa.array(total),
                         pa.ListArray.from_arrays(pa.array(rare_at), pa.array(hashes[~known].view(np.int64))),
                         pa.ListArray.from_arrays(pa.array(pieces), pa.array(left.view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(pieces), pa.array(times.astype(np.int64))),
+                        pa.array(np.diff(ends_at)),
                     ],
-                    ["doc_id", "held_out", "n_tokens", "known", "base", "total", "rare", "codes"],
+                    ["doc_id", "held_out", "n_tokens", "known", "base", "total", "rare", "codes", "times", "coded"],
                 )
 
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, held_out boolean, n_tokens long, known long, base double, total double, rare array<long>, codes array<long>"
+    schema = f"doc_id {id_type}, held_out boolean, n_tokens long, known long, base double, total double, rare array<long>, codes array<long>, times array<long>, coded long"
     rows = materialize(texts.mapInArrow(run, schema).withColumn("uid", F.monotonically_increasing_id()), "lm-rows")
     rare = (
         rows.select("uid", F.explode("rare").alias("word")).join(vocabulary, "word", "left").groupBy("uid")
@@ -234,7 +247,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
     out = rows.join(rare, "uid", "left")
     if not small:
-        joined = rows.select("uid", F.explode("codes").alias("gram")).groupBy("uid", "gram").agg(F.count(F.lit(1)).alias("times"))
+        joined = rows.select("uid", F.explode(F.arrays_zip("codes", "times")).alias("c")).select("uid", F.col("c.codes").alias("gram"), "c.times")
         sums = joined.join(model, "gram").groupBy("uid").agg(F.sum(F.col("times") * F.col("logp")).alias("joined"))
         out = out.join(sums, "uid", "left").withColumn("total", F.coalesce("joined", F.lit(0.0)))
     return out.select(
@@ -243,6 +256,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         F.lit(train_tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
         F.col("total").alias("score"),
+        (-F.col("total") / (float(np.log10(2)) * F.col("coded"))).alias("bits_per_byte"),
     )
 
 

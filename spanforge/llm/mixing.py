@@ -24,7 +24,7 @@ RUN_ROWS = 2048
 
 
 def source_targets(sizes: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """Targets per source from (source, size): source, n_rows, source_size, weight, target.
+    """Targets per source from (source, size): source, n_rows, source_size, weight, num, den, target = num / den.
 
     Sources are ordered by code point, null last, and weigh 1, 2, 3, 1, ...  The
     shares add up to the size of everything.  A source of size 0 gets target 0.
@@ -46,8 +46,9 @@ def source_targets(sizes: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
         .withColumn("caps", F.coalesce(F.sum(F.expr("if(capped, cap, 0)")).over(everything), F.lit(0)))
         .withColumn("weights", F.coalesce(F.sum(F.expr("if(capped, 0, weight)")).over(everything), F.lit(0)))
     )
-    target = F.expr("if(capped, cast(cap as double), cast(weight * (total - caps) as double) / weights)")
-    return level.select("source", "n_rows", "source_size", "weight", target.alias("target"))
+    num, den = F.expr("cast(if(capped, cap, weight * (total - caps)) as decimal(20,0))"), F.expr("cast(if(capped, 1, weights) as decimal(20,0))")
+    ratio = level.withColumn("num", num).withColumn("den", den)
+    return ratio.select("source", "n_rows", "source_size", "weight", "num", "den", (F.col("num").cast("double") / F.col("den").cast("double")).alias("target"))
 
 
 def copies_by_source(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -74,7 +75,7 @@ def copies_by_source(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     key = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     laid = sized.alias("d").join(
         sized_broadcast(targets, found["n"]).alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))
-    ).select("d.*", "t.source_size", "t.target", (hash32(key) % F.col("t.runs")).alias("run"))
+    ).select("d.*", "t.source_size", "t.target", "t.num", "t.den", (hash32(key) % F.col("t.runs")).alias("run"))
 
     # Every other run is laid out backwards, so sizes rise and fall smoothly along the source.
     ride = F.when(F.col("run") % 2 == 0, F.col("size")).otherwise(-F.col("size"))
@@ -87,11 +88,15 @@ def copies_by_source(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     placed = laid.withColumn("nth", nth).join(
         bases, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("run") == F.col("b_run"))
     )
-    rate = F.expr("if(source_size = 0, 0D, target / source_size)")
-    offset = hash32(F.concat(F.lit(f"{seed}|offset|"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))) / F.lit(4294967296.0)
-    upto = F.col("base") + F.col("nth")
-    copies = (F.floor(upto * rate + offset) - F.floor((upto - 1) * rate + offset)).cast("long")
-    return placed.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), *[F.col(f"kept_{c}") for c in keep])
+    offset = hash32(F.concat(F.lit(f"{seed}|offset|"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))))
+    # floor(upto * num / (den * size) + offset / 2^32) in whole numbers: no rounding step can give a copy too many.
+    whole = placed.withColumn("whole", F.expr("cast(den * source_size as decimal(28,0))")).withColumn("shift", offset).withColumn("upto", (F.col("base") + F.col("nth")).cast("long"))
+
+    def crossed(upto: str) -> str:
+        return f"((cast({upto} as decimal(18,0)) * num * 4294967296BD + shift * whole) div (whole * 4294967296BD))"
+
+    copies = F.expr(f"if(source_size = 0, 0, {crossed('upto')} - {crossed('upto - 1')})").cast("long")
+    return whole.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), *[F.col(f"kept_{c}") for c in keep])
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm import embedding_dedup, language_model, mixing, ngram_join, packing, pii, quality, sharding, suffix_dedup, toxicity
+from spanforge.llm.oracles import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "PUBLIC_KEY", "QUERIES"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +62,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pack": op1_pack, "op2_mix": op2_mix, "op3_embedding": op3_embedding, "op4_pii": op4_pii, "op5_jaccard": op5_jaccard, "op6_suffix_dedup": op6_suffix_dedup, "op7_lm": op7_lm, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_shard": op10_shard}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    query.__name__: query
+    for query in (op1_pack, op2_mix, op3_embedding, op4_pii, op5_jaccard, op6_suffix_dedup, op7_lm, op8_toxicity, op9_quality, op10_shard)
+}

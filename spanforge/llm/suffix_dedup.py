@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm import textkernel as tk
-from spanforge.llm.stage import materialize, sized_broadcast
+from spanforge.llm.stage import keep_keys, materialize, sized_broadcast
 
 LENGTH = 200
 ANCHOR = 48
@@ -258,16 +258,17 @@ def covered_spans(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     sampled = materialize(_sampled(texts.filter(F.octet_length("text") >= LENGTH)), "suffix-samples")
     place = F.xxhash64("tid", "pos")
-    twice = sampled.groupBy("fp").agg(*_differ(place)).filter("h_min <> h_max").select("fp")
-    wanted = sampled.join(twice, "fp").groupBy("tid").agg(F.collect_set("pos").alias("at")).join(known.select("tid", "rep"), "tid")
+    counted = sampled.groupBy("fp").agg(*_differ(place), F.count(F.lit(1)).alias("n"))
+    twice = materialize(counted.filter("h_min <> h_max").select("fp", "n"), "suffix-repeated")
+    wanted = keep_keys(sampled, twice, ["fp"], "suffix-heavy").groupBy("tid").agg(F.collect_set("pos").alias("at")).join(known.select("tid", "rep"), "tid")
     rows = materialize(_read_again(texts, wanted).mapInArrow(_context, _CONTEXT), "suffix-contexts")
 
     classes = materialize(
-        rows.groupBy("grp", "ctx").agg(*_differ(place), F.min(F.struct("tid", "pos", "lo", "hi")).alias("one"))
-        .select("grp", "ctx", (F.col("h_min") == F.col("h_max")).alias("alone"), "one.*"),
+        rows.groupBy("grp", "ctx").agg(*_differ(place), F.min(F.struct("tid", "pos", "lo", "hi")).alias("one"), F.count(F.lit(1)).alias("n"))
+        .select("grp", "ctx", (F.col("h_min") == F.col("h_max")).alias("alone"), "n", "one.*"),
         "suffix-classes",
     )
-    settled = rows.join(classes.filter("not alone").select("grp", "ctx"), ["grp", "ctx"]).select("tid", "lo", "hi")
+    settled = keep_keys(rows, classes.filter("not alone").select("grp", "ctx", "n"), ["grp", "ctx"], "suffix-heavy-classes").select("tid", "lo", "hi")
 
     groups = classes.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.bool_or("alone").alias("open")).filter("size > 1 and open").select("grp", "size")
     undecided = classes.join(groups, "grp").select(

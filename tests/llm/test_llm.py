@@ -173,6 +173,28 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0 and mixing.copies_by_source(empty).count() == 0
 
 
+def test_queries_match_their_sql(spark):
+    import duckdb
+
+    from spanforge.llm import queries
+
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    for name, sql in queries.ORACLE_SQL.items():
+        got, want = queries.QUERIES[name](spark, sf), con.sql(sql)
+        columns = sorted(want.columns)
+        at = [want.columns.index(c) for c in columns]
+        same_rows([tuple(r) for r in got.select(*columns).collect()], [tuple(r[k] for k in at) for r in want.fetchall()])
+
+
+def test_mixing_never_gives_a_fourth_copy(spark):
+    """A rate just under three over many rows: the running sum in doubles would step twice."""
+    sizes = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("w").alias("text"), F.when(F.col("id") < 1999, "a").otherwise("b").alias("source"))
+    got = mixing.copies_by_source(sizes)
+    assert got.agg(F.max("copies")).first()[0] <= 3 and got.groupBy("source").agg(F.sum("copies").alias("n")).filter("source = 'b'").first().n == 3
+
+
 def test_mixing_comes_near_its_targets(spark):
     rng = random.Random(2)
     rows = [(i, "w " * int(rng.paretovariate(1.2) * 20 % 3000), f"s{int(rng.random() ** 3 * 6)}") for i in range(6000)]
@@ -374,7 +396,7 @@ def brute_ctw(rows, depth):
     for r in rows:
         if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 5 == 1:
             continue
-        b = b"\0" * depth + (r[1] or "").encode()
+        b = b"\0" * depth + (r[1] or "").encode() + b"\xff"
         for k in range(depth, len(b)):
             for q in range(8):
                 node, bit = 1 << q | b[k] >> (8 - q), b[k] >> (7 - q) & 1
@@ -400,7 +422,7 @@ def brute_ctw(rows, depth):
         return share * one + (1 - share) * chance(ctx, node, d + 1)
 
     for r in rows:
-        b, total = b"\0" * depth + (r[1] or "").encode(), 0.0
+        b, total = b"\0" * depth + (r[1] or "").encode() + b"\xff", 0.0
         for k in range(depth, len(b)):
             for q in range(8):
                 p = chance(b[k - depth : k], 1 << q | b[k] >> (8 - q), 0)
@@ -421,7 +443,9 @@ def test_language_model(docs, empty):
         want.append((r[0], len(t), sum(seen[w] > 0 for w in t), n, round(base, 5), round(s, 5)))
     for entries in (language_model.BROADCAST_ENTRIES, 10):  # the second joins the model instead
         language_model.BROADCAST_ENTRIES, old = entries, language_model.BROADCAST_ENTRIES
-        got = [(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5) + 0.0) for r in language_model.score(df).collect()]
+        scored = language_model.score(df).collect()
+        got = [(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5) + 0.0) for r in scored]
+        assert sum(r.bits_per_byte for r in scored) == pytest.approx(sum(-w[5] * math.log2(10) / (len((r[1] or "").encode()) + 1) for r, w in zip(rows, want)), rel=1e-4)
         language_model.BROADCAST_ENTRIES = old
         same_rows(got, [(*w[:5], w[5] + 0.0) for w in want])
     assert language_model.score(empty).count() == 0
