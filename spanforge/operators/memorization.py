@@ -215,7 +215,7 @@ def filter_report(dups: DataFrame, nearest: DataFrame, threshold: float, exact_o
     near = F.lit(False) if exact_only else F.col("nearest") >= threshold
     rows = dups.join(nearest, "graph_id").withColumn("near", near & ~F.col("exact"))
     phases = F.when(F.col("exact") | F.col("near"), F.array(F.lit("before"))).otherwise(F.array(F.lit("before"), F.lit("after")))
-    rows = rows.withColumn("phase", F.explode(phases))
+    rows = materialize(rows.withColumn("phase", F.explode(phases)), "filter-phases")
     found = rows.groupBy("phase").agg(
         F.count(F.lit(1)).alias("graphs"), F.count_if("exact").alias("exact_graphs"), F.count_if("near").alias("near_graphs"),
         (F.countDistinct("sig") / F.count(F.lit(1))).alias("unique_rate"), F.avg(F.col("exact").cast("double")).alias("exact_rate"),
