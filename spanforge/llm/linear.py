@@ -11,11 +11,12 @@ of buckets.  Scoring covers every row and its whole text.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm import textkernel as tk
@@ -27,6 +28,8 @@ _STEP, _SPREAD = U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95)
 FIT_TASKS = 12
 #: Text bytes whose n-grams are hashed at once.
 SLICE = 1 << 18
+#: Blocks of the sample sent to a Python worker together.
+BLOCKS_AT_ONCE = 2
 #: Pairs of steps the optimiser remembers.
 MEMORY = 5
 
@@ -149,6 +152,7 @@ def _blocks(sample: DataFrame, spec: Spec) -> DataFrame:
                 upper = np.concatenate([np.bincount(x >> 16, minlength=uppers) for x in rows])
                 block = (label[first:end].astype("u1"), held[first:end].astype("u1"), upper.astype("<i4"), np.concatenate(rows).astype("<u2"))
                 yield pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in block], ["label", "held", "upper", "lower"])
+        tk.tidy()
 
     rows = sample.select("label", "held", "text").mapInArrow(pack, "label binary, held binary, upper binary, lower binary")
     return materialize(rows, "linear-blocks")
@@ -164,6 +168,18 @@ def _read_blocks(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[tupl
             yield label, held > 0, upper.reshape(-1, uppers).sum(axis=1), np.repeat(high, upper) + lower
 
 
+@contextmanager
+def _batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows meanwhile: a block is a megabyte, and a batch is held several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, usual)
+
+
 def _row_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     out = np.zeros(len(sizes))
     full = sizes > 0
@@ -195,8 +211,10 @@ def _gradient(blocks: DataFrame, spec: Spec, weights: np.ndarray, intercept: flo
             [pa.array([loss]), pa.array([first]), pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([pull[at].astype("<f4").tobytes()], pa.binary())],
             ["loss", "first", "at", "pull"],
         )
+        tk.tidy()
 
-    got = blocks.mapInArrow(run, "loss double, first double, at binary, pull binary").toArrow()
+    with _batches_of(blocks.sparkSession, BLOCKS_AT_ONCE):
+        got = blocks.mapInArrow(run, "loss double, first double, at binary, pull binary").toArrow()
     shared.destroy()
     pull = np.zeros(size)
     for at, part in zip(got["at"], got["pull"]):
@@ -294,7 +312,8 @@ def _held_margins(blocks: DataFrame, spec: Spec, weights: np.ndarray) -> tuple[n
             margin = _row_sums(shared.value[buckets], sizes)
             yield pa.record_batch([pa.array(margin[held]), pa.array(label[held].astype(float))], ["margin", "label"])
 
-    got = blocks.mapInArrow(run, "margin double, label double").toArrow()
+    with _batches_of(blocks.sparkSession, BLOCKS_AT_ONCE):
+        got = blocks.mapInArrow(run, "margin double, label double").toArrow()
     return got["margin"].to_numpy(), got["label"].to_numpy()
 
 

@@ -32,8 +32,8 @@ PIECES_PER_PARTITION = 32768
 #: Repacking goes on while a round saves at least one bin in this many of those it opened.
 LEAST_GAIN = 1000
 #: Stretches, and ids, remembered by a Python worker; beyond that all are dropped and learnt again.
-MEMO_ENTRIES = 1_000_000
-MEMO_IDS = 1 << 22
+MEMO_ENTRIES = 1 << 18
+MEMO_IDS = 1 << 21
 #: Words encoded as one text.
 WORDS_AT_ONCE = 4096
 
@@ -212,6 +212,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: i
                     [doc_id, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())],
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+        tk.tidy()
 
     return rows.mapInArrow(encode, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {_PIECE}")
 

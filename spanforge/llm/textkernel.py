@@ -68,6 +68,11 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
         first = end
 
 
+def tidy() -> None:
+    """Give memory that Arrow holds for reuse back to the system; a worker's next task may be of another stage."""
+    pa.default_memory_pool().release_unused()
+
+
 def lower(data: np.ndarray) -> np.ndarray:
     """A-Z lower-cased, every other byte as it is."""
     return _LOWER[data]
