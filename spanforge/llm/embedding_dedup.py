@@ -52,6 +52,7 @@ def _distance2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)  # squares of tiny or huge numbers stay numbers
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 

@@ -232,6 +232,8 @@ def test_embedding_links(spark):
     assert embedding_dedup.link_vectors(df.limit(0)).count() == 0
     twice = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert sorted((r.n_links, r.component_id) for r in embedding_dedup.link_vectors(twice).collect()) == [(2, 1)] * 3
+    scaled = spark.createDataFrame([(1, [1e-300, 2e-300]), (2, [1e300, 2e300]), (3, [2.0, -1.0])], "vec_id long, embedding array<double>")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.link_vectors(scaled).collect()) == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]
 
 
 # 4 PII
