@@ -30,6 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[sc]
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """The address of a new folder in shared storage, for files that tasks write; ``release`` deletes it like a table."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to shared storage and return the table read back."""
     spark = df.sparkSession
