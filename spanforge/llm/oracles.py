@@ -80,4 +80,13 @@ r AS (SELECT *, sum(size) OVER w AS upto, sum(size) OVER () AS total, row_number
 s AS (SELECT *, least(39, (40 * (2 * upto - size)) // (2 * total))::INT AS shard FROM r)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, nth - min(nth) OVER (PARTITION BY shard) AS slot, NULL::INT AS grown_shard FROM s"""
 
-ORACLE_SQL = {"op2_mix": MIX, "op3_embedding": EMBEDDING, "op5_jaccard": JACCARD, "op6_suffix_dedup": REPEATS, "op10_shard": SHARD}
+#: Equal payloads by themselves; the digest's hexadecimal in groups of forty bits, eight digits of base 32 each.
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html),
+d AS (SELECT page_id, html, first, sha1(html) AS hex FROM p JOIN f USING (html))
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(((('0x' || substr(hex, 10 * (k // 8) + 1, 10))::BIGINT >> (35 - 5 * (k % 8))) & 31) + 1)::INT]), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d"""
+
+ORACLE_SQL = {"op2_mix": MIX, "op3_embedding": EMBEDDING, "op5_jaccard": JACCARD, "op6_suffix_dedup": REPEATS, "op10_shard": SHARD, "op12_warc": WARC}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import embedding_dedup, language_model, mixing, ngram_join, packing, pii, quality, sharding, suffix_dedup, toxicity
+from spanforge.llm import embedding_dedup, language_model, mixing, ngram_join, packing, periodic, pii, quality, sharding, suffix_dedup, toxicity, warc, whitening
 from spanforge.llm.oracles import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "PUBLIC_KEY", "QUERIES"]
@@ -62,7 +62,19 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_table(spark, sf_dir, "documents"))
 
 
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(_table(spark, sf_dir, "pages")).drop("target_uri")
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.summarise(periodic.detect(_table(spark, sf_dir, "documents"), planted=True, digest=True))
+
+
 QUERIES = {
     query.__name__: query
-    for query in (op1_pack, op2_mix, op3_embedding, op4_pii, op5_jaccard, op6_suffix_dedup, op7_lm, op8_toxicity, op9_quality, op10_shard)
+    for query in (op1_pack, op2_mix, op3_embedding, op4_pii, op5_jaccard, op6_suffix_dedup, op7_lm, op8_toxicity, op9_quality, op10_shard, op11_whiten, op12_warc, op13_periodic)
 }
