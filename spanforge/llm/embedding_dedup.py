@@ -103,33 +103,8 @@ def _link_tile(tile: pd.DataFrame, spin: np.ndarray, edges: list[tuple[int, int]
     return pd.DataFrame({"node": names[told], "root": names[label[told]], "n_links": links[told]})
 
 
-def link_vectors(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """One row per input row: vec_id, n_links, component_id, kept.
-
-    Vectors that are null, empty, zero, of another length than most, or hold a null or
-    non-finite number link with nothing and are their own component.  Repeated rows and
-    equal vectors link with each other.  Null ids come out with a null component unless
-    linked.  Other columns are ignored; an empty table gives an empty result.
-    """
-    x = F.col("vector")
-    kind = "float" if vectors.schema[vector_col].dataType.elementType.simpleString() == "float" else "double"
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("vector"))
-    finite = F.expr("forall(vector, v -> v is not null and not isnan(v) and abs(v) < double('infinity'))")
-    usable = x.isNotNull() & finite & F.exists(x, lambda v: v != F.lit(0).cast(kind))
-    # -0.0 is 0.0: equal vectors must be one key.
-    rows = materialize(
-        rows.withColumn("vector", F.when(usable, F.transform(x, lambda v: v + F.lit(0).cast(kind)))).withColumn("node", F.when(F.col("vector").isNotNull(), F.xxhash64("vector", F.size("vector")))),
-        "embed-rows",
-    )
-    sized = rows.filter("node is not null").groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if sized is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = sized["dim"]
-    nodes = materialize(
-        rows.filter(F.size("vector") == dim).groupBy("node").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("times"), F.first("vector").alias("vector")),
-        "embed-nodes",
-    )
-    n = nodes.count()
+def _links(nodes: DataFrame, n: int, dim: int, kind: str, cosine: float, blocks: int) -> DataFrame:
+    """(node, root, n_links) of the links among ``n`` distinct vectors (node, times, vector) of one length."""
     spin, edges = rotation(dim), block_edges(dim, blocks)
     budget = 2.0 * (1.0 - cosine)
     wanted = int(min(MAX_PIVOTS, max(MIN_PIVOTS, PIVOT_SCALE * n**0.5)))
@@ -187,12 +162,39 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCK
         .withColumn("res_tile", F.expr("if(resident, mine, other)")).withColumn("vis_tile", F.expr("if(resident, other, mine)"))
         .drop("mine", "other", "res_tiles", "vis_tiles")
     )
-    found = materialize(
+    return materialize(
         tiles.groupBy("block", "cell", "res_tile", "vis_tile").applyInPandas(
             lambda group: _link_tile(group, spin, edges, budget, cosine), "node long, root long, n_links long"
         ),
         "embed-links",
     )
+
+
+def link_vectors(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """One row per input row: vec_id, n_links, component_id, kept.
+
+    Vectors that are null, empty, zero, or hold a null or non-finite number link with
+    nothing and are their own component; vectors of each length are compared among
+    themselves, one join per length.  Repeated rows and equal vectors link with each other.  Null ids come out with a null component unless
+    linked.  Other columns are ignored; an empty table gives an empty result.
+    """
+    x = F.col("vector")
+    kind = "float" if vectors.schema[vector_col].dataType.elementType.simpleString() == "float" else "double"
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("vector"))
+    finite = F.expr("forall(vector, v -> v is not null and not isnan(v) and abs(v) < double('infinity'))")
+    usable = x.isNotNull() & finite & F.exists(x, lambda v: v != F.lit(0).cast(kind))
+    # -0.0 is 0.0: equal vectors must be one key.
+    rows = materialize(
+        rows.withColumn("vector", F.when(usable, F.transform(x, lambda v: v + F.lit(0).cast(kind)))).withColumn("node", F.when(F.col("vector").isNotNull(), F.xxhash64("vector", F.size("vector")))),
+        "embed-rows",
+    )
+    nodes = materialize(
+        rows.filter("node is not null").groupBy("node").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("times"), F.first("vector").alias("vector")),
+        "embed-nodes",
+    )
+    found = vectors.sparkSession.createDataFrame([], "node long, root long, n_links long")
+    for size in nodes.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy("dim").collect():
+        found = found.unionByName(_links(nodes.filter(F.size("vector") == size["dim"]), size["n"], size["dim"], kind, cosine, blocks))
     counts = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     comps = components(found.filter("node <> root"), "node", "root")
     named = (

@@ -47,7 +47,8 @@ class Spec:
     #: Documented bound of the labelled sample.
     max_rows: int = 20_000
     l2: float = 4.0
-    steps: int = 12
+    #: Evaluations after which the optimiser gives up; it ends when a step gains too little, after 25 to 40.
+    steps: int = 100
 
 
 @dataclass(frozen=True)

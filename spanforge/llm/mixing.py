@@ -105,22 +105,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Rows that agree in id, text and source are drawn together: one of them stands for
     the copies of all.
     """
-    text_key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    keyed = docs.select(id_col, text_col, source_col, text_key.alias("text_key"))
-    drawn = copies_by_source(keyed, id_col, text_col, source_col, seed, keep=("text_key",))
+    # The caller's columns travel as one, so their names meet none of ours.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    whole = docs.select(F.col(id_col).alias("row_id"), F.col(source_col).alias("row_source"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row_key"), F.col(text_col).alias("row_text"), row)
+    drawn = copies_by_source(whole.drop("row"), "row_id", "row_text", "row_source", seed, keep=("row_key",))
     totals = materialize(
-        drawn.groupBy("doc_id", "source", "kept_text_key").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).filter("copies > 0"),
+        drawn.groupBy("doc_id", "source", "kept_row_key").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).filter("copies > 0"),
         "mix-copies",
     )
     size = totals.count()
 
     def with_copies(part: DataFrame) -> DataFrame:
         part = sized_broadcast(part.toDF("m_id", "m_source", "m_key", "m_copies", "m_rows"), size)
-        on = (text_key == F.col("m_key")) & docs[id_col].eqNullSafe(F.col("m_id")) & docs[source_col].eqNullSafe(F.col("m_source"))
-        return docs.join(part, on)
+        on = (F.col("row_key") == F.col("m_key")) & F.col("row_id").eqNullSafe(F.col("m_id")) & F.col("row_source").eqNullSafe(F.col("m_source"))
+        return whole.drop("row_text").join(part, on)
 
     single = with_copies(totals.filter("rows = 1"))
     several = with_copies(totals.filter("rows > 1")).dropDuplicates(["m_id", "m_source", "m_key"])
-    return (
-        single.unionByName(several).withColumn("m_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
-    )
+    each = single.unionByName(several).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m_copies"))).alias("nth"))
+    return each.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

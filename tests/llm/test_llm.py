@@ -179,7 +179,7 @@ def test_queries_match_their_sql(spark):
     from spanforge.llm import queries
 
     sf, con = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "pages"):
         con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         got, want = queries.QUERIES[name](spark, sf), con.sql(sql)
