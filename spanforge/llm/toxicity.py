@@ -24,19 +24,28 @@ def train(docs: DataFrame, labels: DataFrame, spec: linear.Spec = SPEC) -> linea
 
 
 def _scored(docs: DataFrame, model: linear.Model, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
-    """``keep`` columns of every row as kept_<name>, plus text_score."""
+    """``keep`` columns of every row as kept_<name>, plus text_score.
+
+    Texts that are kept go to Python once, and rows come back a slice at a time.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*[F.col(c).alias(f"kept_{c}") for c in keep], F.coalesce(F.col(text_col), F.lit("")).alias("scored_text"))
-    schema = rows.drop("scored_text").schema.add("text_score", "double")
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"kept_{c}") for c in keep])
+    if text_col not in keep:
+        rows = docs.select(*[F.col(f"`{c}`").alias(f"kept_{c}") for c in keep], F.col(text_col).alias("scored_text"))
+    text, out = f"kept_{text_col}" if text_col in keep else "scored_text", rows.drop("scored_text")
+    names = out.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = linear.Scorer(shared.value)
         for batch in batches:
-            parts = [scorer(data, bounds) for _, _, data, bounds in tk.slices(batch.column("scored_text"), linear.SLICE)]
-            column = pa.array(np.concatenate(parts) if parts else np.zeros(0))
-            yield pa.record_batch([*batch.columns[:-1], column], [*batch.schema.names[:-1], "text_score"])
-
-    return rows.mapInArrow(run, schema)
+            kept = batch.select(names)
+            for first, end, data, bounds in tk.slices(batch.column(text), linear.SLICE):
+                part = kept.slice(first, end - first)
+                yield pa.record_batch([*part.columns, pa.array(scorer(data, bounds))], [*part.schema.names, "text_score"])
+            del batch, kept
+            tk.tidy()
+
+    return rows.mapInArrow(run, out.schema.add("text_score", "double"))
 
 
 def score(docs: DataFrame, model: linear.Model, keep: tuple[str, ...] = (), text_col: str = "text") -> DataFrame:
