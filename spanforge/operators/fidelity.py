@@ -63,7 +63,7 @@ def value_counts(stats: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFr
 
 def label_counts(nodes: DataFrame) -> DataFrame:
     """(group, metric, value, n) of services, operations and their pairs."""
-    pair = F.concat_ws("|", "service_name", "operation_name")
+    pair = graphs.node_label()
     c = nodes.groupBy(*GROUP, "service_name", "operation_name").agg(F.count(F.lit(1)).alias("n")).withColumn("pair", pair)
     long = c.select(*GROUP, "n", F.expr("stack(3, 'service', service_name, 'operation', operation_name, 'service_operation', pair) as (metric, value)"))
     return materialize(long.groupBy(*GROUP, "metric", "value").agg(F.sum("n").alias("n")), "fidelity-labels")
@@ -87,12 +87,22 @@ def kernel_similarity(stats: DataFrame, generators: DataFrame, seed: int, cap: i
     return distributions.mmd_similarity(rows, CELL, list(graphs.FEATURES), capped)
 
 
-def compare(stats: DataFrame, nodes: DataFrame, edges: DataFrame, seed: int, cap: int = MMD_CAP) -> DataFrame:
+def cap_graphs(stats: DataFrame, tables: list[DataFrame], most: int, seed: int) -> list[DataFrame]:
+    """``stats`` and ``tables`` with at most ``most`` graphs of each system, corpus, generator and class, by seeded draw."""
+    group = stats.select("graph_id", "system", "corpus", F.coalesce("generator", F.lit("")).alias("made_by"), "label")
+    kept = materialize(sampling.take_count(group, ["system", "corpus", "made_by", "label"], most, seed, "max-graphs").select("graph_id"), "fidelity-kept")
+    return [t.join(kept, "graph_id", "left_semi") for t in (stats, *tables)]
+
+
+def compare(stats: DataFrame, nodes: DataFrame, edges: DataFrame, seed: int, cap: int = MMD_CAP, max_graphs: int | None = None) -> DataFrame:
     """The full comparison row of every cell.
 
     ``stats`` (one row per graph) and ``nodes`` carry system, corpus (A real, B synthetic),
-    generator (null for real graphs) and label (1 abnormal).
+    generator (null for real graphs) and label (1 abnormal).  ``max_graphs`` caps the graphs
+    of each side of a class before anything is compared.
     """
+    if max_graphs is not None:
+        stats, nodes, edges = cap_graphs(stats, [nodes, edges], max_graphs, seed)
     gens = generators_of(stats)
     ecdf = distributions.ecdf_distances(cell_counts(value_counts(stats, nodes, edges), gens), [*CELL, "metric"])
     labels = cell_counts(label_counts(nodes), gens)

@@ -7,16 +7,25 @@ drawing a row is an equi-join on the index.
 
 from __future__ import annotations
 
+from collections import deque
+from dataclasses import dataclass
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions.draws import SPACE, draw
-from spanforge.operators.metrics import duration_clip
-from spanforge.operators.sampling import indexed, nearest_key
+from spanforge.operators.graphs import filter_by_size
+from spanforge.operators.metrics import duration_clip, duration_stats
+from spanforge.operators.sampling import edge_counts_for, indexed, nearest_key, stratified_sizes
 from spanforge.sources.shared import materialize
 
 #: Up to this many nodes all ordered pairs of a graph are listed.
 PAIR_NODES = 64
+#: The largest weight of a service's ops in an alias table.
+WEIGHT = 1 << 30
+#: A table of at most so many rows, counted, is broadcast.
+BROADCAST_ROWS = 400_000
 
 
 def blank_graphs(pool: DataFrame, n_graphs: int, seed: int) -> DataFrame:
@@ -178,12 +187,46 @@ def allowed_pairs(rows: DataFrame, fit: DataFrame, columns: tuple[str, str] = ("
     return rows.join(fit.select(*columns).distinct(), list(columns), "left_semi")
 
 
-def gumbel_ops(rows: DataFrame, nodes: DataFrame, temperature: float, seed: int) -> DataFrame:
-    """An op per (gen_id, node_idx, service_name), drawn from counts^(1/T) among the service's valid ops."""
+def alias_tables(nodes: DataFrame, temperature: float) -> DataFrame:
+    """(service_name, slots, slot, operation_name, other, cut): ops of a service drawn in proportion to counts^(1/T) in one step.
+
+    A slot, each as likely, gives its own op where a 32-bit draw is below ``cut`` and the
+    ``other`` one else.  Weights are whole numbers, so the tables are exact and the same
+    everywhere.  A group is one service's list of ops.
+    """
     counts = nodes.groupBy("service_name", "operation_name").agg(F.count(F.lit(1)).alias("n"))
-    u = (draw(seed, "gumbel", F.col("gen_id"), F.col("node_idx"), F.col("operation_name")) + 0.5) / SPACE
-    scored = rows.join(counts, "service_name").withColumn("score", F.log("n") / temperature - F.log(-F.log(u)))
-    return scored.groupBy("gen_id", "node_idx", "service_name").agg(F.max_by("operation_name", F.struct("score", "operation_name")).alias("operation_name"))
+    most = counts.groupBy("service_name").agg(F.max("n").alias("most"))
+    share = F.exp((F.log("n") - F.log("most")) / temperature)
+    weights = counts.join(most, "service_name").select("service_name", "operation_name", F.greatest(F.round(share * WEIGHT), F.lit(1)).cast("long").alias("weight"))
+
+    def build(ops: pd.DataFrame) -> pd.DataFrame:
+        ops = ops.sort_values("operation_name", ignore_index=True)
+        n, total = len(ops), int(ops["weight"].sum())
+        left = [int(w) * n for w in ops["weight"]]
+        other, cut = list(range(n)), [total] * n
+        small, large = deque(k for k in range(n) if left[k] < total), deque(k for k in range(n) if left[k] >= total)
+        while small and large:
+            poor, rich = small.popleft(), large[0]
+            other[poor], cut[poor] = rich, left[poor]
+            left[rich] -= total - left[poor]
+            if left[rich] < total:
+                small.append(large.popleft())
+        names = ops["operation_name"]
+        return pd.DataFrame({"service_name": ops["service_name"], "slots": n, "slot": range(n), "operation_name": names, "other": names[other].to_numpy(), "cut": [c * SPACE // total for c in cut]})
+
+    return weights.groupBy("service_name").applyInPandas(build, "service_name string, slots long, slot long, operation_name string, other string, cut long")
+
+
+def label_draws(rows: DataFrame, nodes: DataFrame, temperature: float, seed: int) -> DataFrame:
+    """An op per (gen_id, node_idx, service_name), drawn from counts^(1/T) among the service's valid ops: one slot of an alias table a node."""
+    table = materialize(alias_tables(nodes, temperature), "generate-alias")
+    sizes = table.filter("slot = 0").select("service_name", "slots")
+    if table.count() <= BROADCAST_ROWS:
+        table, sizes = F.broadcast(table), F.broadcast(sizes)
+    g, d = F.col("gen_id"), F.col("node_idx")
+    asked = rows.join(sizes, "service_name").withColumn("slot", draw(seed, "op-slot", g, d) % F.col("slots")).drop("slots")
+    op = F.when(draw(seed, "op-cut", g, d) < F.col("cut"), F.col("operation_name")).otherwise(F.col("other"))
+    return asked.join(table, ["service_name", "slot"]).select("gen_id", "node_idx", "service_name", op.alias("operation_name"))
 
 
 def noisy_durations(rows: DataFrame, stats: DataFrame, seed: int) -> DataFrame:
@@ -199,3 +242,51 @@ def generation_summary(graphs: DataFrame, edges: DataFrame) -> DataFrame:
     return graphs.join(per, "gen_id", "left").agg(
         F.count(F.lit(1)).alias("graphs"), F.avg("num_nodes").alias("mean_nodes"), F.max("num_nodes").alias("max_nodes"), F.avg(F.coalesce("e", F.lit(0))).alias("mean_edges")
     )
+
+
+@dataclass(frozen=True)
+class CorpusPlan:
+    """What a generated corpus looks like."""
+
+    n_graphs: int
+    label: int
+    seed: int = 42
+    #: Real graphs outside these sizes teach nothing.
+    least_nodes: int = 1
+    most_nodes: int | None = None
+    #: Size ranges with equal shares; without them sizes are drawn as they come.
+    strata: tuple[tuple[int, int | None], ...] | None = None
+    temperature: float = 1.0
+    #: tree, chain, dag, reuse (patterns of real graphs) or counts (as many random edges as real graphs of that size).
+    edges: str = "tree"
+
+
+def generate_corpus(graphs: DataFrame, nodes: DataFrame, edges: DataFrame, plan: CorpusPlan) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(graphs, nodes, edges) of a synthetic corpus after real graphs (graph_id, num_nodes, num_edges), their nodes and edges.
+
+    Sizes, services, ops at a temperature, normal log durations and edges, each by seeded
+    draws; gen_id names a graph.
+    """
+    known = filter_by_size(graphs, plan.least_nodes, plan.most_nodes)
+    taught, wired = nodes.join(known.select("graph_id"), "graph_id", "left_semi"), edges.join(known.select("graph_id"), "graph_id", "left_semi")
+    if plan.strata:
+        made = stratified_sizes(known, list(plan.strata), plan.n_graphs, plan.seed).select(F.col("draw_id").alias("gen_id"), "num_nodes")
+    else:
+        made = blank_graphs(known.select("graph_id", "num_nodes"), plan.n_graphs, plan.seed).withColumn("gen_id", F.col("gen_id").cast("string"))
+    made = materialize(made, "corpus-sizes")
+    blank = blank_nodes(made)
+    services = empirical_nodes(blank, taught, plan.seed).select("gen_id", "node_idx", "service_name")
+    labelled = noisy_durations(label_draws(services, taught, plan.temperature, plan.seed), duration_stats(taught), plan.seed)
+    if plan.edges == "tree":
+        joined = tree_edges(blank, plan.seed)
+    elif plan.edges == "chain":
+        joined = chain_edges(blank)
+    elif plan.edges == "dag":
+        joined = dag_edges(blank, plan.seed)
+    elif plan.edges == "reuse":
+        joined = reuse_edges(made, known, wired, plan.seed)
+    elif plan.edges == "counts":
+        joined = random_edges(made, edge_counts_for(made, known, plan.seed), plan.seed)
+    else:
+        raise ValueError(f"no edges are made by {plan.edges}")
+    return made.withColumn("label", F.lit(plan.label)), labelled, joined

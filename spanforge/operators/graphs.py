@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanforge.operators.ranking import running
+
 #: Parent texts that mean "no parent" (fixed values).
 ROOT_PARENTS = ("", "root", "none", "nan")
 FEATURES = (
@@ -47,9 +49,9 @@ def parent_service(nodes: DataFrame) -> DataFrame:
 
 
 def vocabulary(frames: list[DataFrame], column: str) -> DataFrame:
-    """(name, id): dense 0-based ids of the sorted distinct names; one window over the distinct set."""
+    """(name, id): dense 0-based ids of the sorted distinct names, by running counts over ranges of names."""
     names = reduce(DataFrame.union, [f.select(F.col(column).alias("name")) for f in frames]).distinct()
-    return names.withColumn("id", F.row_number().over(Window.orderBy("name")) - 1)
+    return running(names.withColumn("n", F.lit(1)), [], "name", ["n"]).select("name", (F.col("n_upto") - 1).alias("id"))
 
 
 def encode(nodes: DataFrame, services: DataFrame, ops: DataFrame) -> DataFrame:
@@ -89,14 +91,18 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def node_label() -> Column:
+    """(service, op) as a JSON array: names may hold any character, and a missing one is not a name."""
+    return F.to_json(F.array("service_name", "operation_name"))
+
+
 def edge_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph_id, edge_label): (service, op) of both ends."""
-    label = F.concat_ws("|", "service_name", "operation_name")
-    at = nodes.select("graph_id", "node_idx", label.alias("label"))
+    """(graph_id, edge_label): the node labels of both ends, as a JSON array of the two."""
+    at = nodes.select("graph_id", "node_idx", node_label().alias("label"))
     return (
         edges.join(at.select("graph_id", F.col("node_idx").alias("src"), F.col("label").alias("from_label")), ["graph_id", "src"])
         .join(at.select("graph_id", F.col("node_idx").alias("dst"), F.col("label").alias("to_label")), ["graph_id", "dst"])
-        .select("graph_id", F.concat_ws(">", "from_label", "to_label").alias("edge_label"))
+        .select("graph_id", F.concat(F.lit("["), "from_label", F.lit(","), "to_label", F.lit("]")).alias("edge_label"))
     )
 
 

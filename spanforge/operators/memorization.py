@@ -1,25 +1,21 @@
 """How close one corpus is to another: signatures, nearest set similarity, filtering.
 
-Graphs with equal sets are one kind, and only kinds are compared.  The nearest real kind of
-each synthetic one is found block against block by matrix products over shared tokens, and
-a block pair returns one number per synthetic kind, never pairs.  A threshold needs no such
-search: similar kinds share one of the rarest tokens of each.  The empty set has a token of
-its own.
+Graphs with equal sets are one kind, and only kinds are compared (``operators.nearest``).
+The empty set has a token of its own.  Labels are JSON texts of their parts, so names may
+hold any character.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.operators.nearest import greatest_similarity, reaching
 from spanforge.operators.ranking import running
 from spanforge.sources.shared import materialize
 
+#: No label looks like this: labels are JSON arrays.
 EMPTY = "<empty>"
-#: Kinds on a side of a block pair, and tokens multiplied at once.
-BLOCK_KINDS, TOKEN_COLUMNS = 2048, 4096
 #: Shares of edge labels and node labels in the combined similarity (fixed values).
 WEIGHTS = (0.7, 0.3)
 
@@ -59,56 +55,18 @@ def _distinct(kinds: DataFrame) -> DataFrame:
     return kinds.groupBy("kind").agg(*[F.first(c).alias(c) for c in sets])
 
 
-def _overlap(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Jaccard similarity of every set of ``a`` with every set of ``b``; sets are not empty."""
-    size_a, size_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    flat_a, flat_b = np.concatenate(a), np.concatenate(b)
-    shared = np.intersect1d(flat_a, flat_b)
-    both = np.zeros((len(a), len(b)), np.float32)
-    ends = []
-    for flat, size in ((flat_a, size_a), (flat_b, size_b)):
-        row, held = np.repeat(np.arange(len(size)), size), np.isin(flat, shared)
-        ends.append((row[held], np.searchsorted(shared, flat[held])))
-    for k in range(0, len(shared), TOKEN_COLUMNS):
-        sides = []
-        for (row, column), n in zip(ends, both.shape):
-            part = (column >= k) & (column < k + TOKEN_COLUMNS)
-            dense = np.zeros((n, min(TOKEN_COLUMNS, len(shared) - k)), np.float32)
-            dense[row[part], column[part] - k] = 1
-            sides.append(dense)
-        both += sides[0] @ sides[1].T
-    return both / (size_a[:, None] + size_b[None, :] - both.astype(np.float64))
-
-
 def nearest_similarity(synth: list[DataFrame], real: list[DataFrame], weights: tuple[float, ...]) -> DataFrame:
     """(graph_id, nearest): the greatest weighted sum of set similarities to any real graph, 0 without real graphs.
 
     ``synth`` and ``real`` are lists of (graph_id, token) tables, one for each weight.  Kinds
-    that occur on both sides are done at once; the others meet all real kinds in blocks.
+    that occur on both sides are done at once; the others are searched for by falling bounds.
     """
     s, r = materialize(_kinds(synth), "nearest-synthetic"), materialize(_distinct(_kinds(real)), "nearest-real")
     kinds = _distinct(s)
     same = kinds.join(r.select("kind"), "kind", "left_semi").select("kind", F.lit(float(sum(weights))).alias("nearest"))
     fresh = materialize(kinds.join(r.select("kind"), "kind", "left_anti"), "nearest-fresh")
-    n_blocks = {"s": max(1, -(-fresh.count() // BLOCK_KINDS)), "r": max(1, -(-r.count() // BLOCK_KINDS))}
-
-    def dealt(df: DataFrame, mine: str, others: str) -> DataFrame:
-        own = F.expr(f"cast(pmod(kind, {n_blocks[mine]}) as int)").alias(mine)
-        other = F.explode(F.expr(f"sequence(0, {n_blocks[others] - 1})")).alias(others)
-        return df.select("kind", *[f"set{k}" for k in range(len(weights))], own, other, F.lit(mine == "r").alias("real"))
-
-    def best(tile: pd.DataFrame) -> pd.DataFrame:
-        a, b = tile[~tile["real"]], tile[tile["real"]]
-        score = np.zeros((len(a), max(1, len(b))))
-        for k, w in enumerate(weights):
-            if len(a) and len(b):
-                score += w * _overlap(a[f"set{k}"].tolist(), b[f"set{k}"].tolist())
-        return pd.DataFrame({"kind": a["kind"], "nearest": score.max(axis=1)})
-
-    tiles = dealt(fresh, "s", "r").unionByName(dealt(r, "r", "s"))
-    found = tiles.groupBy("s", "r").applyInPandas(best, "kind long, nearest double")
-    nearest = same.unionByName(found).groupBy("kind").agg(F.max("nearest").alias("nearest"))
-    return materialize(s.select("graph_id", "kind").join(nearest, "kind").select("graph_id", "nearest"), "nearest")
+    nearest = same.unionByName(greatest_similarity(fresh, r, weights))
+    return s.select("graph_id", "kind").join(nearest, "kind").select("graph_id", "nearest")
 
 
 def nearest_jaccard(synth_sets: DataFrame, real_sets: DataFrame) -> DataFrame:
@@ -122,34 +80,11 @@ def combined_similarity(synth: tuple[DataFrame, DataFrame], real: tuple[DataFram
 
 
 def similar_graphs(synth: tuple[DataFrame, DataFrame], real: tuple[DataFrame, DataFrame], threshold: float, weights: tuple[float, float] = WEIGHTS) -> DataFrame:
-    """(graph_id,) of synthetic graphs whose combined similarity to some real graph reaches ``threshold``.
-
-    The edge sets alone must then be similar by t = (threshold - w_node) / w_edge, and two
-    such sets of sizes n, m share a token among the n - ceil(t n) + 1 rarest of each; those
-    few tokens are the join key, and whole sets decide.  ``t`` must be positive.
-    """
-    t = (threshold - weights[1]) / weights[0]
-    if t <= 0:
-        raise ValueError("a threshold the node labels can reach alone needs combined_similarity")
+    """(graph_id,) of synthetic graphs whose combined similarity to some real graph reaches ``threshold``, which is above 0."""
+    if threshold <= 0:
+        raise ValueError("every graph reaches a threshold of 0")
     s = materialize(_kinds(list(synth)), "similar-synthetic")
-    sides = {"s": materialize(_distinct(s), "similar-s"), "r": materialize(_distinct(_kinds(list(real))), "similar-r")}
-    tokens = {k: v.select("kind", F.size("set0").alias("n"), F.explode("set0").alias("token")) for k, v in sides.items()}
-    often = tokens["s"].select("token").unionAll(tokens["r"].select("token")).groupBy("token").agg(F.count(F.lit(1)).alias("often"))
-    prefix = {}
-    for side, rows in tokens.items():
-        place = F.row_number().over(Window.partitionBy("kind").orderBy("often", "token"))
-        reach = F.col("n") - F.ceil(F.lit(t - 1e-9) * F.col("n")) + 1
-        prefix[side] = rows.join(often, "token").withColumn("place", place).filter(F.col("place") <= reach).select("token", F.col("kind").alias(side), F.col("n").alias(f"n_{side}"))
-    small, large = F.least("n_s", "n_r"), F.greatest("n_s", "n_r")
-    pairs = prefix["s"].join(prefix["r"], "token").filter(small >= F.lit(t - 1e-9) * large).select("s", "r").distinct()
-    for side, rows in sides.items():
-        pairs = pairs.join(rows.select(F.col("kind").alias(side), *[F.col(f"set{k}").alias(f"{side}{k}") for k in (0, 1)]), side)
-
-    def jaccard(k: int) -> Column:
-        both = F.size(F.array_intersect(f"s{k}", f"r{k}"))
-        return both / (F.size(f"s{k}") + F.size(f"r{k}") - both)
-
-    hits = pairs.filter(weights[0] * jaccard(0) + weights[1] * jaccard(1) >= threshold).select(F.col("s").alias("kind")).distinct()
+    hits = reaching(_distinct(s), materialize(_distinct(_kinds(list(real))), "similar-real"), threshold, weights)
     return s.select("graph_id", "kind").join(hits, "kind", "left_semi").select("graph_id")
 
 
@@ -174,6 +109,48 @@ def report(dups: DataFrame, nearest: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def report_by(graphs: DataFrame, node_labels: DataFrame, edge_labels: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """One row per ``keys`` (system and class, say): graphs of both corpora, unique, duplicate, novel and near rates, mean nearest, and both coverages.
+
+    ``graphs``: graph_id, corpus (A real, B synthetic), keys.  Labels carry their cell, so
+    graphs of different cells share nothing and one search serves all.  A cell without
+    graphs of one corpus has rates of 0.
+    """
+    of = materialize(graphs.select("graph_id", "corpus", *keys, F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("cell")), "memory-graphs")
+
+    def keyed(labels: DataFrame, column: str) -> DataFrame:
+        items = labels.select("graph_id", F.col(column).alias("item")).join(of.select("graph_id", "corpus", "cell"), "graph_id")
+        return items.select("graph_id", "corpus", "cell", F.to_json(F.array("cell", "item")).alias("token"))
+
+    items = {"node": materialize(keyed(node_labels, "label"), "memory-nodes"), "edge": materialize(keyed(edge_labels, "edge_label"), "memory-edges")}
+    sets = []
+    for side in "BA":
+        mine = of.filter(F.col("corpus") == side)
+        made = items["edge"].filter(F.col("corpus") == side).select("graph_id", "token").distinct()
+        sets.append(mine.select("graph_id", "cell").join(made, "graph_id", "left").select("graph_id", F.coalesce("token", F.concat(F.lit(EMPTY), "cell")).alias("token")))
+    nearest = nearest_jaccard(*sets)
+    sigs = signatures(of, items["node"].withColumnRenamed("token", "label"), items["edge"].withColumnRenamed("token", "edge_label"))
+    sigs = sigs.join(of.select("graph_id", "corpus", "cell"), "graph_id").select("graph_id", "corpus", F.md5(F.concat("cell", "sig")).alias("sig"))
+    dups = duplicates(sigs.filter("corpus = 'B'"), sigs.filter("corpus = 'A'"))
+    synth = F.col("corpus") == "B"
+    rows = of.join(dups, "graph_id", "left").join(nearest, "graph_id", "left")
+    n = F.nullif(F.count_if(synth), F.lit(0))
+
+    def rate(hits: Column) -> Column:
+        return F.coalesce(hits / n, F.lit(0.0))
+
+    out = rows.groupBy("cell").agg(
+        *[F.first(k).alias(k) for k in keys], F.count_if(~synth).alias("real_graphs"), F.count_if(synth).alias("synthetic_graphs"),
+        rate(F.countDistinct("sig")).alias("unique_rate"), rate(F.count_if("exact")).alias("exact_rate"), rate(F.count_if(~F.col("exact"))).alias("novel_rate"),
+        rate(F.count_if(F.col("nearest") >= threshold)).alias("near_rate"), rate(F.sum("nearest")).alias("mean_nearest"),
+    )
+    for name, table in items.items():
+        seen = table.groupBy("cell", "token").agg(F.max((F.col("corpus") == "A").cast("int")).alias("real"), F.max((F.col("corpus") == "B").cast("int")).alias("made"))
+        share = seen.filter("real = 1").groupBy("cell").agg(F.avg(F.col("made").cast("double")).alias(f"{name}_coverage"))
+        out = out.join(share, "cell", "left").withColumn(f"{name}_coverage", F.coalesce(f"{name}_coverage", F.lit(0.0)))
+    return out.drop("cell")
+
+
 def coverage(synth_items: DataFrame, real_items: DataFrame, item: str) -> DataFrame:
     """Share of distinct real items that the synthetic corpus has."""
     seen = synth_items.select(item).distinct().withColumn("hit", F.lit(1))

@@ -135,7 +135,7 @@ class Traces:
 
     @cached_property
     def node_labels(self) -> DataFrame:
-        return self.nodes.select("graph_id", "corpus", F.concat_ws("|", "service_name", "operation_name").alias("label"))
+        return self.nodes.select("graph_id", "corpus", G.node_label().alias("label"))
 
     @cached_property
     def edge_labels(self) -> DataFrame:
@@ -198,8 +198,8 @@ stats AS (
          avg(CASE WHEN outdegree = 0 THEN 1.0 ELSE 0.0 END) AS leaf_share, avg(duration) AS mean_duration, stddev_pop(duration) AS std_duration,
          count(DISTINCT service_name) AS n_services, count(DISTINCT operation_name) AS n_ops
   FROM spans s JOIN deg d USING (graph_id, node_idx) GROUP BY s.graph_id),
-nlabels AS (SELECT graph_id, corpus, node_idx, service_name || '|' || operation_name AS label FROM spans),
+nlabels AS (SELECT graph_id, corpus, node_idx, to_json([service_name, operation_name])::VARCHAR AS label FROM spans),
 elabels AS (
-  SELECT e.graph_id, a.corpus, a.label || '>' || b.label AS edge_label FROM edges e
+  SELECT e.graph_id, a.corpus, '[' || a.label || ',' || b.label || ']' AS edge_label FROM edges e
   JOIN nlabels a ON a.graph_id = e.graph_id AND a.node_idx = e.src JOIN nlabels b ON b.graph_id = e.graph_id AND b.node_idx = e.dst)
 """

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions.draws import draw
 from spanforge.operators import classify, corpora, distributions, edges, fidelity, generate, graphs, labels, memorization, metrics, sampling
-from spanforge.plans.fixtures import FIXTURE_SQL, SEED, Traces, draw_sql, traces
-from spanforge.sources.shared import materialize
-from spanforge.sources.spans import spans_from_traces
+from spanforge.plans.fixtures import FIXTURE_SQL, GENERATORS, SEED, Traces, draw_sql, traces
+from spanforge.sources import spans
+from spanforge.sources.shared import folder, materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -216,7 +216,7 @@ def wasserstein_metrics(t: Traces) -> DataFrame:
 
 
 JS_SQL = f""", bags AS (
-  SELECT {_IN_CELL}, unnest([('service', service_name), ('operation', operation_name), ('service_operation', service_name || '|' || operation_name)]) AS b FROM spans JOIN cells USING (graph_id)),
+  SELECT {_IN_CELL}, unnest([('service', service_name), ('operation', operation_name), ('service_operation', to_json([service_name, operation_name])::VARCHAR)]) AS b FROM spans JOIN cells USING (graph_id)),
 bc AS (SELECT {CELL}, b[1] AS metric, b[2] AS value, count(*) FILTER (side = 'A') AS na, count(*) FILTER (side = 'B') AS nb FROM bags GROUP BY ALL),
 pq AS (SELECT {CELL}, metric, (coalesce(na / nullif(sum(na) OVER g, 0), 0) + 1e-12) / (CASE WHEN sum(na) OVER g > 0 THEN 1 ELSE 0 END + 1e-12 * count(*) OVER g) AS p,
   (coalesce(nb / nullif(sum(nb) OVER g, 0), 0) + 1e-12) / (CASE WHEN sum(nb) OVER g > 0 THEN 1 ELSE 0 END + 1e-12 * count(*) OVER g) AS q FROM bc WINDOW g AS (PARTITION BY {CELL}, metric)),
@@ -299,6 +299,17 @@ def fidelity_rollup(t: Traces) -> DataFrame:
     return rounded(fidelity.compare(t.stats, t.grouped_nodes, t.edges, SEED).select(*fidelity.CELL, *fidelity.MEANS), *fidelity.MEANS)
 
 
+CAPPED_SQL = COMPARE_SQL.replace("FROM graphs g JOIN gens x", f"""FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY system, corpus, generator, label
+  ORDER BY {draw_sql("max-graphs", "graph_id")}, graph_id) AS mx FROM graphs) WHERE mx <= 60) g JOIN gens x""")
+
+
+@query(CAPPED_SQL)
+def fidelity_capped(t: Traces) -> DataFrame:
+    """At most 60 graphs of each side of a class."""
+    rows = fidelity.compare(t.stats, t.grouped_nodes, t.edges, SEED, max_graphs=60)
+    return rounded(rows, *[c for c in rows.columns if c not in (*fidelity.CELL, "real_graphs", "synthetic_graphs")])
+
+
 # Memorization
 
 SETS_SQL = """, es AS (SELECT g.graph_id, g.corpus, coalesce(l.edge_label, '<empty>') AS token FROM graphs g LEFT JOIN (SELECT DISTINCT graph_id, edge_label FROM elabels) l USING (graph_id)),
@@ -316,22 +327,25 @@ dups AS (SELECT graph_id, sig, sig IN (SELECT sig FROM sigs WHERE corpus = 'A')
 """
 
 
-def _memory(t: Traces):
-    """(duplicates, nearest by edge labels) of corpus B against A."""
-    (ga, na, ea), (gb, nb, eb) = t.side("A"), t.side("B")
-    dups = memorization.duplicates(memorization.signatures(gb, nb, eb), memorization.signatures(ga, na, ea))
-    near = memorization.nearest_jaccard(memorization.token_sets(gb, eb, "edge_label"), memorization.token_sets(ga, ea, "edge_label"))
-    return dups, near
+def _duplicates(t: Traces) -> DataFrame:
+    """Corpus B against A by signature; a plan, nothing is written."""
+    return memorization.duplicates(memorization.signatures(*t.side("B")), memorization.signatures(*t.side("A")))
+
+
+def _nearest(t: Traces) -> DataFrame:
+    """Corpus B against A by edge labels."""
+    (ga, _, ea), (gb, _, eb) = t.side("A"), t.side("B")
+    return memorization.nearest_jaccard(memorization.token_sets(gb, eb, "edge_label"), memorization.token_sets(ga, ea, "edge_label"))
 
 
 @query(SETS_SQL + "SELECT graph_id, exact FROM dups")
 def signature_dups(t: Traces) -> DataFrame:
-    return _memory(t)[0].select("graph_id", "exact")
+    return _duplicates(t).select("graph_id", "exact")
 
 
 @query(SETS_SQL + "SELECT graph_id, round(nearest, 6) AS nearest FROM near")
 def nearest_jaccard(t: Traces) -> DataFrame:
-    return rounded(_memory(t)[1], "nearest")
+    return rounded(_nearest(t), "nearest")
 
 
 COMBINED_SQL = """, both0 AS (SELECT coalesce(ej.g, nj.g) AS g, max(0.7 * coalesce(ej.j, 0) + 0.3 * coalesce(nj.j, 0)) AS nearest FROM ej FULL JOIN nj ON ej.g = nj.g AND ej.r = nj.r GROUP BY 1),
@@ -356,17 +370,17 @@ def combined_similarity(t: Traces) -> DataFrame:
 @query(SETS_SQL + """SELECT count(*) AS graphs, round(count(DISTINCT sig) / count(*), 6) AS unique_rate, round(avg(exact::INT), 6) AS exact_rate, round(1 - avg(exact::INT), 6) AS novel_rate,
   round(avg((nearest >= 0.9)::INT), 6) AS near_rate, round(avg(nearest), 6) AS mean_nearest FROM dups JOIN near USING (graph_id)""")
 def memorization_report(t: Traces) -> DataFrame:
-    return rounded(memorization.report(*_memory(t), 0.9), "unique_rate", "exact_rate", "novel_rate", "near_rate", "mean_nearest")
+    return rounded(memorization.report(_duplicates(t), _nearest(t), 0.9), "unique_rate", "exact_rate", "novel_rate", "near_rate", "mean_nearest")
 
 
 @query(SETS_SQL + COMBINED_SQL + "SELECT graph_id, CASE WHEN exact THEN 'exact' WHEN nearest >= 0.95 THEN 'near' ELSE 'kept' END AS status FROM dups JOIN comb USING (graph_id)")
 def filter_corpus(t: Traces) -> DataFrame:
-    return memorization.filter_corpus(_memory(t)[0], memorization.similar_graphs(*_sets(t), 0.95))
+    return memorization.filter_corpus(_duplicates(t), memorization.similar_graphs(*_sets(t), 0.95))
 
 
 @query(SETS_SQL + "SELECT graph_id, CASE WHEN exact THEN 'exact' ELSE 'kept' END AS status FROM dups")
 def filter_exact(t: Traces) -> DataFrame:
-    return memorization.filter_corpus(_memory(t)[0], None)
+    return memorization.filter_corpus(_duplicates(t), None)
 
 
 @query(SETS_SQL + COMBINED_SQL + """, fr AS (SELECT d.graph_id, sig, exact, nearest, nearest >= 0.95 AND NOT exact AS near FROM dups d JOIN comb USING (graph_id)),
@@ -376,12 +390,12 @@ SELECT phase, count(*) AS graphs, count(*) FILTER (exact) AS exact_graphs, count
   round(avg(exact::INT), 6) AS exact_rate, round(avg((nearest >= 0.95)::INT), 6) AS near_rate, round(avg(nearest), 6) AS mean_nearest,
   round(max(nearest) FILTER (i = CAST(round_even(0.95 * (n - 1), 0) AS BIGINT)), 6) AS p95_nearest FROM rk GROUP BY ALL""")
 def filter_report(t: Traces) -> DataFrame:
-    return rounded(memorization.filter_report(_memory(t)[0], _combined(t), 0.95), "unique_rate", "exact_rate", "near_rate", "mean_nearest", "p95_nearest")
+    return rounded(memorization.filter_report(_duplicates(t), _combined(t), 0.95), "unique_rate", "exact_rate", "near_rate", "mean_nearest", "p95_nearest")
 
 
 @query(SETS_SQL + "SELECT round(nearest, 6) AS percentile FROM (SELECT nearest, row_number() OVER (ORDER BY nearest) - 1 AS i, count(*) OVER () AS n FROM near) WHERE i = CAST(round_even(0.95 * (n - 1), 0) AS BIGINT)")
 def nearest_p95(t: Traces) -> DataFrame:
-    return rounded(memorization.nearest_rank_percentile(_memory(t)[1], "nearest", 0.95), "percentile")
+    return rounded(memorization.nearest_rank_percentile(_nearest(t), "nearest", 0.95), "percentile")
 
 
 @query("""
@@ -390,6 +404,33 @@ def coverage(t: Traces) -> DataFrame:
     return rounded(memorization.coverage(t.side("B")[2], t.side("A")[2], "edge_label"), "coverage")
 
 
+@query("""
+SELECT count(*) AS real_items, round(avg((label IN (SELECT label FROM nlabels WHERE corpus = 'B'))::INT), 6) AS coverage FROM (SELECT DISTINCT label FROM nlabels WHERE corpus = 'A')""")
+def node_coverage(t: Traces) -> DataFrame:
+    return rounded(memorization.coverage(t.side("B")[1], t.side("A")[1], "label"), "coverage")
+
+
+@query(SETS_SQL + """, gc AS (SELECT graph_id, corpus, system, label AS class FROM graphs), nc AS (
+SELECT b.graph_id, any_value(b.system) AS system, any_value(b.class) AS class, coalesce(max(j) FILTER (a.system = b.system AND a.class = b.class), 0.0) AS nearest
+  FROM gc b LEFT JOIN ej ON ej.g = b.graph_id LEFT JOIN gc a ON a.graph_id = ej.r WHERE b.corpus = 'B' GROUP BY b.graph_id),
+sc AS (SELECT g.*, s.sig FROM gc g JOIN sigs s USING (graph_id)),
+sd AS (SELECT *, EXISTS (SELECT 1 FROM sc a WHERE a.corpus = 'A' AND a.system = b.system AND a.class = b.class AND a.sig = b.sig) AS exact FROM sc b WHERE corpus = 'B'),
+ms AS (SELECT d.system, d.class, count(*) AS synthetic_graphs, count(DISTINCT sig) / count(*) AS unique_rate, avg(exact::INT) AS exact_rate, avg((nearest >= 0.9)::INT) AS near_rate, avg(nearest) AS mean_nearest
+  FROM sd d JOIN nc USING (graph_id) GROUP BY ALL),
+mr AS (SELECT system, class, count(*) AS real_graphs FROM gc WHERE corpus = 'A' GROUP BY ALL),
+cn AS (SELECT system, class, l.label AS item, bool_or(g.corpus = 'A') AS held, bool_or(g.corpus = 'B') AS made FROM nlabels l JOIN gc g USING (graph_id) GROUP BY ALL),
+ce AS (SELECT system, class, edge_label AS item, bool_or(g.corpus = 'A') AS held, bool_or(g.corpus = 'B') AS made FROM elabels l JOIN gc g USING (graph_id) GROUP BY ALL),
+vn AS (SELECT system, class, avg(made::INT) AS node_coverage FROM cn WHERE held GROUP BY ALL), ve AS (SELECT system, class, avg(made::INT) AS edge_coverage FROM ce WHERE held GROUP BY ALL)
+SELECT system, class AS label, coalesce(real_graphs, 0) AS real_graphs, coalesce(synthetic_graphs, 0) AS synthetic_graphs, round(coalesce(unique_rate, 0), 6) AS unique_rate, round(coalesce(exact_rate, 0), 6) AS exact_rate,
+  round(coalesce(1 - exact_rate, 0), 6) AS novel_rate, round(coalesce(near_rate, 0), 6) AS near_rate, round(coalesce(mean_nearest, 0), 6) AS mean_nearest,
+  round(coalesce(node_coverage, 0), 6) AS node_coverage, round(coalesce(edge_coverage, 0), 6) AS edge_coverage
+FROM ms FULL JOIN mr USING (system, class) LEFT JOIN vn USING (system, class) LEFT JOIN ve USING (system, class)""")
+def memorization_by_class(t: Traces) -> DataFrame:
+    """One row per system and class, with both coverages."""
+    rows = memorization.report_by(t.graphs.select("graph_id", "corpus", "system", "label"), t.node_labels, t.edge_labels, ["system", "label"], 0.9)
+    return rounded(rows, *[c for c in rows.columns if c.endswith(("_rate", "_nearest", "_coverage"))])
+
+
 # Sampling, splitting, mixing
 
 
@@ -459,7 +500,7 @@ def _prepared(t: Traces) -> DataFrame:
 
 @query(PREPARED_SQL + "SELECT graph_id, corpus, label, role FROM prepared WHERE percent = 30")
 def split_roles(t: Traces) -> DataFrame:
-    return _prepared(t).filter("percent = 30").select("graph_id", "corpus", "label", "role")
+    return corpora.prepare(t.graphs.select("graph_id", "corpus", "label", "num_nodes"), [30], RECIPE).select("graph_id", "corpus", "label", "role")
 
 
 @query(PREPARED_SQL + "SELECT percent, graph_id, corpus, label, role FROM prepared")
@@ -685,9 +726,20 @@ def gen_summary(t: Traces) -> DataFrame:
 @query(GEN_SQL + POOL_SQL + f""", m AS (SELECT any_value(pool) AS pool FROM pa),
 sn AS (SELECT gen_id, n.node_idx, p.service_name FROM gn n, m JOIN pa p ON p.idx = {draw_sql('service', 'gen_id', 'n.node_idx')} % m.pool),
 oc AS (SELECT service_name, operation_name, count(*) AS n FROM pool GROUP BY ALL),
-gs AS (SELECT gen_id, node_idx, service_name, operation_name,
-  ln(n) / 0.8::DOUBLE - ln(-ln(({draw_sql('gumbel', 'gen_id', 'node_idx', 'operation_name')} + 0.5::DOUBLE) / 4294967296.0::DOUBLE)) AS score FROM sn JOIN oc USING (service_name)),
-gp AS (SELECT gen_id, node_idx, service_name, arg_max(operation_name, score) AS operation_name FROM gs GROUP BY ALL),
+ow AS (SELECT service_name, operation_name, greatest(1, CAST(round({generate.WEIGHT} * exp((ln(n) - ln(max(n) OVER (PARTITION BY service_name))) / 0.8::DOUBLE)) AS BIGINT))::HUGEINT AS w FROM oc),
+a0 AS (SELECT service_name, list(operation_name ORDER BY operation_name) AS ops, count(*) AS m, sum(w)::HUGEINT AS total, list(w ORDER BY operation_name) AS ws FROM ow GROUP BY ALL),
+a1 AS MATERIALIZED (SELECT service_name, ops, m, total, list_transform(ws, lambda x: x * m) AS q FROM a0),
+al AS MATERIALIZED (SELECT * FROM (WITH RECURSIVE ar(service_name, q, small, large, slot, cut, other) AS (
+  SELECT service_name, q, list_filter(range(1, m + 1), lambda i: q[i] < total), list_filter(range(1, m + 1), lambda i: q[i] >= total), 0::BIGINT, 0::HUGEINT, 0::BIGINT FROM a1
+  UNION ALL SELECT r.service_name, CASE WHEN met THEN list_transform(r.q, lambda x, i: CASE WHEN i = rich THEN rest ELSE x END) ELSE r.q END,
+    r.small[2:] || CASE WHEN met AND rest < total THEN [rich] ELSE [] END,
+    CASE WHEN met AND rest >= total OR NOT met AND len(r.small) > 0 THEN r.large ELSE r.large[2:] END,
+    poor, CASE WHEN met THEN r.q[poor] ELSE total END, CASE WHEN met THEN rich ELSE poor END
+  FROM (SELECT ar.*, total, len(small) > 0 AND len(large) > 0 AS met, (small || large)[1] AS poor, large[1] AS rich, ar.q[large[1]] - (total - ar.q[(small || large)[1]]) AS rest
+    FROM ar JOIN a1 USING (service_name) WHERE len(small) + len(large) > 0) r)
+  SELECT * FROM ar) WHERE slot > 0),
+gp AS (SELECT gen_id, node_idx, service_name, ops[CASE WHEN {draw_sql('op-cut', 'gen_id', 'node_idx')} < cut * 4294967296 // total THEN slot ELSE other END] AS operation_name
+  FROM sn JOIN a1 USING (service_name) JOIN al USING (service_name) WHERE slot = {draw_sql('op-slot', 'gen_id', 'node_idx')} % m + 1),
 st AS (SELECT avg(ln(1 + greatest(duration, 0))) AS mu, stddev_samp(ln(1 + greatest(duration, 0))) AS sd FROM pool),
 dz AS (SELECT *, sqrt(-2 * ln(({draw_sql('u', 'gen_id', 'node_idx')} + 0.5::DOUBLE) / 4294967296.0::DOUBLE))
   * cos(2 * pi() * (({draw_sql('v', 'gen_id', 'node_idx')} + 0.5::DOUBLE) / 4294967296.0::DOUBLE)) AS z FROM gp)
@@ -695,7 +747,33 @@ SELECT gen_id, node_idx, service_name, operation_name, round(greatest(exp(mu + s
 def gen_label_conditional(t: Traces) -> DataFrame:
     real = t.nodes.filter("corpus = 'A'")
     rows = generate.empirical_nodes(_blank(t)[1], real, SEED).select("gen_id", "node_idx", "service_name")
-    return rounded(generate.noisy_durations(generate.gumbel_ops(rows, real, 0.8, SEED), metrics.duration_stats(real), SEED), "duration", digits=3)
+    return rounded(generate.noisy_durations(generate.label_draws(rows, real, 0.8, SEED), metrics.duration_stats(real), SEED), "duration", digits=3)
+
+
+CORPUS_PLAN = generate.CorpusPlan(GENERATED, 1, SEED, 2, 12, tuple(BUCKETS), 0.8, "tree")
+
+
+@query(f""", el AS (SELECT graph_id, num_nodes, CASE WHEN num_nodes <= 3 THEN 0 WHEN num_nodes <= 8 THEN 1 ELSE 2 END AS bucket FROM graphs WHERE corpus = 'A' AND num_nodes BETWEEN 2 AND 12),
+xi AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY {draw_sql('index', 'graph_id')}, graph_id) - 1 AS idx, count(*) OVER (PARTITION BY bucket) AS pool FROM el),
+xs AS (SELECT bucket, pool, row_number() OVER (ORDER BY bucket) - 1 AS nth, count(*) OVER () AS ranges FROM (SELECT DISTINCT bucket, pool FROM xi)),
+xd AS (SELECT bucket, pool, bucket || '-' || j AS gen_id FROM (SELECT *, unnest(range(1, {GENERATED} // ranges + CASE WHEN nth < {GENERATED} % ranges THEN 2 ELSE 1 END)) AS j FROM xs)),
+gg AS (SELECT gen_id, num_nodes FROM xd JOIN xi ON xi.bucket = xd.bucket AND xi.idx = {draw_sql('size', 'gen_id')} % xd.pool),
+gn AS (SELECT gen_id, num_nodes, unnest(range(num_nodes)) AS node_idx FROM gg),
+pool AS (SELECT service_name, operation_name, duration, graph_id || '#' || node_idx AS pool_id FROM spans SEMI JOIN el USING (graph_id)),
+pa AS (SELECT *, row_number() OVER (ORDER BY {draw_sql('index', 'pool_id')}, pool_id) - 1 AS idx, count(*) OVER () AS pool FROM pool), m AS (SELECT any_value(pool) AS pool FROM pa),
+sn AS (SELECT gen_id, n.node_idx, p.service_name FROM gn n, m JOIN pa p ON p.idx = {draw_sql('service', 'gen_id', 'n.node_idx')} % m.pool),
+st AS (SELECT avg(ln(1 + greatest(duration, 0))) AS mu, stddev_samp(ln(1 + greatest(duration, 0))) AS sd FROM pool),
+dz AS (SELECT gen_id, node_idx, service_name, greatest(exp(mu + sd * sqrt(-2 * ln(({draw_sql('u', 'gen_id', 'node_idx')} + 0.5::DOUBLE) / 4294967296.0::DOUBLE))
+  * cos(2 * pi() * (({draw_sql('v', 'gen_id', 'node_idx')} + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) - 1, 0) AS duration FROM sn, st),
+ge AS (SELECT gen_id, sum({draw_sql('parent', 'gen_id', 'node_idx')} % node_idx)::BIGINT AS parents, count(*) AS num_edges FROM gn WHERE node_idx > 0 GROUP BY ALL)
+SELECT gen_id, 1 AS label, num_nodes, num_edges, parents, count(DISTINCT service_name) AS services, round(sum(duration), 3) AS duration FROM gg JOIN ge USING (gen_id) JOIN dz USING (gen_id) GROUP BY ALL""")
+def generated_corpus(t: Traces) -> DataFrame:
+    """A whole corpus in one call: per graph its size, edges, services and time."""
+    real = t.nodes.filter("corpus = 'A'")
+    made, nodes, joined = generate.generate_corpus(_real_graphs(t), real, t.edges, CORPUS_PLAN)
+    per = nodes.groupBy("gen_id").agg(F.count_distinct("service_name").alias("services"), F.round(F.sum("duration"), 3).alias("duration"), F.count("operation_name").alias("labelled"))
+    wired = joined.groupBy("gen_id").agg(F.count(F.lit(1)).alias("num_edges"), F.sum("src").cast("long").alias("parents"))
+    return made.join(per, "gen_id").join(wired, "gen_id").filter("labelled = num_nodes").select("gen_id", "label", "num_nodes", "num_edges", "parents", "services", "duration")
 
 
 SCORE_SQL = """, en AS (SELECT p.service_name AS ps, c.service_name AS cs, count(*) AS n FROM edges e JOIN spans p ON p.graph_id = e.graph_id AND p.node_idx = e.src JOIN spans c ON c.graph_id = e.graph_id AND c.node_idx = e.dst GROUP BY ALL),
@@ -705,18 +783,18 @@ sp AS (SELECT p.graph_id, p.node_idx AS src, c.node_idx AS dst, (coalesce(n, 0)
 """
 
 
-def _scored(t: Traces) -> DataFrame:
-    return edges.scored_pairs(t.nodes, t.edges)
+def _blocks(t: Traces) -> DataFrame:
+    return edges.service_blocks(t.nodes, t.edges)
 
 
 def _best(t: Traces) -> DataFrame:
-    return edges.best_parents(t.nodes, edges.service_scores(t.nodes, t.edges))
+    return edges.best_parents(t.nodes, _blocks(t))
 
 
 @query(SCORE_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY score DESC, src, dst) AS nth FROM sp WHERE src < dst)
 SELECT graph_id, src, dst FROM r JOIN graphs USING (graph_id) WHERE nth <= num_nodes - 1""")
 def edge_topk(t: Traces) -> DataFrame:
-    return edges.top_edges(_scored(t), t.graphs.select("graph_id", (F.col("num_nodes") - 1).alias("target")))
+    return edges.top_edges(t.nodes, _blocks(t), t.graphs.select("graph_id", (F.col("num_nodes") - 1).alias("target")))
 
 
 @query(SCORE_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY graph_id, dst ORDER BY score DESC, src) AS nth FROM sp),
@@ -734,7 +812,7 @@ def edge_parent_or_root(t: Traces) -> DataFrame:
 
 @query(SCORE_SQL + "SELECT graph_id, src, dst FROM sp WHERE score > 0.2 AND src < dst")
 def edge_threshold(t: Traces) -> DataFrame:
-    return edges.threshold_edges(_scored(t), 0.2).select("graph_id", "src", "dst")
+    return edges.threshold_edges(t.nodes, _blocks(t), 0.2)
 
 
 @query(SCORE_SQL + f""", zj AS (SELECT *, sqrt(-2 * ln(({draw_sql('jitter-u', 'graph_id')} + 0.5::DOUBLE) / 4294967296.0::DOUBLE))
@@ -742,7 +820,7 @@ def edge_threshold(t: Traces) -> DataFrame:
 SELECT graph_id, src, dst FROM zj WHERE score > least(greatest(0.2::DOUBLE + 0.1::DOUBLE * z, 0.05::DOUBLE), 0.95::DOUBLE)
 AND {draw_sql('dropout', 'graph_id', 'src', 'dst')} / 4294967296 > 0.1::DOUBLE""")
 def edge_jitter(t: Traces) -> DataFrame:
-    return edges.threshold_edges(_scored(t), 0.2, SEED, jitter=0.1, dropout=0.1).select("graph_id", "src", "dst")
+    return edges.threshold_edges(t.nodes, _blocks(t), 0.2, SEED, jitter=0.1, dropout=0.1)
 
 
 @query("\nSELECT graph_id, node_idx, coalesce(parent, -1) AS parent FROM spans LEFT JOIN (SELECT graph_id, dst AS node_idx, min(src) AS parent FROM edges GROUP BY ALL) USING (graph_id, node_idx)")
@@ -753,12 +831,23 @@ def first_parent(t: Traces) -> DataFrame:
 @query()
 def spanning_forest(t: Traces) -> DataFrame:
     """Greedy and sequential: no SQL, compared with a brute-force walk in the tests."""
-    return edges.spanning_forest(t.nodes, edges.service_scores(t.nodes, t.edges))
+    return edges.spanning_forest(t.nodes, _blocks(t))
+
 
+SKIP_SQL = f"""CASE WHEN score >= 1 THEN 0 ELSE CAST(floor(ln(({draw_sql('skip', 'b.graph_id', 'b.ps', 'b.cs', 'KTH')} + 0.5::DOUBLE) / 4294967296.0::DOUBLE) / ln(1 - score)) AS BIGINT) END"""
 
-@query(SCORE_SQL + f"SELECT graph_id, src, dst FROM sp WHERE src < dst AND {draw_sql('bernoulli', 'graph_id', 'src', 'dst')} < CAST(floor(score * 4294967296) AS BIGINT)")
+
+@query(SCORE_SQL + f""", hl AS (SELECT graph_id, service_name AS s, list(node_idx ORDER BY node_idx) AS l FROM spans GROUP BY ALL),
+bk AS MATERIALIZED (SELECT a.graph_id, a.s AS ps, c.s AS cs, a.l AS la, c.l AS lc, (coalesce(n, 0) + 1) / (coalesce(total, 0) + k) AS score FROM hl a JOIN hl c USING (graph_id)
+  LEFT JOIN en ON en.ps = a.s AND en.cs = c.s LEFT JOIN et ON et.ps = a.s, k)
+SELECT graph_id, la[place // len(lc) + 1] AS src, lc[place % len(lc) + 1] AS dst FROM (
+  WITH RECURSIVE sk(graph_id, ps, cs, kth, place) AS (
+    SELECT b.graph_id, b.ps, b.cs, 0::BIGINT, {SKIP_SQL.replace("KTH", "0")} FROM bk b
+    UNION ALL SELECT b.graph_id, b.ps, b.cs, s.kth + 1, s.place + 1 + {SKIP_SQL.replace("KTH", "s.kth + 1")} FROM sk s JOIN bk b USING (graph_id, ps, cs) WHERE s.place < len(la) * len(lc))
+  SELECT * FROM sk) JOIN bk USING (graph_id, ps, cs) WHERE place < len(la) * len(lc) AND src < dst""")
 def edge_bernoulli(t: Traces) -> DataFrame:
-    return edges.bernoulli_edges(_scored(t), SEED).select("graph_id", "src", "dst")
+    """Geometric gaps between hits, block by block."""
+    return edges.bernoulli_edges(t.nodes, _blocks(t), SEED)
 
 
 # Distributions, weights, metrics
@@ -889,24 +978,35 @@ def metric_pivot(t: Traces) -> DataFrame:
     return rounded(metrics.pivot_metrics(_results(t), "setting", "generator", ["F", "O", "P"], PIVOTED), *[f"{g}_{m}" for g in "FOP" for m in PIVOTED])
 
 
-@query("""
+RECONSTRUCTION_SQL = """
 , tn AS (SELECT t.node_idx, count(*) AS x FROM spans t GROUP BY ALL),
 pn AS (SELECT graph_id, node_idx, lag(service_name, 1, service_name) OVER w AS ps, lag(operation_name, 1, operation_name) OVER w AS po, duration + 1000 AS pd FROM spans WINDOW w AS (PARTITION BY graph_id ORDER BY node_idx)),
 nm AS (SELECT avg((service_name = ps)::INT) AS sa, avg((operation_name = po)::INT) AS oa, avg(abs(ln(1 + greatest(duration, 0)) - ln(1 + greatest(pd, 0)))) AS mae FROM spans JOIN pn USING (graph_id, node_idx)),
 pe AS (SELECT graph_id, node_idx - 1 AS src, node_idx AS dst FROM spans WHERE node_idx > 0),
 c AS (SELECT count(*) FILTER (o.src IS NOT NULL AND q.src IS NOT NULL) AS tp, count(*) FILTER (o.src IS NULL) AS fp, count(*) FILTER (q.src IS NULL) AS fn FROM (SELECT DISTINCT * FROM edges) o FULL JOIN pe q ON o.graph_id = q.graph_id AND o.src = q.src AND o.dst = q.dst)
 SELECT round(sa, 6) AS service_accuracy, round(oa, 6) AS op_accuracy, round(mae, 6) AS log_duration_mae, tp, fp, fn, round(tp / (tp + fp), 6) AS edge_precision, round(tp / (tp + fn), 6) AS edge_recall,
-  round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) AS edge_f1 FROM nm, c""")
+  round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) AS edge_f1 FROM nm, c"""
+
+
+@query(RECONSTRUCTION_SQL)
 def reconstruction_metrics(t: Traces) -> DataFrame:
-    from pyspark.sql import Window
+    return _reconstruction(t, True)
+
+
+@query(RECONSTRUCTION_SQL.replace("(SELECT DISTINCT * FROM edges)", "(SELECT DISTINCT graph_id, least(src, dst) AS src, greatest(src, dst) AS dst FROM edges WHERE src <> dst)"))
+def reconstruction_undirected(t: Traces) -> DataFrame:
+    return _reconstruction(t, False)
 
+
+def _reconstruction(t: Traces, directed: bool) -> DataFrame:
+    """Nodes predicted by the one before, edges by a chain."""
     w = Window.partitionBy("graph_id").orderBy("node_idx")
     predicted = t.nodes.select(
         "graph_id", "node_idx", F.coalesce(F.lag("service_name").over(w), "service_name").alias("service_name"),
         F.coalesce(F.lag("operation_name").over(w), "operation_name").alias("operation_name"), (F.col("duration") + 1000).alias("duration"),
     )
     chain = t.nodes.filter("node_idx > 0").select("graph_id", (F.col("node_idx") - 1).alias("src"), F.col("node_idx").alias("dst"))
-    return rounded(metrics.reconstruction(t.nodes, predicted, t.edges, chain), "service_accuracy", "op_accuracy", "log_duration_mae", "edge_precision", "edge_recall", "edge_f1")
+    return rounded(metrics.reconstruction(t.nodes, predicted, t.edges, chain, directed), "service_accuracy", "op_accuracy", "log_duration_mae", "edge_precision", "edge_recall", "edge_f1")
 
 
 @query("""
@@ -915,6 +1015,12 @@ SELECT source_run, trace_id, span_id, service_name, timestamp, CASE WHEN span_se
 LEFT JOIN (SELECT graph_id AS g, span_id AS pid, service_name AS parent FROM spans) p ON p.g = s.graph_id AND p.pid = s.parent_id""")
 def json_trace_ingest(t: Traces) -> DataFrame:
     """Spans folded into nested traces, written to JSON text, parsed and exploded again."""
+    parsed = _folded(t).select("source_run", F.from_json("j", spans.TRACE_SCHEMA).alias("t")).select("source_run", "t.traceID", "t.spans", "t.processes")
+    return spans.spans_from_traces(parsed).select("source_run", "trace_id", "span_id", "service_name", "timestamp", "status_code", "parent_service_name")
+
+
+def _folded(t: Traces) -> DataFrame:
+    """(source_run, trace_id, j): every trace as one JSON text."""
     refs = F.when(F.col("parent_id") == "", F.expr("array()")).otherwise(F.array(F.struct(F.lit("CHILD_OF").alias("refType"), F.col("parent_id").alias("spanID"))))
     # Two spans in three have the tag, behind another one.
     tags = F.expr("""if(span_seq % 3 = 0, array(named_struct('key', 'other', 'value', '7')),
@@ -925,11 +1031,96 @@ def json_trace_ingest(t: Traces) -> DataFrame:
     )
     names = F.map_from_entries(F.collect_set(F.struct(F.concat(F.lit("p-"), "service_name"), F.struct(F.col("service_name").alias("serviceName")))))
     folded = t.spans.groupBy("source_run", F.col("trace_id").alias("traceID")).agg(F.sort_array(F.collect_list(span)).alias("spans"), names.alias("processes"))
-    text = folded.select("source_run", F.to_json(F.struct("traceID", "spans", "processes")).alias("j"))
-    from spanforge.sources.spans import TRACE_SCHEMA
+    return folded.select("source_run", F.col("traceID").alias("trace_id"), F.to_json(F.struct("traceID", "spans", "processes")).alias("j"))
 
-    parsed = text.select("source_run", F.from_json("j", TRACE_SCHEMA).alias("t")).select("source_run", "t.traceID", "t.spans", "t.processes")
-    return spans_from_traces(parsed).select("source_run", "trace_id", "span_id", "service_name", "timestamp", "status_code", "parent_service_name")
+
+# Files: written from the driver's tables, read back by the readers of such files
+
+RUN_DIR = r"run_dir=([^/]+)/"
+#: Every so manieth row is spoiled on its way out.
+SPOILED = 97
+
+
+def _csv_files(t: Traces) -> str:
+    """Span CSV below a folder per run; one duration in 97 is no number."""
+    at = folder(t.spark, "span-csv")
+    spoiled = F.when(F.col("span_seq") % SPOILED == 0, "n/a").otherwise(F.col("duration").cast("string"))
+    rows = t.spans.select(
+        F.col("source_run").alias("run_dir"), F.col("timestamp").alias(" Timestamp"), F.col("service_name").alias("Service_Name"), F.col("span_id").alias("Span_ID"), F.col("parent_id").alias("Parent_ID"),
+        F.col("trace_id").alias("Trace_ID"), spoiled.alias("Duration"), F.lit(200).alias("Status_Code"), F.col("operation_name").alias("Operation_Name"),
+    )
+    rows.write.partitionBy("run_dir").option("header", True).csv(at)
+    return f"{at}/*/*.csv"
+
+
+@query(f"\nSELECT source_run, trace_id, span_id, parent_id, service_name, operation_name, timestamp, duration, 200 AS status_code FROM spans WHERE span_seq % {SPOILED} <> 0")
+def csv_files(t: Traces) -> DataFrame:
+    rows = spans.read_span_csv(t.spark, _csv_files(t), "TT", run=RUN_DIR)
+    return rows.select("source_run", "trace_id", "span_id", F.coalesce("parent_id", F.lit("")).alias("parent_id"), "service_name", "operation_name", "timestamp", "duration", "status_code")
+
+
+@query(f"\nSELECT source_run, count(*) AS rows, count(*) FILTER (span_seq % {SPOILED} = 0) AS refused FROM spans GROUP BY ALL")
+def csv_refusals(t: Traces) -> DataFrame:
+    per_file = spans.csv_counts(t.spark, _csv_files(t), RUN_DIR)
+    return per_file.groupBy("source_run").agg(F.sum("rows").alias("rows"), F.sum("refused").alias("refused"))
+
+
+def _json_files(t: Traces) -> str:
+    """A trace a line below a folder per run; one trace in twenty is torn off."""
+    at = folder(t.spark, "trace-json")
+    torn = draw(SEED, "torn", F.col("trace_id")) % 20 == 0
+    rows = _folded(t).select(F.col("source_run").alias("run_dir"), F.when(torn, F.expr("left(j, length(j) - 9)")).otherwise(F.col("j")).alias("value"))
+    rows.write.partitionBy("run_dir").text(at)
+    return f"{at}/*/*.txt"
+
+
+TORN = f"{draw_sql('torn', 'trace_id')} % 20 = 0"
+
+
+@query(f"\nSELECT source_run, trace_id, span_id, service_name, operation_name, timestamp, duration FROM spans WHERE NOT {TORN}")
+def json_files(t: Traces) -> DataFrame:
+    rows = spans.read_trace_json(t.spark, _json_files(t), "TT", lines=True, run=RUN_DIR)
+    return rows.select("source_run", "trace_id", "span_id", "service_name", "operation_name", "timestamp", "duration")
+
+
+@query(f"\nSELECT source_run, count(DISTINCT trace_id) AS refused FROM spans WHERE {TORN} GROUP BY ALL")
+def json_refusals(t: Traces) -> DataFrame:
+    return spans.refused_traces(t.spark, _json_files(t), lines=True, run=RUN_DIR).groupBy("source_run").agg(F.count("record").alias("refused"))
+
+
+@query("\nSELECT source_run, row_number() OVER (PARTITION BY source_run ORDER BY fault_idx) - 1 AS fault_idx, w_start, w_end, fault FROM windows")
+def fault_files(t: Traces) -> DataFrame:
+    at = folder(t.spark, "fault-json")
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("fault_idx", F.col("w_start").alias("start"), F.col("w_end").alias("end"), "fault"))), lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"), f["fault"].alias("fault")))
+    files = t.windows.groupBy(F.col("source_run").alias("run_dir")).agg(F.to_json(F.struct(listed.alias("faults"))).alias("value"))
+    files.write.partitionBy("run_dir").text(at)
+    return spans.read_fault_windows(t.spark, f"{at}/*/*.txt", RUN_DIR)
+
+
+@query(RESULTS_SQL + """, kr AS (SELECT generator, setting, count(*) AS runs, avg(weighted_f1) AS f1 FROM res GROUP BY ALL)
+SELECT generator, setting, runs, round(CASE WHEN generator = 'F' THEN f1 + 1 ELSE f1 END, 6) AS f1 FROM kr""")
+def keyed_results(t: Traces) -> DataFrame:
+    """Result rows put twice, some of them changed: each key is there once, with its last row."""
+    at = folder(t.spark, "results")
+    rows = rounded(_results(t).groupBy("generator", "setting").agg(F.count(F.lit(1)).alias("runs"), F.avg("weighted_f1").alias("f1")), "f1")
+    spans.put_results(rows, at, ("generator", "setting"))
+    spans.put_results(rounded(rows.filter("generator = 'F'").withColumn("f1", F.col("f1") + 1), "f1"), at, ("generator", "setting"))
+    return spans.read_results(t.spark, at, rows.schema)
+
+
+def by_graph(t: Traces, buckets: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges saved bucketed by graph."""
+    saved = []
+    for name, table in (("nodes", t.nodes.select("graph_id", "node_idx", "service_name", "operation_name", "duration")), ("edges", t.edges)):
+        at = folder(t.spark, f"bucketed-{name}")
+        saved.append(spans.save_by_graph(table, f"{name}_{at.rpartition('-')[2]}", buckets, at))
+    return saved[0], saved[1]
+
+
+@query(f"\nSELECT graph_id, {STATS_SQL} FROM stats")
+def bucketed_stats(t: Traces) -> DataFrame:
+    """The statistics from tables bucketed by graph: no exchange between scan and result."""
+    return rounded(graphs.graph_stats(*by_graph(t)), *graphs.FEATURES)
 
 
 # Classification
@@ -947,31 +1138,36 @@ x2 AS (SELECT wt.graph_id, dst AS node_idx, feature, sum(w * v) AS v FROM x1 JOI
 
 
 def _features(t: Traces, fit: DataFrame) -> DataFrame:
-    """Propagated features; durations are normalised by the ``fit`` nodes."""
-    return classify.propagate(classify.node_features(t.nodes, metrics.duration_stats(fit)), t.nodes, t.edges)
+    """Propagated features of every graph; durations are normalised by the ``fit`` nodes."""
+    return classify.graph_features(t.nodes, t.edges, metrics.duration_stats(fit))
 
 
 @query(FEATURE_SQL + "SELECT graph_id, feature, round(sum(v) / any_value(num_nodes), 6) AS value FROM x2 JOIN graphs USING (graph_id) GROUP BY ALL")
 def propagated_features(t: Traces) -> DataFrame:
-    return rounded(classify.graph_features(_features(t, t.nodes), t.nodes), "value")
+    return rounded(_features(t, t.nodes), "value")
 
 
-def _vectors(t: Traces, roles: DataFrame) -> DataFrame:
-    """graph_id and the vector of its features, over the vocabulary of training graphs."""
+def _sparse(t: Traces, roles: DataFrame) -> tuple[DataFrame, int]:
+    """Sparse rows of every graph's features, over the vocabulary of training graphs."""
     train = roles.filter("role = 'train'").select("graph_id").distinct()
-    long = classify.graph_features(_features(t, t.nodes.join(train, "graph_id", "left_semi")), t.nodes)
-    return classify.vectors(long, train)
+    return classify.sparse_rows(_features(t, t.nodes.join(train, "graph_id", "left_semi")), train)
 
 
 @query()
 def classifier_scores(t: Traces) -> DataFrame:
-    """Normal against abnormal on all service and operation features and duration; held against a brute-force check in the tests."""
+    """Normal against abnormal on all service and operation features and duration; the tests hold the fit against a dense one."""
     roles = materialize(split_roles(t), "classifier-roles")
-    return classify.fit_and_score(_vectors(t, roles).join(roles, "graph_id"))
+    return classify.fit_and_score(*_sparse(t, roles), roles.withColumn("cell", F.lit(0))).drop("cell")
 
 
 @query()
 def classifier_sweep(t: Traces) -> DataFrame:
-    """One row of test metrics per real percentage; every fit reads the same prepared table."""
-    prepared = materialize(_prepared(t).filter(F.col("percent").isin(0, 30, 100)), "sweep-prepared")
-    return classify.sweep(_vectors(t, prepared), prepared, [0, 30, 100], SEED)
+    """One row of test metrics per system, generator and real percentage; every model reads the same rows, and all descend together."""
+    prepared = None
+    for system in ("SN", "TT"):
+        for generator in GENERATORS:
+            mine = t.graphs.filter((F.col("system") == system) & ((F.col("corpus") == "A") | (F.col("generator") == generator)))
+            rows = corpora.prepare(mine.select("graph_id", "corpus", "label", "num_nodes"), PERCENTS, RECIPE).select(F.lit(system).alias("system"), F.lit(generator).alias("generator"), "percent", "graph_id", "corpus", "label", "role")
+            prepared = rows if prepared is None else prepared.unionByName(rows)
+    prepared = materialize(prepared, "sweep-prepared")
+    return classify.sweep(*_sparse(t, prepared), prepared, ["system", "generator", "percent"], SEED)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanforge.functions.draws import draw
-from spanforge.operators import classify, corpora, distributions, edges, fidelity, generate, graphs, labels, memorization, metrics, ranking, sampling
+from spanforge.operators import classify, corpora, distributions, edges, fidelity, generate, graphs, labels, memorization, metrics, nearest, ranking, sampling
 from spanforge.sources import shared
 from spanforge.sources import spans as source
 
@@ -164,14 +164,14 @@ def test_spanning_forest_is_the_greedy_walk(spark):
         score = {(a, b): rng.choice([0.1, 0.2, 0.3, 0.5]) for a in "abc" for b in "abc"}
         graphs = {f"g{k}": [rng.choice("abc") for _ in range(n)] for k, n in enumerate((1, 2, 5, 9))}
         nodes = spark.createDataFrame([(g, i, s) for g, held in graphs.items() for i, s in enumerate(held)], "graph_id string, node_idx int, service_name string")
-        scores = spark.createDataFrame([(*k, v) for k, v in score.items()], "ps string, cs string, score double")
+        blocks = spark.createDataFrame([(g, a, b, score[a, b], 1, 1) for g, held in graphs.items() for a in set(held) for b in set(held)], "graph_id string, ps string, cs string, score double, n_src int, n_dst int")
         got = {g: set() for g in graphs}
-        for r in edges.spanning_forest(nodes, scores).collect():
+        for r in edges.spanning_forest(nodes, blocks).collect():
             got[r.graph_id].add((r.src, r.dst))
         assert got == {g: walk_forest(held, score) for g, held in graphs.items()}
 
 
-def test_nearest_similarity_in_blocks(spark):
+def test_nearest_similarity_by_bounds(spark, monkeypatch):
     rng = random.Random(8)
     sides = [[({rng.choice("abcdefgh") for _ in range(rng.randint(0, 5))}, {rng.choice("xyz") for _ in range(rng.randint(1, 3))}) for _ in range(60)] for _ in range(2)]
 
@@ -184,10 +184,11 @@ def test_nearest_similarity_in_blocks(spark):
 
     want = [max(0.7 * jaccard(e, f) + 0.3 * jaccard(n, m) for f, m in sides[1]) for e, n in sides[0]]
     synth, real = tables(sides[0]), tables(sides[1])
-    memorization.BLOCK_KINDS, memorization.TOKEN_COLUMNS, old = 16, 3, (memorization.BLOCK_KINDS, memorization.TOKEN_COLUMNS)
-    got = {r.graph_id: r.nearest for r in memorization.combined_similarity(synth, real).collect()}
-    memorization.BLOCK_KINDS, memorization.TOKEN_COLUMNS = old
-    assert all(got[str(i)] == pytest.approx(w) for i, w in enumerate(want))
+    # Every token is in many sets here: with small tiles each is cut into several.
+    for tile in (nearest.TILE, 7):
+        monkeypatch.setattr(nearest, "TILE", tile)
+        got = {r.graph_id: r.nearest for r in memorization.combined_similarity(synth, real).collect()}
+        assert all(got[str(i)] == pytest.approx(w) for i, w in enumerate(want))
     for level in (0.5, 0.8, 0.95):
         near = {r.graph_id for r in memorization.similar_graphs(synth, real, level).collect()}
         assert near == {str(i) for i, w in enumerate(want) if w >= level}
@@ -240,9 +241,9 @@ def test_classifier_tells_two_shapes_apart(spark):
     rows = [(f"g{i}", "train" if i % 5 < 3 else "val" if i % 5 == 3 else "test", i % 2) for i in range(60)]
     long = [(g, f"s:{'xy'[y]}", 1.0) for g, _, y in rows] + [(g, "duration", float(i % 7)) for i, (g, _, _) in enumerate(rows)] + [("g4", "s:unseen", 1.0)]
     features, roles = spark.createDataFrame(long, "graph_id string, feature string, value double"), spark.createDataFrame(rows, "graph_id string, role string, label int")
-    x = classify.vectors(features, roles.filter("role = 'train'").select("graph_id"))
-    assert {len(r.x) for r in x.collect()} == {3}
-    got = classify.fit_and_score(x.join(roles, "graph_id")).collect()
+    x, n = classify.sparse_rows(features, roles.filter("role = 'train'").select("graph_id"))
+    assert n == 3 and {max(r.ids) for r in x.collect()} <= {0, 1, 2}
+    got = classify.fit_and_score(x, n, roles.withColumn("cell", F.lit(0))).collect()
     assert len(got) == 60 and all(r.pred == r.label and (r.score > 0.5) == (r.label == 1) for r in got)
 
 
@@ -258,7 +259,13 @@ def test_readers(spark, tmp_path):
         " Timestamp,Service_Name,Span_ID,Parent_ID,Trace_ID,Duration,Status_Code,Operation_Name,Parent_Service_Name\n5,s,t,,t,1000,200,op,\n6,s2,b,t,t,bad,200,op,s\n"
     )
     got = sorted(source.read_span_csv(spark, f"{tmp_path}/*.csv", "TT").collect(), key=lambda r: r.timestamp)
-    assert got[0].source_run == "TT.a" and got[0].duration == 1000 and got[1].duration is None and got[0].parent_id is None
+    assert len(got) == 1 and got[0].source_run == "TT.a" and got[0].duration == 1000 and got[0].parent_id is None
+    bad = source.refused_spans(spark, f"{tmp_path}/*.csv").collect()
+    assert [(r.source_run, r.reason) for r in bad] == [("TT.a", "duration")] and '"bad"' in bad[0].record
+    (tmp_path / "TT.b_trace.csv").write_text((tmp_path / "TT.a_trace.csv").read_text() + "7,s,x\n8,s,y,t,t,,,op,s,one too many\n9,s,z,t,t,,,op,s\n")
+    counts = {r.source_run: (r.rows, r.refused) for r in source.csv_counts(spark, f"{tmp_path}/*.csv").collect()}
+    assert counts == {"TT.a": (2, 1), "TT.b": (5, 3)}
+    assert {r.reason for r in source.refused_spans(spark, f"{tmp_path}/TT.b*.csv").collect()} == {"fields", "duration"}
     (tmp_path / "bad_trace.csv2").write_text("a,b\n1,2\n")
     with pytest.raises(ValueError, match="lacks"):
         source.normalise_header(spark.createDataFrame([(1,)], "a int"))
@@ -269,6 +276,11 @@ def test_readers(spark, tmp_path):
     got = {r.span_id: r for r in source.read_trace_json(spark, f"{tmp_path}/*.tar.json", "SN").collect()}
     assert (got["t"].timestamp, got["t"].status_code, got["t"].parent_service_name, got["t"].source_run) == (5, 404, "no_parent", "SN.run")
     assert (got["b"].service_name, got["b"].operation_name, got["b"].parent_id, got["b"].parent_service_name) == ("unknown_service", "unknown_operation", "t", "svc")
+    (tmp_path / "SN.torn.tar.json").write_text(json.dumps(trace)[:-7])
+    assert {r.source_run for r in source.read_trace_json(spark, f"{tmp_path}/*.tar.json", "SN").collect()} == {"SN.run"}
+    assert [r.source_run for r in source.refused_traces(spark, f"{tmp_path}/*.tar.json").collect()] == ["SN.torn"]
+    (tmp_path / "TT.fault-b.json").write_text('{"faults": [{"start": "soon"}]}')
+    assert [r.source_run for r in source.refused_faults(spark, f"{tmp_path}/TT.fault-*.json").collect()] == ["TT.fault-b"]
     (tmp_path / "TT.fault-a.json").write_text(json.dumps({"faults": [{"start": 1.0, "end": 2.0, "fault": "x"}]}))
     w = source.read_fault_windows(spark, f"{tmp_path}/TT.fault-a.json").first()
     assert (w.source_run, w.fault_idx, w.fault) == ("TT.a", 0, "x")
@@ -278,9 +290,12 @@ def test_corpus_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("g", "TT", "A", 1)], "graph_id string, system string, corpus string, label int")
     source.write_corpus(df, f"{tmp_path}/c")
     assert source.read_corpus(spark, f"{tmp_path}/c").count() == 1
-    for _ in range(2):
-        source.append_results(df, f"{tmp_path}/r")
-    assert spark.read.parquet(f"{tmp_path}/r").count() == 2
+    results = spark.createDataFrame([("TT", "g", 10, 1, 0.5), ("TT", "g", 20, 1, 0.6)], "system string, generator string, percent int, seed int, f1 double")
+    for more in (0.0, 0.1):
+        source.put_results(results.withColumn("f1", F.col("f1") + more), f"{tmp_path}/r")
+    source.put_results(results.filter("percent = 20").withColumn("f1", F.lit(0.9)), f"{tmp_path}/r")
+    got = source.read_results(spark, f"{tmp_path}/r", results.schema)
+    assert got.schema == results.schema and {(r.percent, round(r.f1, 6)) for r in got.collect()} == {(10, 0.6), (20, 0.9)}
 
 
 def test_zero_real_guard(spark):
