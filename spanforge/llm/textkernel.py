@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,7 @@ import pyarrow as pa
 #: Text bytes handled at once; arrays of eight bytes a position follow from it.
 SLICE_BYTES = 1 << 20
 
+_LIBC = ctypes.CDLL(None)
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -69,8 +71,10 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
 
 
 def tidy() -> None:
-    """Give memory that Arrow holds for reuse back to the system; a worker's next task may be of another stage."""
+    """Give memory that Arrow and the C library hold for reuse back to the system; a worker's next task may be of another stage."""
     pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
 
 
 def lower(data: np.ndarray) -> np.ndarray:
