@@ -63,12 +63,11 @@ def encode(nodes: DataFrame, services: DataFrame, ops: DataFrame) -> DataFrame:
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph_id, node_idx, indegree, outdegree) of every node; repeated edges and loops count."""
-    ends = (
-        edges.select("graph_id", F.col("dst").alias("node_idx"), F.lit(1).alias("i"), F.lit(0).alias("o"))
-        .union(edges.select("graph_id", "src", F.lit(0), F.lit(1)))
-        .union(nodes.select("graph_id", "node_idx", F.lit(0), F.lit(0)))
-    )
-    return ends.groupBy("graph_id", "node_idx").agg(F.sum("i").alias("indegree"), F.sum("o").alias("outdegree"))
+    n = F.count(F.lit(1))
+    into = edges.groupBy("graph_id", F.col("dst").alias("node_idx")).agg(n.alias("indegree"))
+    out = edges.groupBy("graph_id", F.col("src").alias("node_idx")).agg(n.alias("outdegree"))
+    at = ["graph_id", "node_idx"]
+    return nodes.select(*at).join(into, at, "left").join(out, at, "left").select(*at, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("indegree", "outdegree")])
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -86,8 +85,9 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         F.avg((F.col("outdegree") == 0).cast("double")).alias("leaf_share"),
         F.avg("duration").alias("mean_duration"),
         F.stddev_pop("duration").alias("std_duration"),
-        F.countDistinct("service_name").alias("n_services"),
-        F.countDistinct("operation_name").alias("n_ops"),
+        # A graph's own names, held while it is counted: distinct counts would copy every row for each of them.
+        F.size(F.collect_set("service_name")).alias("n_services"),
+        F.size(F.collect_set("operation_name")).alias("n_ops"),
     )
 
 

@@ -156,14 +156,15 @@ def put_results(rows: DataFrame, path: str, keys: tuple[str, ...] = RESULT_KEYS)
 
 
 def read_results(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The table ``put_results`` keeps; the schema gives the keys their kinds."""
-    return spark.read.schema(schema).parquet(path)
+    """The table ``put_results`` keeps; the schema gives the keys their kinds and the columns their order."""
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
 def save_by_graph(table: DataFrame, name: str, buckets: int, path: str | None = None) -> DataFrame:
     """Save ``table`` bucketed and sorted by graph_id; read back, joins and groups by graph need no exchange.
 
-    Tables that meet must have the same number of buckets.
+    Tables that meet must have the same number of buckets.  Joins by graph and more (a node,
+    say) profit where ``spark.sql.requireAllClusterKeysForCoPartition`` is off.
     """
     writer = table.write.format("parquet").mode("overwrite").bucketBy(buckets, "graph_id").sortBy("graph_id")
     (writer.option("path", path) if path else writer).saveAsTable(name)

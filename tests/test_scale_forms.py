@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanforge.operators import classify, edges, generate, graphs, labels, memorization, nearest, ranking
+from spanforge.sources import spans as source
 
 NODES = "graph_id string, node_idx int, service_name string, operation_name string, duration double"
 EDGES = "graph_id string, src int, dst int"
@@ -260,6 +261,28 @@ def test_falling_bounds_lose_nothing(spark, weights):
         assert {r["kind"] for r in nearest.reaching(a, b, level, weights).collect()} == {k for k, v in want.items() if v >= level}
 
 
+def test_tables_bucketed_by_graph_meet_without_exchange(spark, tmp_path):
+    nodes, links, n, e = corpus(spark, 13)
+    stats = {r["graph_id"]: r for r in graphs.graph_stats(n, e).collect()}
+    saved = [source.save_by_graph(t, f"bucketed_{name}", 4, f"{tmp_path}/{name}") for name, t in (("nodes", n), ("edges", e))]
+    wanted = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    usual = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        for made in (graphs.graph_stats(*saved), graphs.edge_labels(*saved), graphs.degrees(*saved), saved[1].groupBy("graph_id").count()):
+            assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+        got = {r["graph_id"]: r for r in graphs.graph_stats(*saved).collect()}
+        assert set(got) == set(stats) and all(list(got[g])[1:] == pytest.approx(list(stats[g])[1:]) for g in stats)
+        one = saved[0].filter("graph_id = 'g3'")._jdf.queryExecution().executedPlan().toString()
+        assert "SelectedBucketsCount: 1 out of 4" in one
+    finally:
+        for k, v in usual.items():
+            spark.conf.set(k, v)
+        for name in ("nodes", "edges"):
+            spark.sql(f"drop table bucketed_{name}")
+
+
 def dense_fit(x, y, reg):
     """Newton on the class-weighted log loss with an intercept that bears no penalty."""
     n = len(y)
