@@ -19,7 +19,7 @@ KEYS = ["system"]
 NODE_CAPS = [5, 8, 12]
 PERCENTS = [0, 10, 30, 50, 70, 100]
 BUCKETS = [(1, 3), (4, 8), (9, None)]
-GENERATED = 500
+GENERATED = 2000
 
 
 def query(sql: str | None = None):
