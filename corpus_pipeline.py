@@ -9,17 +9,27 @@ from spanforge.llm import mixing, ngram_join, packing, pii, toxicity
 from spanforge.llm.queries import PUBLIC_KEY
 from spanforge.llm.stage import mark, materialize, release
 
+#: Rows of whole texts that go to a Python worker together; the pipeline sets it for its session,
+#: as a batch is held several times over.
+BATCH_ROWS = 2000
+
 #: No SQL: a trained classifier and a tokenizer take part; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
+def _bounded(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the toxicity classifier rejects go; it learns from the labelled ones among ``docs``."""
+    _bounded(spark)
     return toxicity.reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
+    _bounded(spark)
     return ngram_join.keep_one(docs)
 
 
@@ -35,6 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents, placed in sequences of 1024."""
+    _bounded(spark)
     return packing.pack_documents(docs)
 
 
