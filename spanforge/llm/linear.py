@@ -123,6 +123,7 @@ def _counts(sample: DataFrame, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
     """How many negative and positive texts have each bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tk.forget()
         features, totals = Features(spec), np.zeros((2, 1 << spec.bits), np.int32)
         for batch in batches:
             label = batch.column("label").to_numpy()
@@ -145,6 +146,7 @@ def _blocks(sample: DataFrame, spec: Spec) -> DataFrame:
     order, as how many share each upper part and two bytes of the lower part."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tk.forget()
         features, uppers = Features(spec), 1 << max(0, spec.bits - 16)
         for batch in batches:
             label, held = batch.column("label").to_numpy(), batch.column("held").to_numpy(zero_copy_only=False)
@@ -171,14 +173,16 @@ def _read_blocks(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[tupl
 
 @contextmanager
 def _batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most ``rows`` rows meanwhile: a block is a megabyte, and a batch is held several times over."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    usual = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    """Batches of at most ``rows`` rows meanwhile, read and sent: a block is a megabyte, and a batch is held several times over."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    usual = [spark.conf.get(name) for name in names]
+    for name in names:
+        spark.conf.set(name, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(name, usual)
+        for name, value in zip(names, usual):
+            spark.conf.set(name, value)
 
 
 def _row_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -199,6 +203,7 @@ def _gradient(blocks: DataFrame, spec: Spec, weights: np.ndarray, intercept: flo
     shared = blocks.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tk.forget()
         w, loss, first, pull = shared.value, 0.0, 0.0, np.zeros(size)
         for label, held, sizes, buckets in _read_blocks(batches, spec):
             margin = _row_sums(w[buckets], sizes) + intercept

@@ -11,7 +11,6 @@ are fewer.
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -172,9 +171,8 @@ class _Encoder:
         return ids, np.append(0, row_ends)
 
 
-@functools.lru_cache(maxsize=2)
 def _encoder(path: str) -> _Encoder:
-    return _Encoder(path)
+    return tk.keep(f"encoder {path}", lambda: _Encoder(path))
 
 
 def cut(n_ids: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

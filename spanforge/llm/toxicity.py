@@ -35,6 +35,7 @@ def _scored(docs: DataFrame, model: linear.Model, keep: tuple[str, ...], text_co
     names = out.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tk.forget()
         scorer = linear.Scorer(shared.value)
         for batch in batches:
             kept = batch.select(names)

@@ -635,3 +635,27 @@ def test_pipeline(spark, tmp_path):
     assert kept.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 1024").isEmpty()
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert whole.count() == kept.count()
+
+
+def test_a_stage_drops_what_another_left_in_the_worker():
+    """The pipeline's workers go from packing to toxicity: the encoder must not stay in them."""
+    import gc
+    import weakref
+
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = weakref.ref(packing._encoder(path))
+    assert packing._encoder(path) is encoder()
+    tk.forget()
+    gc.collect()
+    assert encoder() is None and len(tk._powers[0]) == 1
+    assert len(tk.powers(9)[0]) == 9
+
+
+def test_blocks_are_read_a_few_at_a_time(spark):
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    usual = [spark.conf.get(n) for n in names]
+    with linear._batches_of(spark, 2):
+        assert [spark.conf.get(n) for n in names] == ["2", "2"]
+    assert [spark.conf.get(n) for n in names] == usual
