@@ -261,11 +261,12 @@ def minimise(evaluate: Callable[[np.ndarray], tuple[float, np.ndarray]], start:
     return x
 
 
-def fit(sample: DataFrame, spec: Spec, calibrate: bool = False) -> Model:
+def fit(sample: DataFrame, spec: Spec, calibrate: bool = False, again: bool = False) -> Model:
     """Fit on (label, held, text) rows; without both labels the model is the rate of the one there is.
 
     L2-penalised logistic regression.  With ``calibrate`` the held rows stay out of the fit
-    and set the slope and shift of the probability.
+    and set the slope and shift of the probability.  With ``again`` the fit then goes on
+    over all rows, as an n-gram that only held rows have would weigh nothing.
     """
     sizes = {(r["label"], r["held"]): r["n"] for r in sample.groupBy("label", "held").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_neg, n_pos = (sum(n for (label, _), n in sizes.items() if label == k) for k in (0, 1))
@@ -291,22 +292,26 @@ def fit(sample: DataFrame, spec: Spec, calibrate: bool = False) -> Model:
         weights[live] = scale * pace * x[:-1]
         return weights
 
-    def evaluate(x: np.ndarray) -> tuple[float, np.ndarray]:
-        loss, first, pull = _gradient(blocks, spec, full(x), float(x[-1]), calibrate)
-        w = pace * x[:-1]
-        slope = np.append(pace * (scale * (pull[live] / n).astype(np.float32) + np.float32(spec.l2 / n) * w), np.float32(first / n))
-        return loss / n + 0.5 * spec.l2 / n * float(w @ w), slope
+    def objective(n: int, skip_held: bool) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
+        def evaluate(x: np.ndarray) -> tuple[float, np.ndarray]:
+            loss, first, pull = _gradient(blocks, spec, full(x), float(x[-1]), skip_held)
+            w = pace * x[:-1]
+            slope = np.append(pace * (scale * (pull[live] / n).astype(np.float32) + np.float32(spec.l2 / n) * w), np.float32(first / n))
+            return loss / n + 0.5 * spec.l2 / n * float(w @ w), slope
+
+        return evaluate
 
     start = np.zeros(len(live) + 1, np.float32)
     start[-1] = np.log(used[1] / used[0])
-    best = minimise(evaluate, start, spec.steps, bend)
-    weights, intercept = full(best), float(best[-1])
+    best = minimise(objective(n, calibrate), start, spec.steps, bend)
     slope, shift = 1.0, 0.0
     if calibrate:
-        margin, label = _held_margins(blocks, spec, weights)
+        margin, label = _held_margins(blocks, spec, full(best))
         if len(np.unique(label)) == 2:
-            slope, shift = _platt(margin + intercept, label)
-    return Model(spec, weights, intercept, slope, shift)
+            slope, shift = _platt(margin + float(best[-1]), label)
+    if calibrate and again:
+        best = minimise(objective(n_neg + n_pos, False), best, spec.steps, bend)
+    return Model(spec, full(best), float(best[-1]), slope, shift)
 
 
 def _held_margins(blocks: DataFrame, spec: Spec, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -512,6 +512,15 @@ def test_every_ngram_weighs(spark):
     assert linear.Spec((3,), (), True, True).max_rows == 20_000
 
 
+def test_held_rows_teach(spark):
+    """A word that only the rows held for calibration have weighs too."""
+    rows = [(i, i % 2, i % 5 == 0, ("bad " if i % 2 else "good ") + ("xylophone" if i % 10 == 5 else "word")) for i in range(200)]
+    sample = spark.createDataFrame(rows, "doc_id long, label int, held boolean, text string")
+    model = linear.fit(sample, toxicity.SPEC, calibrate=True, again=True)
+    (buckets,) = linear.Features(toxicity.SPEC)(*laid(["xylophone"]))
+    assert (model.weights[buckets] > 0).all()
+
+
 def test_fit_is_the_penalised_logistic_regression(spark):
     """Scores against dense gradient descent on features counted in Python."""
     rng = random.Random(2)
