@@ -179,6 +179,14 @@ def _summed(rows: DataFrame, partial: Callable[[int, np.ndarray], np.ndarray]) -
     return {dim: np.stack([rows[k] for k in range(len(rows))]) for dim, rows in out.items()}
 
 
+def projected(vectors: np.ndarray, onto: np.ndarray) -> np.ndarray:
+    """``vectors @ onto`` coordinate by coordinate: a matrix product rounds by how many rows it gets."""
+    out = np.zeros((len(vectors), onto.shape[1]))
+    for k in range(len(onto)):
+        out += vectors[:, k : k + 1] * onto[k]
+    return out
+
+
 def _whole_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, x) of the usable vectors as whole numbers."""
     whole: Column = F.transform(F.col(vector_col).cast("array<double>"), lambda c: F.floor(F.lit(float(SCALE)) * c) + F.lit(SHIFT))
@@ -232,7 +240,7 @@ def whiten(vectors: DataFrame, most: int = COMPONENTS, id_col: str = "vec_id", v
     def project(dim: int, x: np.ndarray) -> np.ndarray:
         _, base, _, basis = shared.value
         onto, _, left = basis[dim]
-        return ((x - base[dim]).astype(np.float64) - left) @ onto
+        return projected((x - base[dim]).astype(np.float64) - left, onto)
 
     def spread(dim: int, x: np.ndarray) -> np.ndarray:
         if dim not in shared.value[3]:

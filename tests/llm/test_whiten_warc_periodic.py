@@ -60,6 +60,13 @@ def test_whitening_does_not_depend_on_partitions(spark):
     assert a.drop(columns="identity_error").equals(b.drop(columns="identity_error")) and a["identity_error"].max() < 1e-12
 
 
+def test_a_projection_does_not_depend_on_its_neighbours():
+    rng = np.random.default_rng(0)
+    y, onto = rng.integers(-4000, 4000, (160, 12)).astype(float), rng.standard_normal((12, 8))
+    assert (whitening.projected(y, onto) == np.vstack([whitening.projected(p, onto) for p in np.array_split(y, 7)])).all()
+    assert np.allclose(whitening.projected(y, onto), y @ onto)
+
+
 def test_whitening_of_awkward_tables(spark):
     assert whitening.whiten(spark.createDataFrame([], VECTORS)).count() == 0
     same = [(k, [1.0, 2.0, 3.0], 1, 1, "") for k in range(5)]
