@@ -613,6 +613,20 @@ def test_components_of_a_long_chain(spark):
     assert components(edges.limit(0)).count() == 0
 
 
+def test_components_few_edges_take_no_rounds(spark, monkeypatch):
+    """Four tables for any small graph, and the same roots as by rounds over tables."""
+    rng = np.random.default_rng(5)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(-300, 300, (420, 2))] + [(i, i + 1) for i in range(1000, 1400)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    before = mark()
+    got = {r.node: r.root for r in components(edges).collect()}
+    assert mark() - before <= 4
+    monkeypatch.setattr("spanforge.llm.components.BROADCAST_ROWS", 100)
+    assert got == {r.node: r.root for r in components(edges).collect()}
+    assert mark() - before > 8
+    release(spark, before)
+
+
 def test_lookup_and_counts():
     rng = np.random.default_rng(0)
     keys = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64))
