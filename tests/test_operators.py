@@ -2,7 +2,10 @@
 
 import json
 import random
+from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,6 +199,47 @@ def test_nearest_similarity_by_bounds(spark, monkeypatch):
     assert {r.nearest for r in memorization.combined_similarity(synth, none).collect()} == {0.0}
 
 
+def test_nearest_keys_keep_frequent_tokens_apart():
+    """Sets over few tokens, all frequent: at every level few probes and index rows meet in a key, and no pair at the level is lost."""
+    rng = np.random.default_rng(3)
+    sets = [[rng.permutation(40)[: rng.integers(1, 9)] for _ in range(400)] for _ in range(2)]
+    pairs = [(p, r, len(np.intersect1d(a, b)) / len(np.union1d(a, b))) for p, a in enumerate(sets[0]) for r, b in enumerate(sets[1])]
+    by_token = sum(len(np.intersect1d(sets[0][p], sets[1][r])) for p, r, _ in pairs)
+    batches = [pa.record_batch([pa.array([0.0] * 400), pa.array([sorted(x.tolist()) for x in side]), pa.array([[True] * len(x) for x in side])], ["best", "set0", "live0"]) for side in sets]
+    for level, share in ((0.8, 0.02), (0.5, 0.1)):
+        of = nearest._Round(nearest.table_bounds((1.0,), level), level, {0: (False, False)}, 1, nearest.MANY, nearest.WIDE)
+        probes, index = (of.keys(b, real) for b, real in zip(batches, (False, True)))
+        rows = defaultdict(list)
+        for many, token, row in zip(index["many"], index["token"], index["row"]):
+            rows[many, token].append(row)
+        met = [(p, r) for many, token, p in zip(probes["many"], probes["token"], probes["row"]) for r in rows[many, token]]
+        assert len(met) < share * by_token
+        assert {(p, r) for p, r, j in pairs if j >= level} <= set(met)
+
+
+def test_nearest_by_every_lane_tile_and_sketch(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    sides = []
+    for start in (0, 1000):
+        rows = [(f"g{start + i}", str(t), str(t % 7)) for i in range(60) for t in rng.permutation(30)[: rng.integers(1, 14)]]
+        sides.append(spark.createDataFrame(rows, "graph_id string, edge_label string, label string"))
+    synth, real = ((x.select("graph_id", F.col("edge_label").alias("token")).distinct(), x.select("graph_id", F.col("label").alias("token")).distinct()) for x in sides)
+    held = [defaultdict(lambda: (set(), set())) for _ in sides]
+    for at, side in zip(held, sides):
+        for g, e, n in side.collect():
+            at[g][0].add(e), at[g][1].add(n)
+
+    def j(a, b):
+        return len(a & b) / len(a | b)
+
+    for wide, tile, sketch in ((16, 2048, 20_000), (5, 9, 0)):
+        for name, value in (("WIDE", wide), ("TILE", tile), ("SKETCH_ROWS", sketch)):
+            monkeypatch.setattr(nearest, name, value)
+        for weights, got in (((1.0, 0.0), memorization.nearest_jaccard(synth[0], real[0])), (memorization.WEIGHTS, memorization.combined_similarity(synth, real))):
+            want = {g: max(weights[0] * j(a[0], b[0]) + weights[1] * j(a[1], b[1]) for b in held[1].values()) for g, a in held[0].items()}
+            assert {r.graph_id: r.nearest for r in got.collect()} == pytest.approx(want)
+
+
 def test_published_aggregations(spark):
     import golden
 
